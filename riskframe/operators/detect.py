@@ -241,3 +241,67 @@ def line_findings(hits: Column, scan_text: Column, runs: Column) -> Column:
     return F.when(F.size(hits) > 0, let(
         context, lambda c: F.transform(c["hits"], lambda h: score(h, c))
     )).otherwise(no_findings())
+
+
+# --- row-shaped operators -------------------------------------------------------------------------
+
+
+def call_argument_rows(lines: DataFrame) -> DataFrame:
+    """Arguments of every readable call on exploded lines (operator C2)."""
+    found = present(
+        F.when(F.col("line").rlike(call_pattern(key)), F.struct(
+            F.lit(key).alias("pattern"), call_arguments(F.col("line"), key).alias("args")
+        ))
+        for key in rules.CALL_KEYS
+    )
+    keys = [c for c in lines.columns if c != "line"]
+    return lines.select(*keys, F.explode(found).alias("c")).select(*keys, "c.*")
+
+
+def sink_rows(scanned: DataFrame, keys: Sequence[str] = ("file_id",)) -> DataFrame:
+    """Boost, note and tainted variable of every dangerous call (operators C3, J6).
+
+    ``scanned`` is the output of :func:`riskframe.operators.lines.with_scannable`.
+    """
+    sinks = [r for r in rules.BEHAVIOR_RULES if r.key in rules.SINK_KEYS]
+    hits = with_hits(scanned, sinks, ())
+    scored = let(
+        F.struct(
+            F.col("hits").alias("hits"),
+            F.when(F.size("hits") > 0, tainted_names(F.col("scan_text"))).alias("tainted"),
+        ),
+        lambda c: F.transform(c["hits"], lambda h: F.struct(
+            h["line"].alias("line"), h["key"].alias("pattern"), h["args"].alias("args"),
+            sink_context(h["key"], h["text"], h["args"], c["tainted"]).alias("context"),
+        )),
+    )
+    return hits.select(*keys, F.explode(scored).alias("s")).select(
+        *keys, "s.line", "s.pattern", "s.args", "s.context.*"
+    )
+
+
+def enclosing_function_rows(scanned: DataFrame, keys: Sequence[str] = ("file_id",)) -> DataFrame:
+    """The function every kept line belongs to (operator W2).
+
+    ``def`` lines cut the text into spans, and each span is unrolled into its lines: linear in the
+    text and without the shuffle a window over all lines would need.
+    """
+    starts = F.filter(
+        F.transform(F.split("scan_text", "\n", -1), lambda t, i: F.struct(
+            i.alias("at"), F.regexp_extract(t, _FUNCTION, 1).alias("name")
+        )),
+        lambda d: (d["name"] != "") | (d["at"] == 0),
+    )
+    spans = let(
+        F.struct(starts.alias("starts"), F.size(F.split("scan_text", "\n", -1)).alias("n")),
+        lambda b: F.transform(b["starts"], lambda d, k: F.struct(
+            d["name"].alias("name"), d["at"].alias("first"),
+            (F.coalesce(F.get(b["starts"], k + 1)["at"], b["n"]) - 1).alias("last"),
+        )),
+    )
+    rows = scanned.select(*keys, "runs", F.explode(spans).alias("s"))
+    numbers = F.coalesce(
+        F.slice(run_numbers(F.col("runs")), F.col("s.first") + 1, F.col("s.last") - F.col("s.first") + 1),
+        F.sequence(F.col("s.first") + 1, F.col("s.last") + 1),
+    )
+    return rows.select(*keys, F.explode(numbers).alias("line_no"), F.col("s.name").alias("function"))

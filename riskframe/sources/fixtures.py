@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from riskframe.sources.files import spread
+
 # --- fixed values: the shared input SQL, the same text in Spark and in the oracle ----------------
 
 CODE_FILES = """
@@ -33,11 +35,9 @@ FROM documents
 """
 
 # The same files with their whole document text kept as comment lines: realistic text volume.
-CODE_TEXTS = f"""
-SELECT c.file_id, c.repo, c.file_ord, c.path, c.intent,
-       c.content || chr(10) || '# ' || replace(d.text, chr(10), chr(10) || '# ') AS content
-FROM ({CODE_FILES}) c JOIN documents d ON d.doc_id = c.file_id
-"""
+CODE_TEXTS = CODE_FILES.replace(
+    " AS content\n", "\n       || chr(10) || '# ' || replace(text, chr(10), chr(10) || '# ') AS content\n"
+)
 
 MANIFEST_LINES = """
 SELECT 'r' || CAST(p_partkey % 25 AS VARCHAR(10)) AS repo, 'top/requirements.txt' AS file,
@@ -101,13 +101,24 @@ FROM pages
 """
 
 
+_KEYS = {"documents": "doc_id", "events": "event_id", "part": "p_partkey", "pages": "page_id"}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), _KEYS[name])
+
+
 def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Run an input query over the tables of a directory."""
-    for table in ("documents", "events", "part", "pages"):
-        if table in sql:
-            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+    for name in _KEYS:
+        if f"FROM {name}" in sql:
+            table(spark, sf_dir, name).createOrReplaceTempView(name)
     return spark.sql(sql)
 
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(spark, sf_dir, CODE_FILES)
+
+
+def code_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive(spark, sf_dir, CODE_TEXTS)
