@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from riskframe.functions.patterns import SPACE
+from riskframe.functions.patterns import SPACE, literal
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -19,6 +19,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def rows_of(array: Column | str) -> Column:
+    """An array to explode.
+
+    Exploding a bare column makes Catalyst add a ``size > 0`` filter and push it down through
+    every projection, which computes the whole column a second time; an expression does not.
+    """
+    return F.filter(array, lambda x: x.isNotNull())
+
+
 def present(items: Iterable[Column]) -> Column:
     """The non-null members of a fixed list of columns, as an array."""
     return F.filter(F.array(*items), lambda x: x.isNotNull())
@@ -31,18 +40,26 @@ def strip(text: Column) -> Column:
 
 def contains_any(text: Column, words: Iterable[str]) -> Column:
     """True if ``text`` holds one of ``words``."""
-    result = F.lit(False)
-    for word in words:
-        result = result | F.contains(text, F.lit(word))
-    return result
+    return text.rlike("|".join(literal(word) for word in words))
+
+
+def quoted(value: object) -> str:
+    """A Python value as a SQL literal."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, float):
+        return f"{value!r}D"
+    if isinstance(value, int):
+        return str(value)
+    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def lookup(mapping: dict, key: Column, default: object) -> Column:
     """A fixed mapping as a column expression."""
-    result = F.lit(default)
-    for name, value in reversed(list(mapping.items())):
-        result = F.when(key == F.lit(name), F.lit(value)).otherwise(result)
-    return result
+    pairs = ", ".join(f"{quoted(k)}, {quoted(v)}" for k, v in mapping.items())
+    return F.coalesce(F.try_element_at(F.expr(f"map({pairs})"), key), F.lit(default))
 
 
 def round2(value: Column) -> Column:

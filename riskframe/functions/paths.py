@@ -33,14 +33,10 @@ def path_percent(path: Column, classes: Sequence[tuple]) -> Column:
     lower = F.lower(path)
     result = F.lit(100)
     for parts, starts, ends, weight in reversed(classes):
-        test = F.lit(False)
-        for p in parts:
-            test = test | F.contains(lower, F.lit(p))
-        for p in starts:
-            test = test | F.startswith(lower, F.lit(p))
-        for p in ends:
-            test = test | F.endswith(lower, F.lit(p))
-        result = F.when(test, F.lit(round(weight * 100))).otherwise(result)
+        tests = [patterns.literal(p) for p in parts]
+        tests += [r"\A" + patterns.literal(p) for p in starts]
+        tests += [patterns.literal(p) + r"\z" for p in ends]
+        result = F.when(lower.rlike("|".join(tests)), F.lit(round(weight * 100))).otherwise(result)
     return result
 
 

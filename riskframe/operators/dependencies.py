@@ -138,9 +138,10 @@ def dependency_points(findings: DataFrame, scope: str = "repo") -> DataFrame:
 
 
 def capped_points(cents: Column) -> Column:
-    return round2(F.least(
+    # least() skips nulls, hence the guard: no findings stay null, not the cap.
+    return F.when(cents.isNotNull(), round2(F.least(
         F.lit(rules.DEPENDENCY_POINTS_CAP), cents / F.lit(100.0) * F.lit(rules.DEPENDENCY_POINTS_SHARE)
-    ))
+    )))
 
 
 def rollup(findings: DataFrame, scope: str = "repo") -> DataFrame:

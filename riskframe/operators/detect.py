@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from riskframe import rules, texts
 from riskframe.functions import patterns
-from riskframe.functions.columns import contains_any, let, lookup, present, round2, strip
+from riskframe.functions.columns import contains_any, let, lookup, present, quoted, round2, strip
 from riskframe.operators.lines import run_numbers
 from riskframe.operators.taint import is_source, tainted_names, words
 from riskframe.rules import BehaviorRule, SecretRule
@@ -139,8 +139,6 @@ def _candidates(behavior: Sequence[BehaviorRule], secrets: Sequence[SecretRule])
         gates.append(("line_code", "code", hint))
     if secrets:
         gates.append(("scan_text", "text", patterns.any_of(r.pattern for r in secrets)))
-    if not gates:
-        return F.array().cast("array<struct<line:int,text:string,code:string>>")
     file_gate = F.lit(False)
     for column, _, gate in gates:
         file_gate = file_gate | F.col(column).rlike(gate)
@@ -168,34 +166,36 @@ def _candidates(behavior: Sequence[BehaviorRule], secrets: Sequence[SecretRule])
     return F.when(file_gate, F.filter(lines, line_gate))
 
 
-def _hits(candidates: Column, behavior: Sequence[BehaviorRule], secrets: Sequence[SecretRule]) -> Column:
-    """Rule matches of the candidate lines, one per line and rule, in rule order."""
+def _hits(behavior: Sequence[BehaviorRule], secrets: Sequence[SecretRule]) -> Column:
+    """Rule matches of the ``candidates`` lines, one per line and rule, in rule order.
 
-    def hit(c, seq, type_, key, message, points, args, sink, network) -> Column:
-        return F.struct(
-            c["line"].alias("line"), F.lit(seq).alias("seq"), F.lit(type_).alias("type"),
-            F.lit(key).alias("key"), F.lit(message).alias("message"), F.lit(float(points)).alias("points"),
-            args.alias("args"), F.lit(sink).alias("sink"), F.lit(network).alias("network"),
-            c["text"].alias("text"),
-        )
+    Written as SQL text: one expression for all rules instead of some hundred column calls.
+    """
 
-    def of_line(c: Column) -> Column:
-        found = [
-            F.when(c["code"].rlike(patterns.jvm(r.pattern)), hit(
-                c, i, BEHAVIOR, r.key, r.message, r.points, call_arguments(c["text"], r.key),
-                r.key in rules.SINK_KEYS, r.key in rules.TRUSTED_NETWORK_KEYS,
-            ))
-            for i, r in enumerate(behavior)
-        ]
-        found += [
-            F.when(c["text"].rlike(patterns.jvm(r.pattern)), hit(
-                c, len(behavior) + i, SECRET, r.key, r.label, r.points, F.lit(""), False, False,
-            ))
-            for i, r in enumerate(secrets)
-        ]
-        return present(found)
-
-    return F.flatten(F.transform(candidates, of_line))
+    def hit(side, pattern, seq, type_, rule, message, args, sink, network) -> str:
+        return f"""CASE WHEN c.{side} RLIKE {quoted(patterns.jvm(pattern))} THEN named_struct(
+            'line', c.line, 'seq', {seq}, 'type', {quoted(type_)}, 'key', {quoted(rule.key)},
+            'message', {quoted(message)}, 'points', {quoted(float(rule.points))}, 'args', {args},
+            'sink', {quoted(sink)}, 'network', {quoted(network)}, 'text', c.text) END"""
+
+    def args_of(key: str) -> str:
+        pattern = call_pattern(key)
+        if pattern is None:
+            return "''"
+        ends = rf"^[{patterns.SPACE}]+|[{patterns.SPACE}]+\z"
+        return f"regexp_replace(regexp_extract(c.text, {quoted(pattern)}, 1), {quoted(ends)}, '')"
+
+    found = [
+        hit("code", r.pattern, i, BEHAVIOR, r, r.message, args_of(r.key),
+            r.key in rules.SINK_KEYS, r.key in rules.TRUSTED_NETWORK_KEYS)
+        for i, r in enumerate(behavior)
+    ] + [
+        hit("text", r.pattern, len(behavior) + i, SECRET, r, r.label, "''", False, False)
+        for i, r in enumerate(secrets)
+    ]
+    return F.expr(
+        f"flatten(transform(candidates, c -> filter(array({', '.join(found)}), h -> h IS NOT NULL)))"
+    )
 
 
 def with_hits(
@@ -204,7 +204,11 @@ def with_hits(
     secrets: Sequence[SecretRule] = tuple(rules.SECRET_RULES),
 ) -> DataFrame:
     """Add ``hits`` to the output of :func:`riskframe.operators.lines.with_scannable`."""
-    return scanned.withColumn("hits", _hits(_candidates(behavior, secrets), behavior, secrets))
+    if not behavior and not secrets:
+        raise ValueError("at least one rule is needed")
+    return scanned.withColumn("candidates", _candidates(behavior, secrets)).withColumn(
+        "hits", _hits(behavior, secrets)
+    ).drop("candidates")
 
 
 def line_findings(hits: Column, scan_text: Column, runs: Column) -> Column:

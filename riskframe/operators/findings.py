@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe import texts
-from riskframe.functions.columns import let
+from riskframe.functions.columns import let, rows_of
 from riskframe.operators.detect import no_findings
 
 GUIDANCE_FIELDS = ["why_risky", "what_to_check", "when_legitimate", "suggested_fix"]
@@ -41,7 +41,7 @@ def dedupe(findings: Column) -> Column:
 def finding_rows(files: DataFrame, findings: str = "findings", keys: list[str] | None = None) -> DataFrame:
     """One row per finding of a report."""
     keys = keys or ["file_id"]
-    return files.select(*keys, F.explode(findings).alias("f")).select(*keys, "f.*")
+    return files.select(*keys, F.explode(rows_of(findings)).alias("f")).select(*keys, "f.*")
 
 
 def explanation_table(spark: SparkSession) -> DataFrame:

@@ -34,7 +34,7 @@ def requirement_entries(lines: DataFrame) -> DataFrame:
     comments yield nothing, every other line one row.
     """
     keys = [c for c in lines.columns if c not in ("file", "line", "raw")]
-    text = strip(F.col("raw"))
+    text = F.col("_text")
     bare = strip(F.substring_index(strip(F.substring_index(text, " #", 1)), ";", 1))
 
     def parse(b: Column) -> Column:
@@ -55,7 +55,7 @@ def requirement_entries(lines: DataFrame) -> DataFrame:
         .when(p["norm"]["version"].isNull(), rules.SKIP_COMPLEX).alias("reason"),
     )))
     relevant = (text != "") & ~F.startswith(text, F.lit("#")) & (indirect | (bare != ""))
-    rows = lines.where(relevant).select(
+    rows = lines.withColumn("_text", strip(F.col("raw"))).where(relevant).select(
         *keys, "file", "line", text.alias("raw"), F.explode(F.array(entry)).alias("e")
     )
     ok = F.col("e.reason").isNull()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from riskframe import rules
 from riskframe.functions import patterns, paths, scores
+from riskframe.functions.columns import rows_of
 from riskframe.functions.versions import normalize_version
 from riskframe.operators import (
     callsites, dependencies, detect, findings, focus, heuristics, intent, limits, lines, manifests, quota, repo,
@@ -223,7 +224,7 @@ def corpus_focus_windows(spark, d):
     reports = file_scan.file_reports(
         texts, behavior=CORPUS_BEHAVIOR_RULES, secrets=CORPUS_SECRET_RULES, call_sites=False
     )
-    return reports.select("doc_id", F.explode("focused_code_blocks").alias("b")).select(
+    return reports.select("doc_id", F.explode(rows_of("focused_code_blocks")).alias("b")).select(
         "doc_id", "b.start_line", "b.end_line"
     )
 
@@ -273,22 +274,22 @@ def intent_quality(spark, d):
 
 
 def intent_mismatch(spark, d):
-    return _reports(spark, d).select("file_id", F.posexplode("intent_mismatches").alias("pos", "message"))
+    return _reports(spark, d).select("file_id", F.posexplode(rows_of("intent_mismatches")).alias("pos", "message"))
 
 
 def behavior_summary(spark, d):
-    return _reports(spark, d).select("file_id", F.posexplode("behavior_summary").alias("pos", "sentence"))
+    return _reports(spark, d).select("file_id", F.posexplode(rows_of("behavior_summary")).alias("pos", "sentence"))
 
 
 def focus_windows(spark, d):
-    return _reports(spark, d).select("file_id", F.explode("focused_code_blocks").alias("b")).select(
+    return _reports(spark, d).select("file_id", F.explode(rows_of("focused_code_blocks")).alias("b")).select(
         "file_id", "b.start_line", "b.end_line"
     )
 
 
 def focus_blocks(spark, d):
-    blocks = _reports(spark, d).select("file_id", F.explode("focused_code_blocks").alias("b"))
-    return blocks.select("file_id", "b.start_line", F.explode("b.lines").alias("l")).select(
+    blocks = _reports(spark, d).select("file_id", F.explode(rows_of("focused_code_blocks")).alias("b"))
+    return blocks.select("file_id", "b.start_line", F.explode(rows_of("b.lines")).alias("l")).select(
         "file_id", "start_line", "l.line", "l.content", "l.flagged"
     )
 
@@ -528,7 +529,7 @@ def repo_touches(spark, d):
 
 
 def repo_behavior(spark, d):
-    return _rolled(spark, d).select("repo", F.posexplode("behavior_summary").alias("pos", "sentence"))
+    return _rolled(spark, d).select("repo", F.posexplode(rows_of("behavior_summary")).alias("pos", "sentence"))
 
 
 def readme_badge(spark, d):
