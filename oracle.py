@@ -582,6 +582,10 @@ SELECT s.file_id, s.path, s.risk, s.risk_points, s.trust_score, s.touches,
   s.finding_count, coalesce(b.n, 0) AS block_count
 FROM scored_full s LEFT JOIN (SELECT file_id, count(*) AS n FROM window_full GROUP BY file_id) b USING (file_id)"""
 oracle("file_report", _report)
+oracle("stream_scan", _report)
+oracle("stream_usage", """
+SELECT 'user:' || user_id AS actor_key, CAST(CAST(ts AS DATE) AS VARCHAR) AS usage_date, count(*) AS scan_count
+FROM events GROUP BY 1, 2""")
 oracle("ranked_files", _report + f" WHERE {IS_CODE}")
 oracle("line_limit", f"""
 SELECT file_id, plan AS plan_applied, line_limit, line_count,
@@ -724,9 +728,26 @@ def _order(name: str) -> int:
     return of(name)
 
 
+# Columns that are 32-bit on the Spark side.
+_INT = {
+    "line_no": "line_explode exclude_blocks strip_literals taint_sources assigned_vars call_arguments "
+               "literal_arguments trusted_network_lines enclosing_function",
+    "line": "behavior_findings secret_findings sink_boost tainted_sinks file_heuristics ast_findings corpus_secret_scan "
+            "corpus_script_scan all_findings dedupe_findings finding_explanations focus_blocks",
+    "pos": "taint_map intent_mismatch behavior_summary repo_behavior",
+    "start_line": "corpus_focus_windows focus_windows focus_blocks",
+    "end_line": "corpus_focus_windows focus_windows",
+    "finding_count": "file_report ranked_files stream_scan", "block_count": "file_report ranked_files stream_scan",
+    "line_count": "line_limit", "rank": "deps_skipped_top dep_findings_ranked",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     result = {}
     for name, sql in _FINAL.items():
+        narrow = [f"CAST({c} AS INT) AS {c}" for c, names in _INT.items() if name in names.split()]
+        if narrow:
+            sql = f"SELECT * REPLACE ({', '.join(narrow)}) FROM ({sql})"
         parts = _needed(sql)
         if parts:
             recursive = "RECURSIVE " if any("(" in p for p in parts) else ""

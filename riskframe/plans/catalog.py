@@ -6,6 +6,9 @@ marked ``expr`` in the name list of the README leave the call-site step out.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +26,8 @@ from riskframe.rules import BehaviorRule, PlanLimits, SecretRule
 from riskframe.sources import advisories as advisory_source
 from riskframe.sources import fixtures
 from riskframe.sources import files as file_source
+from riskframe.sources import sinks
+from riskframe.streaming import jobs
 
 JOIN = "|"
 
@@ -562,6 +567,36 @@ def repo_report(spark, d):
     )
 
 
+# --- streams -----------------------------------------------------------------------------------------------
+
+
+def _stream_folder(spark: SparkSession) -> str:
+    """A fresh folder for one run, in the cluster's shared folder where there is one."""
+    shared = spark.conf.get(jobs.CHECKPOINT_SETTING, None)
+    return f"{shared.rstrip('/')}/riskframe-{uuid.uuid4()}" if shared else tempfile.mkdtemp(prefix="riskframe-")
+
+
+def stream_usage(spark, d):
+    """Daily usage kept by a stream over the events, then read back."""
+    out = _stream_folder(spark)
+    events = jobs.stream_table(spark, f"{d}/events*.parquet", spark.read.parquet(f"{d}/events.parquet"))
+    requests = events.select(F.concat(F.lit("user:"), "user_id").alias("actor_key"), "ts")
+    jobs.start_usage(requests, f"{out}/usage", f"{out}/checkpoint").awaitTermination()
+    return sinks.read_usage(spark, f"{out}/usage").select(
+        "actor_key", F.col("usage_date").cast("string").alias("usage_date"), "scan_count"
+    )
+
+
+def stream_scan(spark, d):
+    """The file report over a stream of the documents' code files, then read back."""
+    out = _stream_folder(spark)
+    documents = jobs.stream_table(spark, f"{d}/documents*.parquet", spark.read.parquet(f"{d}/documents.parquet"))
+    documents.createOrReplaceTempView("arriving_documents")
+    files = spark.sql(fixtures.CODE_FILES.replace("FROM documents", "FROM arriving_documents"))
+    jobs.start_scan(file_scan.file_reports(files), f"{out}/reports", f"{out}/checkpoint").awaitTermination()
+    return _flat_report(spark.read.parquet(f"{out}/reports"))
+
+
 QUERIES = {
     f.__name__: f
     for f in [
@@ -576,5 +611,6 @@ QUERIES = {
         dedupe_dependencies, deps_skipped_top, dep_advisory_refs, dep_findings, dep_findings_ranked,
         advisory_severity, fixed_versions, dep_risk_points, dep_rollup, manifest_summary, path_weights,
         repo_url_parse, repo_risk, repo_highest_risk, repo_touches, repo_behavior, readme_badge, repo_report,
+        stream_usage, stream_scan,
     ]
 }
