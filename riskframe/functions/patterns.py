@@ -16,8 +16,27 @@ SPACE = r"\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\
 _TOKEN = re.compile(r"\\.|\[\^?|\]|[^\\\[\]]+", re.DOTALL)
 
 
+_LEADING = re.compile(
+    r"(\(\?<!\[\\w\.\]\)|\\b)"  # (?<![\w.]) or \b in front of
+    r"([A-Za-z_][A-Za-z0-9_]*(?![A-Za-z0-9_?*+{])|\((?:[A-Za-z0-9_]+\|)*[A-Za-z0-9_]+\)(?![?*+{]))"  # a word or words
+)
+
+
+def _check_behind(match: re.Match) -> str:
+    """Test what precedes a word after the word itself.
+
+    The test looks up Unicode classes; done first it would run at every position of a text, done
+    last it runs only where the word stands.
+    """
+    before = r"[\w.]" if match[1].startswith("(") else r"[\w]"
+    word = match[2]
+    plain = "(?:" + word[1:] if word.startswith("(") else word
+    return f"{word}(?<!{before}{plain})"
+
+
 def jvm(pattern: str) -> str:
-    """The Java pattern equal to ``pattern`` (look-behind, groups and quantifiers are the same)."""
+    """The Java pattern equal to ``pattern`` (groups and quantifiers are the same)."""
+    pattern = _LEADING.sub(_check_behind, pattern)
     out: list[str] = []
     in_class = False
     tokens = _TOKEN.findall(pattern)

@@ -135,7 +135,10 @@ def _candidates(behavior: Sequence[BehaviorRule], secrets: Sequence[SecretRule])
     """Lines that can match some rule: ``{line, text, code}``."""
     gates = []
     if behavior:
-        hint = "|".join(patterns.literal(r.hint) if r.hint else patterns.jvm(r.pattern) for r in behavior)
+        hints = []
+        for r in behavior:
+            hints += [patterns.literal(h) for h in r.hint.split("|")] if r.hint else [patterns.jvm(r.pattern)]
+        hint = "|".join(dict.fromkeys(hints))
         gates.append(("line_code", "code", hint))
     if secrets:
         gates.append(("scan_text", "text", patterns.any_of(r.pattern for r in secrets)))

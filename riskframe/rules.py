@@ -13,8 +13,8 @@ from typing import NamedTuple
 class BehaviorRule(NamedTuple):
     """One line rule, matched on the lower-cased line without its string literals.
 
-    ``hint`` is a plain substring every matching line must hold; it feeds the cheap file and line
-    gate.  A rule without a hint is gated by its own pattern.
+    ``hint`` names plain texts, separated by ``|``, one of which every matching line holds; it feeds
+    the cheap file and line gate.  A rule without a hint is gated by its own pattern.
     """
 
     key: str
@@ -75,7 +75,7 @@ BEHAVIOR_RULES = [
     BehaviorRule("urllib.request.urlopen", r"\burllib\.request\.urlopen\s*\(", 3, "urllib."),
     BehaviorRule("urllib.request.urlretrieve", r"\burllib\.request\.urlretrieve\s*\(", 5, "urllib."),
     BehaviorRule("urllib.request.Request", r"\burllib\.request\.Request\s*\(", 2, "urllib."),
-    BehaviorRule("download helper", r"\b(curl|wget)\b", 8),
+    BehaviorRule("download helper", r"\b(curl|wget)\b", 8, "curl|wget"),
     BehaviorRule("bytes.fromhex", r"\bbytes\.fromhex\s*\(", 4, "fromhex"),
 ]
 
