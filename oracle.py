@@ -697,35 +697,25 @@ FROM (SELECT repo, 'https://img.shields.io/badge/Risk%20Scan-' || t || '%2F100-'
       FROM (SELECT repo, {TRUST('points')} AS t FROM repo_scored))""")
 
 
-def _needed(sql: str) -> list[str]:
-    """Names of the common tables a statement reads, directly or not, in definition order."""
-    found: set[str] = set()
-    pending = [sql]
-    while pending:
-        text = pending.pop()
-        for name, body in CTE.items():
-            short = name.split("(")[0]
-            if name not in found and re.search(rf"\b(FROM|JOIN)\s+\(?{short}\b", text):
-                found.add(name)
-                pending.append(body)
-    return sorted(found, key=_order)
-
-
-def _order(name: str) -> int:
-    depth: dict[str, int] = {}
-
-    def of(n: str) -> int:
-        if n not in depth:
-            depth[n] = 0
-            short_self = n.split("(")[0]
-            depth[n] = 1 + max(
-                (of(m) for m in CTE
-                 if m.split("(")[0] != short_self and re.search(rf"\b(FROM|JOIN)\s+\(?{m.split('(')[0]}\b", CTE[n])),
-                default=0,
-            )
-        return depth[n]
-
-    return of(name)
+def _reads(sql: str) -> set[str]:
+    """Common tables a statement names after FROM or JOIN."""
+    names = set(re.findall(r"\b(?:FROM|JOIN)\s+\(?(\w+)", sql))
+    return {name for name in CTE if name.split("(")[0] in names}
+
+
+def _needed(sql: str, reads: dict[str, set[str]]) -> list[str]:
+    """The common tables a statement needs, each one after those it reads itself."""
+    ordered: list[str] = []
+
+    def visit(name: str) -> None:
+        if name not in ordered:
+            for other in sorted(reads[name] - {name}):
+                visit(other)
+            ordered.append(name)
+
+    for name in sorted(_reads(sql)):
+        visit(name)
+    return ordered
 
 
 # Columns that are 32-bit on the Spark side.
@@ -744,11 +734,12 @@ _INT = {
 
 def oracle_sql() -> dict[str, str]:
     result = {}
+    reads = {name: _reads(body) for name, body in CTE.items()}
     for name, sql in _FINAL.items():
         narrow = [f"CAST({c} AS INT) AS {c}" for c, names in _INT.items() if name in names.split()]
         if narrow:
             sql = f"SELECT * REPLACE ({', '.join(narrow)}) FROM ({sql})"
-        parts = _needed(sql)
+        parts = _needed(sql, reads)
         if parts:
             recursive = "RECURSIVE " if any("(" in p for p in parts) else ""
             sql = f"WITH {recursive}" + ",\n".join(
