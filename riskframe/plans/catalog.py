@@ -548,17 +548,14 @@ def repo_report(spark, d):
     files = _files(spark, d).drop("file_id", "intent").withColumn(
         "size_bytes", F.octet_length("content").cast("bigint")
     )
-    requirements = fixtures.derive(spark, d, fixtures.MANIFEST_LINES)
-    # The manifest as one text per repository; lines are bounded by the manifest itself.
-    texts = requirements.groupBy("repo", F.col("file").alias("path")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "raw"))), lambda x: x["raw"]), "\n")
-        .alias("content")
-    ).select("repo", "path", F.lit(-1).alias("file_ord"), F.octet_length("content").cast("bigint").alias("size_bytes"), "content")
+    names = fixtures.derive(spark, d, fixtures.MANIFEST_LINES).select("repo", "file").distinct()
     requests = fixtures.derive(spark, d, fixtures.REPO_REQUESTS).select(
         "repo", "plan", F.lit("build a report").alias("intent"), F.concat(F.lit("owner/"), "repo").alias("repo_name")
     )
     refs, bodies = _snapshot(spark, d)
-    return repo_scan.repo_reports(files.unionByName(texts), requests, refs, bodies).select(
+    return repo_scan.repo_reports(
+        files, requests, refs, bodies, entries=_entries(spark, d), manifest_names=names
+    ).select(
         "repo", "repo_name", "admitted", "plan", "risk", "risk_points", "trust_score", "files_scanned_count",
         "files_scanned_limit", _joined("touches").alias("touches"),
         _joined("behavior_summary").alias("behavior_summary"), "summary", "highest_file_risk", "repo_size_bytes",

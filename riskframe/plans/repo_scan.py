@@ -56,18 +56,22 @@ def repo_reports(
     advisories: DataFrame,
     plan_limits: limits.Limits = rules.PLAN_LIMITS,
     call_sites: bool = True,
+    entries: DataFrame | None = None,
+    manifest_names: DataFrame | None = None,
 ) -> DataFrame:
     """One row per requested repository.
 
     ``files``: ``repo, path, file_ord, size_bytes, content``; ``requests``: ``repo, repo_name,
-    intent, plan``.  Details stay in the file-report and finding tables.
+    intent, plan``.  Details stay in the file-report and finding tables.  Manifest ``entries`` and
+    ``manifest_names`` that are already at hand can be given; else they are parsed from ``files``.
     """
     verdicts = limits.repo_limits(files.select("repo", "path", "size_bytes"), requests, plan_limits)
     rolled = repo.rollup_files(repo_file_reports(files, requests, plan_limits, call_sites=call_sites))
-    manifest_files = files.where(is_manifest(F.col("path"))).select("repo", "path", "content")
-    dependencies = repo_dependencies(
-        manifests.manifest_entries(manifest_files), manifest_files.select("repo", "path"), refs, advisories
-    )
+    if entries is None:
+        manifest_files = files.where(is_manifest(F.col("path"))).select("repo", "path", "content")
+        entries = manifests.manifest_entries(manifest_files)
+        manifest_names = manifest_files.select("repo", "path")
+    dependencies = repo_dependencies(entries, manifest_names, refs, advisories)
     zero, none = F.lit(0).cast("bigint"), F.array().cast("array<string>")
     names = requests.select("repo", "repo_name")
     joined = (
