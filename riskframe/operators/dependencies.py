@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe import rules, texts
@@ -70,7 +70,7 @@ def advisory_facts(advisories: DataFrame) -> DataFrame:
 def dependency_refs(dependencies: DataFrame, refs: DataFrame) -> DataFrame:
     """Dependencies with the id of every advisory on their exact version (operator J1).
 
-    A left without a hint on purpose: neither side is bounded.  Adaptive execution broadcasts the
+    Without a broadcast hint on purpose: neither side is bounded.  Adaptive execution broadcasts the
     snapshot if it turns out small and splits the partitions of a popular package otherwise.
     """
     return dependencies.join(refs, _KEYS, "inner")

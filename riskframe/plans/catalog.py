@@ -1,7 +1,7 @@
 """Named queries over a directory of driver tables: ``(spark, sf_dir) -> DataFrame``.
 
-Results are flat (arrays joined or exploded), so they can be compared value by value.  Queries
-marked ``expr`` in the name list of the README leave the call-site step out.
+Results are flat (arrays joined or exploded), so they can be compared value by value.  Helpers
+default to ``call_sites=False``; queries that need the Arrow step ask for it.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe import rules
-from riskframe.functions import patterns, paths, scores
+from riskframe.functions import paths, scores
 from riskframe.functions.columns import rows_of
 from riskframe.functions.versions import normalize_version
 from riskframe.operators import (
