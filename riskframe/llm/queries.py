@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from riskframe.llm import exact
+from riskframe.llm import exact, neardup, secret_models, toxicity
 
 QUERIES = {
+    "op4_toxicity": toxicity.op4_toxicity,
+    "op6_secret_scan": secret_models.op6_secret_scan,
     "op8_exact_dedup": exact.op8_exact_dedup,
+    "op10_minhash_dedup": neardup.op10_minhash_dedup,
 }
 ORACLE_SQL = {
     "op8_exact_dedup": exact.OP8_SQL,
+    "op10_minhash_dedup": neardup.OP10_SQL,
 }
