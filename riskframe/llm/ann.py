@@ -93,7 +93,8 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, trees: int = TREES,
     n, n_queries = index.count(), asked.count()
     if not n or not n_queries:
         return empty(rows.sparkSession, schema)
-    wanted = int(np.ceil(share * n))
+    # At least so many that distinct ones suffice, as each tree counts a vector once.
+    wanted = max(int(np.ceil(share * n)), 2 * (k + 1) * trees)
     slices, blocks = -(-n // slice_rows), -(-n_queries // query_rows)
 
     # A unit is a tree, a slice of its vectors and a block of queries.

@@ -152,7 +152,7 @@ def mix(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, epochs: float = E
 
 def first_words(text: Column, n: Column) -> Column:
     """The text up to the end of its ``n``-th word."""
-    return F.regexp_extract(text, F.concat(F.lit(r"(?s)^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), n.cast("string"), F.lit("}+")), 0)
+    return F.coalesce(F.regexp_substr(text, F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), n.cast("string"), F.lit("}+"))), F.lit(""))
 
 
 def words_between(text: Column, start: Column, end: Column) -> Column:

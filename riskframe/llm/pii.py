@@ -126,10 +126,10 @@ def candidates(text: Column) -> Column:
         contexts = F.arrays_zip(_located(gaps, hits).alias("at"), before.alias("before"), after.alias("after"))
 
         def trimmed(c: Column) -> Column:
-            value = F.regexp_replace(c["0"]["value"], _EDGES, "")
-            head = F.length(c["0"]["value"]) - F.length(F.regexp_replace(c["0"]["value"], r"^[^\p{L}\p{N}]+", ""))
-            start = c["0"]["start"] + head
-            return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), c["1"].alias("before"), c["2"].alias("after"))
+            value = F.regexp_replace(c["at"]["value"], _EDGES, "")
+            head = F.length(c["at"]["value"]) - F.length(F.regexp_replace(c["at"]["value"], r"^[^\p{L}\p{N}]+", ""))
+            start = c["at"]["start"] + head
+            return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), c["before"].alias("before"), c["after"].alias("after"))
 
         return F.transform(contexts, trimmed)
 

@@ -37,7 +37,7 @@ _ASSIGN_GATE = ("passw", "secret", "token", "key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: Whole runs: a run of 16 or more is matched from its start, a shorter one would be dropped.
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
-_ORDINARY = re.compile(r"[A-Za-z]{4,}")
+_ORDINARY = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{4,}+(?![0-9+/_=-])")
 _LETTER, _DIGIT = re.compile("[A-Za-z]"), re.compile("[0-9]")
 
 _CLASSES = 64

@@ -1,12 +1,15 @@
-"""Toxicity: cumulative-link ordinal regression on sparse word features, giving an expected severity.
+"""Toxicity: cumulative-link ordinal regression on sparse text features, giving an expected severity.
 
-Grades come from the labels: 0 for texts labelled not toxic; toxic ones are graded 1 to ``GRADES - 1`` by the density of the words
-that set the toxic training texts apart, split at even quantiles of the training sample. The model has one weight per word, shared
-by all thresholds: ``P(grade <= k) = sigmoid(threshold_k - w . x)``, with ``x`` the presence of each word. The expected severity is
+Features are the words of a text and the first 4, 5 and 6 letters of longer ones, so that inflected and compound forms of a word
+share what was learned of it.
+
+Grades come from the labels: 0 for texts labelled not toxic; toxic ones are graded 1 to ``GRADES - 1`` by how many of
+the features that mark toxic texts they hold, split at even quantiles of the training sample. The model has one weight per feature, shared
+by all thresholds: ``P(grade <= k) = sigmoid(threshold_k - w . x)``, with ``x`` the presence of each feature. The expected severity is
 the sum of ``P(grade > k)``; a text is toxic when ``P(grade > 0)`` is at least one half.
 
 The model is fitted on at most ``max_labelled`` labelled texts (chosen by a hash of the id; several labels of one id count as the
-highest one, null labels do not count) and holds at most ``max_words`` words; everything else covers all texts. Equal texts with
+highest one, null labels do not count) and holds at most ``max_features`` features; everything else covers all texts. Equal texts with
 equal labels count once in training. Without toxic or without clean labels nothing is toxic and every severity is 0. Null texts
 count as empty.
 """
@@ -29,20 +32,25 @@ from riskframe.llm.common import packed, table, unpacked, whole_text
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 GRADES = 4
-MAX_LABELLED, MAX_WORDS = 20_000, 2_000
-#: Texts of the sample that a word must occur in.
+MAX_LABELLED, MAX_FEATURES = 20_000, 1_000
+PENALTY = 0.1
+#: Texts of the sample that a feature must occur in.
 MIN_TEXTS = 5
+#: How many times as frequent as in all texts a feature is in toxic ones, or the other way round.
+MIN_LIFT = 3.0
 
+PREFIXES = (4, 5, 6)
 _WORD = re.compile(r"\w+")
 
-
-def words_of(text: str) -> set[str]:
-    return set(_WORD.findall(text.lower()))
+def features_of(words: list[str]) -> set[str]:
+    """The distinct words and their beginnings (marked with a star)."""
+    distinct = set(words)
+    return distinct.union(*({f"{w[:n]}*" for w in distinct if len(w) > n} for n in PREFIXES))
 
 
 @dataclass
 class OrdinalModel:
-    """Weights of the words and ascending thresholds."""
+    """Weights of the features and ascending thresholds."""
 
     weights: dict[str, float] = field(default_factory=dict)
     thresholds: np.ndarray = field(default_factory=lambda: np.full(GRADES - 1, 30.0))
@@ -51,12 +59,12 @@ class OrdinalModel:
         """``P(grade > k)`` for each threshold."""
         if not self.weights:
             return np.zeros(len(self.thresholds))
-        score = sum(self.weights.get(word, 0.0) for word in words_of(text))
+        score = sum(self.weights.get(word, 0.0) for word in features_of(_WORD.findall(text.lower())))
         return 1 / (1 + np.exp(np.clip(self.thresholds - score, -30, 30)))
 
 
-def fit_ordinal(rows: np.ndarray, columns: np.ndarray, n_columns: int, grades: np.ndarray, n_grades: int, penalty: float = 1.0, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds of largest penalised likelihood; ``rows``, ``columns`` hold the words present in each text.
+def fit_ordinal(rows: np.ndarray, columns: np.ndarray, n_columns: int, grades: np.ndarray, n_grades: int, penalty: float = PENALTY, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds of largest penalised likelihood; ``rows``, ``columns`` hold the features present in each text.
 
     The thresholds are a first one and the logarithms of the gaps between them, so that they stay in order.
     """
@@ -88,49 +96,53 @@ def fit_ordinal(rows: np.ndarray, columns: np.ndarray, n_columns: int, grades: n
 
 
 def _training_words(documents: DataFrame, labels: DataFrame, max_labelled: int) -> DataFrame:
-    """``toxic``, ``n_words``, ``words`` of the labelled sample, equal texts of equal labels once."""
+    """``toxic``, ``words`` (features) of the labelled sample, equal texts of equal labels once."""
     sample = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("toxic").cast("int").alias("toxic")).filter("label_id is not null and toxic is not null")
     sample = sample.groupBy("label_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("label_id"), "label_id").limit(max_labelled)
     texts = documents.select(F.col("doc_id").cast("long").alias("label_id"), whole_text("text").alias("text")).join(F.broadcast(sample), "label_id").select("toxic", "text")
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_WORD.findall(text.lower()) for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"toxic": batch.column(0), "n_words": pa.array([len(x) for x in found], pa.int64()), "words": pa.array([sorted(set(x)) for x in found], pa.list_(pa.string()))})
+            found = [sorted(features_of(_WORD.findall(text.lower()))) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_pydict({"toxic": batch.column(0), "words": pa.array(found, pa.list_(pa.string()))})
 
-    return texts.mapInArrow(parts, "toxic int, n_words long, words array<string>").groupBy("toxic", "words").agg(F.max("n_words").alias("n_words")).select("toxic", "n_words", "words")
+    return texts.mapInArrow(parts, "toxic int, words array<string>").distinct()
 
 
-def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_words: int = MAX_WORDS) -> OrdinalModel:
+def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_features: int = MAX_FEATURES) -> OrdinalModel:
     """The model of the labelled texts."""
-    sample = _training_words(documents, labels, max_labelled).withColumn("key", F.xxhash64("words", "toxic")).cache()
+    sample = _training_words(documents, labels, max_labelled).cache()
     sizes = dict(sample.groupBy(F.col("toxic") > 0).count().collect())
     n_toxic, n_clean = sizes.get(True, 0), sizes.get(False, 0)
     if not n_toxic or not n_clean:
         sample.unpersist()
         return OrdinalModel()
-    # The words that set the classes apart: largest score of a two-proportion test with pooled variance.
-    present = sample.select("key", "toxic", F.explode("words").alias("word"))
+    # The features that set the classes apart: much more or much less frequent in toxic texts, by the score of a two-proportion
+    # test with pooled variance. Features of a language or a topic that lean to one class only a little are left out.
+    present = sample.select("toxic", F.explode("words").alias("word"))
     toxic = F.sum((F.col("toxic") > 0).cast("int"))
     rate = F.col("n_texts") / (n_toxic + n_clean)
     apart = F.col("n_toxic") / n_toxic - (F.col("n_texts") - F.col("n_toxic")) / n_clean
     scored = present.groupBy("word").agg(F.count("*").alias("n_texts"), toxic.alias("n_toxic")).filter(F.col("n_texts") >= min(MIN_TEXTS, n_toxic))
     z = apart / F.sqrt(rate * (1 - rate) * (1 / n_toxic + 1 / n_clean) + 1e-12)
-    chosen = scored.select("word", z.alias("z")).orderBy(F.abs("z").desc(), "word").limit(max_words).collect()
+    precision = F.col("n_toxic") / F.col("n_texts")
+    lift = precision * ((n_toxic + n_clean) / n_toxic)
+    scored = scored.filter((lift >= MIN_LIFT) | (lift <= 1 / MIN_LIFT))
+    chosen = scored.select("word", z.alias("z"), precision.alias("precision")).orderBy(F.abs("z").desc(), "word").limit(max_features).collect()
     position = {row["word"]: i for i, row in enumerate(chosen)}
-    telling = {row["word"] for row in chosen if row["z"] > 6} or {chosen[0]["word"]} if chosen else set()
+    marks = {row["word"] for row in chosen if row["precision"] > 0.5}
     wanted = F.array(*[F.lit(word) for word in position]) if position else F.array().cast("array<string>")
-    rows, columns, grades, density = [], [], [], []
-    for n, (label, n_words, words) in enumerate(sample.select("toxic", "n_words", F.array_intersect("words", wanted)).toLocalIterator()):
+    rows, columns, grades, marked = [], [], [], []
+    for n, (label, words) in enumerate(sample.select("toxic", F.array_intersect("words", wanted)).toLocalIterator()):
         hits = [position[word] for word in words]
         rows += [n] * len(hits)
         columns += hits
         grades.append(int(label > 0))
-        density.append(sum(word in telling for word in words) / max(n_words, 1))
+        marked.append(sum(word in marks for word in words))
     sample.unpersist()
-    grades, density = np.array(grades), np.array(density)
-    cuts = np.quantile(density[grades > 0], np.arange(1, GRADES - 1) / (GRADES - 1))
-    grades = np.where(grades > 0, 1 + np.searchsorted(cuts, density, side="left"), 0)
+    grades, marked = np.array(grades), np.array(marked)
+    cuts = np.quantile(marked[grades > 0], np.arange(1, GRADES - 1) / (GRADES - 1))
+    grades = np.where(grades > 0, 1 + np.searchsorted(cuts, marked, side="left"), 0)
     weights, thresholds = fit_ordinal(np.array(rows, np.int64), np.array(columns, np.int64), len(position), grades, GRADES)
     return OrdinalModel({word: float(weights[i]) for word, i in position.items()}, thresholds)
 
@@ -145,9 +157,9 @@ def severity(model: OrdinalModel, text: str | Column) -> Column:
     return F.arrow_udf(scored, "expected double, p_toxic double")(whole_text(text))
 
 
-def toxicity(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_words: int = MAX_WORDS) -> DataFrame:
+def toxicity(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_features: int = MAX_FEATURES) -> DataFrame:
     """``doc_id``, ``severity`` (0 to ``GRADES - 1``), ``p_toxic``, ``toxic`` of every document."""
-    model = fit(documents, labels, max_labelled, max_words)
+    model = fit(documents, labels, max_labelled, max_features)
     found = documents.select("doc_id", severity(model, "text").alias("found"))
     return found.select("doc_id", F.col("found.expected").alias("severity"), F.col("found.p_toxic").alias("p_toxic"), (F.col("found.p_toxic") >= 0.5).alias("toxic"))
 

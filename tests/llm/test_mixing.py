@@ -84,8 +84,11 @@ def test_mixed_documents_hold_what_is_taken(spark):
     held = {}
     for r in got.collect():
         mine = words(r["text"])
+        if not mine:  # copies of documents without words
+            assert r["doc_id"] >= 300
+            continue
         original = words(rows[r["doc_id"]][1])
-        at = original.index(mine[0]) if mine else 0
+        at = original.index(mine[0])
         assert original[at : at + len(mine)] == mine and r["n_chars"] == len(r["text"])
         held[r["doc_id"]] = held.get(r["doc_id"], 0) + len(mine)
     assert held == {k: v for k, v in taken.items() if v}
