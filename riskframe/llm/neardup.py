@@ -130,14 +130,19 @@ def most_bits(n_a: np.ndarray, n_b: np.ndarray, similarity: float) -> np.ndarray
     return np.minimum(flips, left + SLACK * np.sqrt(flips * flips / SKETCH_BITS + 1))
 
 
+def text_keys(text: Column) -> list[Column]:
+    """Two 64-bit hashes that name a text."""
+    return [F.xxhash64(text).alias("key1"), F.xxhash64(F.lit(1), text).alias("key2")]
+
+
 def signatures(rows: DataFrame, shingle: int, rows_in_band: int) -> DataFrame:
-    """``doc_id``, ``digest`` of the words, ``n_shingles``, ``bands`` and ``sketch`` of every row of ``doc_id, text``."""
+    """``doc_id``, ``key1, key2``, ``digest`` of the words, ``n_shingles``, ``bands`` and ``sketch`` of every row of ``doc_id, key1, key2, text``."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, number = Hasher(shingle), _mixed(np.arange(1, SAMPLES // rows_in_band + 1, dtype=np.uint64))
         for batch in batches:
             digests, sizes, bands, sketches = [], [], [], []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
+            for text in batch.column(3).cast(pa.binary()).to_pylist():
                 found = hasher.shingles(text)
                 digests.append(hashlib.blake2b(b" ".join(text.lower().split()), digest_size=16).digest())
                 sizes.append(len(found))
@@ -149,14 +154,14 @@ def signatures(rows: DataFrame, shingle: int, rows_in_band: int) -> DataFrame:
                 else:
                     bands.append([])
                     sketches.append(b"")
-            schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n_shingles", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], schema=schema)
+            added = [pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *added], names=["doc_id", "key1", "key2", "digest", "n_shingles", "bands", "sketch"])
 
-    return rows.mapInArrow(signed, "doc_id long, digest binary, n_shingles long, bands array<long>, sketch binary")
+    return rows.mapInArrow(signed, "doc_id long, key1 long, key2 long, digest binary, n_shingles long, bands array<long>, sketch binary")
 
 
 def _full_sets(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """``rep``, ``shingles`` (sorted 64-bit hashes) of the representatives in ``wanted`` (``rep``, ``digest``, ``doc_id``), from their texts."""
+    """``rep``, ``shingles`` (sorted 64-bit hashes) of the representatives in ``wanted`` (``rep, key1, key2``), from their texts."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(shingle)
@@ -164,16 +169,9 @@ def _full_sets(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
             found = [hasher.shingles(text).tobytes() for text in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["rep", "shingles"])
 
-    keyed = rows.withColumn("words", _word_digest("text"))
-    chosen = keyed.join(wanted, (keyed["words"] == wanted["digest"]) & keyed["doc_id"].eqNullSafe(wanted["doc_id"])).select("rep", "text")
-    return chosen.mapInArrow(sets, "rep long, shingles binary").groupBy("rep").agg(F.any_value("shingles").alias("shingles"))
-
-
-def _word_digest(text: str | Column) -> Column:
-    def digests(texts: pa.Array) -> pa.Array:
-        return pa.array((hashlib.blake2b(b" ".join(x.lower().split()), digest_size=16).digest() for x in texts.cast(pa.binary()).to_pylist()), pa.binary())
-
-    return F.arrow_udf(digests, "binary")(text)
+    # Equal texts meet in an aggregate before their representative's hashes are made.
+    chosen = rows.select("key1", "key2", "text").join(wanted, ["key1", "key2"]).groupBy("key1", "key2").agg(F.any_value("rep").alias("rep"), F.any_value("text").alias("text"))
+    return chosen.select("rep", "text").mapInArrow(sets, "rep long, shingles binary")
 
 
 def _sketches(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -295,20 +293,21 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(rows: DataFrame, shingle: int, percent: int, rows_in_band: int = 5, block: int = BLOCK) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row of ``doc_id, text``, linked at ``percent`` / 100 similarity or more.
+    """``doc_id, key1, key2, digest, n_shingles, component_id, kept`` of every row of ``doc_id, text``, linked at ``percent`` / 100 similarity or more.
 
-    ``kept``: the document whose id names its component. Rows that repeat an id and a text all carry the same result.
+    ``key1, key2`` are hashes of the text, ``digest`` is one of its words. ``kept``: the document whose id names its component. Rows
+    that repeat an id and a text all carry the same result.
     """
     similarity = percent / 100
-    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text("text").alias("text"))
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), *text_keys(whole_text("text")), whole_text("text").alias("text"))
     signed = written(signatures(rows, shingle, rows_in_band), "signatures")
-    reps = signed.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *[F.any_value(c).alias(c) for c in ("n_shingles", "bands", "sketch")])
+    reps = signed.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("key1", "key2")).alias("keys"), *[F.any_value(c).alias(c) for c in ("n_shingles", "bands", "sketch")])
     reps = written(reps.withColumn("rep", F.monotonically_increasing_id()), "representatives")
 
     placed = reps.select("rep", F.explode("bands").alias("bucket"))
     buckets = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("rep", F.xxhash64("rep")).alias("leader")).filter("n > 1")
     members = written(placed.join(buckets, "bucket"), "members")
-    wanted = written(reps.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "digest", "doc_id"), "wanted")
+    wanted = written(reps.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "keys.*"), "wanted")
     sets = written(_full_sets(rows, wanted, shingle), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -329,9 +328,9 @@ def near_duplicates(rows: DataFrame, shingle: int, percent: int, rows_in_band: i
     named = written(reps.select("digest", "doc_id", "rep").join(labels, "rep"), "components")
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = named.join(smallest, "label").select("digest", "component_id")
-    result = signed.select("doc_id", "digest", "n_shingles").join(named, "digest", "left")
+    result = signed.select("doc_id", "key1", "key2", "digest", "n_shingles").join(named, "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return result.select("doc_id", "digest", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return result.select("doc_id", "key1", "key2", "digest", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def deduplicate(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -339,14 +338,15 @@ def deduplicate(documents: DataFrame, shingle: int = 5, percent: int = 80) -> Da
 
     Of rows that repeat the id and the words of the one that stays, one stays.
     """
-    found = near_duplicates(documents.select("doc_id", "text"), shingle, percent, rows_in_band=4)
-    kept = found.filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_words")).groupBy("kept_id", "kept_words").agg(F.count("*").alias("n_same"))
-    rows = packed(documents).withColumn("doc_id", F.col("row.doc_id").cast("long")).withColumn("words", _word_digest(whole_text(F.col("row.text"))))
-    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["kept_id"]) & (rows["words"] == kept["kept_words"]))
-    no_words = F.col("words") == F.lit(hashlib.blake2b(b"", digest_size=16).digest())
-    single = rows.filter(no_words | (F.col("n_same") == 1)).select("row")
-    repeated = rows.filter(~no_words & (F.col("n_same") > 1)).groupBy("doc_id", "words").agg(F.any_value("row").alias("row")).select("row")
-    return unpacked(single.unionByName(repeated))
+    found = near_duplicates(documents.select("doc_id", "text"), shingle, percent, rows_in_band=4).filter("kept and n_shingles > 0")
+    # Rows that share the id and the words of the one that stays: one text of them, and one row of that text.
+    texts = found.groupBy("doc_id", "digest", "key1", "key2").agg(F.count("*").alias("n_same")).groupBy("doc_id", "digest")
+    stays = texts.agg(F.min(F.struct("key1", "key2", "n_same")).alias("s")).select(F.col("doc_id").alias("own"), F.col("s.key1").alias("own1"), F.col("s.key2").alias("own2"), "s.n_same")
+    rows = packed(documents).select("row", F.col("row.doc_id").cast("long").alias("doc_id"), *text_keys(whole_text(F.col("row.text"))))
+    empty = rows.filter(~whole_text(F.col("row.text")).rlike(r"[^\x20\x09-\x0D]")).select("row")
+    rows = rows.join(stays, F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("key1") == F.col("own1")) & (F.col("key2") == F.col("own2")))
+    repeated = rows.filter("n_same > 1").groupBy("own", "own1", "own2").agg(F.any_value("row").alias("row")).select("row")
+    return unpacked(rows.filter("n_same = 1").select("row").unionByName(repeated).unionByName(empty))
 
 
 def op10_minhash_dedup(spark, sf_dir: str) -> DataFrame:
