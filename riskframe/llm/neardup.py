@@ -36,9 +36,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: MinHash values for the bands.
 SAMPLES = 120
 #: Bins of the one-permutation MinHash that the sketch folds, and bits of the sketch.
-BINS, SKETCH_BITS = 1024, 2048
+BINS, SKETCH_BITS = 4096, 2048
 #: Standard deviations that a pair may fall short by before the sketches rule it out.
-SLACK = 5.0
+SLACK = 4.5
 #: Members of a bucket that one task compares at most; larger buckets are compared in pairs of such blocks.
 BLOCK = 20_000
 #: Nearest members of other components that are confirmed before all others.
@@ -110,24 +110,26 @@ def min_hashes(shingles: np.ndarray) -> np.ndarray:
 
 
 def odd_sketch(shingles: np.ndarray) -> bytes:
-    """The smallest value of each bin that the set touches flips one bit; equal samples of two sets cancel in the exclusive-or."""
-    bins = (shingles & np.uint64(BINS - 1)).astype(np.int64)
-    lows = np.full(BINS, np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(lows, bins, shingles)
-    at = _mixed(lows[np.unique(bins)] * np.uint64(0xA24BAED4963EE407)) % np.uint64(SKETCH_BITS)
+    """The smallest value of each bin that the sorted set touches flips one bit; equal samples of two sets cancel in the exclusive-or."""
+    _, first = np.unique(shingles & np.uint64(BINS - 1), return_index=True)
+    at = _mixed(shingles[first] * np.uint64(0xA24BAED4963EE407)) % np.uint64(SKETCH_BITS)
     return np.packbits((np.bincount(at.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
 
 
 def most_bits(n_a: np.ndarray, n_b: np.ndarray, similarity: float) -> np.ndarray:
     """Bits in the exclusive-or of two sketches beyond which a pair of that similarity is all but impossible.
 
-    Of the bins that the union touches, a share of ``1 - similarity`` differs, and each of those flips two bits at most. Flips
-    that fall together cancel: of ``f`` flips ``bits / 2 * (1 - exp(-2 f / bits))`` bits are left on average.
+    At that similarity ``(1 - s) / (1 + s)`` of the two sizes together lie in one set alone. Such a shingle shows if it is the
+    smallest of its bin; it then flips one bit, and a second one if the other set has a sample in that bin. Of ``f`` flips
+    ``bits / 2 * (1 - exp(-2 f / bits))`` bits are left on average. Small sets are sampled nearly whole, so they vary little.
     """
-    bins = np.minimum(BINS, np.minimum(n_a, n_b) / similarity)
-    flips = 2 * (bins * (1 - similarity) + SLACK * np.sqrt(bins * similarity * (1 - similarity)) + 1)
-    left = SKETCH_BITS / 2 * (1 - np.exp(-2 * flips / SKETCH_BITS))
-    return np.minimum(flips, left + SLACK * np.sqrt(flips * flips / SKETCH_BITS + 1))
+    apart = (1 - similarity) / (1 + similarity) * (n_a + n_b)
+    low, high = np.minimum(n_a, n_b) / BINS, np.maximum(n_a, n_b) / BINS
+    shown = -np.expm1(-low) / low
+    flips = apart * shown * (2 - high * np.exp(-high) / -np.expm1(-high))
+    left = SKETCH_BITS / 2 * -np.expm1(-2 * flips / SKETCH_BITS)
+    spread = 2 * flips * (1 - shown) + np.minimum(2 * flips * flips / SKETCH_BITS, SKETCH_BITS / 4) + 1
+    return left + SLACK * np.sqrt(spread)
 
 
 def text_keys(text: Column) -> list[Column]:
