@@ -5,9 +5,9 @@ sorted. A query descends each tree to the longest prefix that any other vector s
 one bit a step, until the vectors that share the prefix number ``candidates`` (over all trees) or the roots are reached; the nearest
 of these candidates by exact cosine are the answer.
 
-* The sorted arrays are held in slices: the vectors of a tree are dealt at random into slices of ``slice_rows``, and a query visits
-  every slice of every tree, in blocks of ``query_rows`` queries. What counts is the number of vectors below a prefix, and that
-  is the sum over slices, so slicing changes no result and no slice grows with the input.
+* The sorted arrays are held in slices: the vectors are dealt at random into slices of ``slice_rows``, each with its part of all
+  trees, and a query visits every slice, in blocks of ``query_rows`` queries. What counts is the number of vectors below a prefix,
+  and that is the sum over slices, so slicing changes no result and no slice grows with the input.
 * Two passes keep what is shuffled small: the first only counts vectors by length of the shared prefix, which gives each query the
   depth at which its ascent ends; the second looks up the vectors at or below that depth and emits the best ``k`` of each slice.
 * Equal vectors are one entry that carries its ``k + 1`` smallest ids: a query can use ``k`` of them at most, besides its own.
@@ -23,8 +23,6 @@ the smallest counts. A query alone in the index has no result rows.
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -38,7 +36,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 TREES, DEPTH = 20, 32
 #: Candidates of a query as a share of the index, counted over all trees.
 CANDIDATE_SHARE = 1.0
-SLICE_ROWS, QUERY_ROWS = 20_000, 2_000
+SLICE_ROWS, QUERY_ROWS = 4_000, 500
 SEED = 5
 
 Matrix = np.ndarray
@@ -97,30 +95,28 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, trees: int = TREES,
     wanted = max(int(np.ceil(share * n)), 2 * (k + 1) * trees)
     slices, blocks = -(-n // slice_rows), -(-n_queries // query_rows)
 
-    # A unit is a tree, a slice of its vectors and a block of queries.
-    tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
+    # A unit is a slice of the vectors and a block of queries.
     own = F.pmod(F.xxhash64("entry"), F.lit(slices)).cast("int").alias("slice")
     block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block")
     all_blocks, all_slices = (F.explode(F.sequence(F.lit(0), F.lit(x - 1))) for x in (blocks, slices))
-    held = index.select("entry", "vector", "vec_ids", tree, own).select("*", all_blocks.alias("block"))
-    unit = ["tree", "slice", "block"]
-
-    def sorted_slice(part: pa.Table) -> tuple[Matrix, Matrix, Matrix]:
-        matrix = _matrix(part.column("vector"))
-        strings = hash_strings(matrix, trees, depth, seed)[:, part.column("tree")[0].as_py()]
-        order = np.argsort(strings, kind="stable")
-        return matrix[order], strings[order], order
+    held = index.select("entry", "vector", "vec_ids", own, all_blocks.alias("block"))
+    unit = ["slice", "block"]
 
     def counts(left: pa.Table, right: pa.Table) -> pa.Table:
-        """For each query, the vectors of the slice that share at least 0, 1, ... bits with it."""
+        """For each query, the vectors of the slice that share at least 0, 1, ... bits with it, over all trees."""
         if not left.num_rows or not right.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "n_below": pa.array([], pa.list_(pa.int64()))})
-        _, strings, _ = sorted_slice(left)
-        asked_strings = hash_strings(_matrix(right.column("vector")), trees, depth, seed)[:, left.column("tree")[0].as_py()]
-        found = np.stack([np.subtract(*below(strings, asked_strings, depth, np.int64(d))[::-1]) for d in range(depth + 1)], axis=1)
+        strings = hash_strings(_matrix(left.column("vector")), trees, depth, seed)
+        asked_strings = hash_strings(_matrix(right.column("vector")), trees, depth, seed)
+        found = np.zeros((right.num_rows, depth + 1), np.int64)
+        for tree in range(trees):
+            sorted_strings = np.sort(strings[:, tree])
+            for d in range(depth + 1):
+                low, high = below(sorted_strings, asked_strings[:, tree], depth, np.int64(d))
+                found[:, d] += high - low
         return pa.table({"query_id": right.column("vec_id"), "n_below": pa.array(list(found), pa.list_(pa.int64()))})
 
-    spread = asked.select("vec_id", "vector", block, tree).select("*", all_slices.alias("slice"))
+    spread = asked.select("vec_id", "vector", block, all_slices.alias("slice"))
     counted = held.groupBy(*unit).cogroup(spread.groupBy(*unit)).applyInArrow(counts, "query_id long, n_below array<long>")
     summed = counted.groupBy("query_id").agg(*[F.sum(F.col("n_below")[d]).alias(f"n{d}") for d in range(depth + 1)])
     # The ascent ends at the greatest depth with enough vectors; the query's own entry is one of them in every tree.
@@ -132,28 +128,28 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, trees: int = TREES,
         names = {"query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.float64()}
         if not left.num_rows or not right.num_rows:
             return pa.table({c: pa.array([], t) for c, t in names.items()})
-        matrix, strings, order = sorted_slice(left)
-        unit_rows = matrix / np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
-        ids = left.column("vec_ids").combine_chunks().take(pa.array(order)).to_pylist()
-        asked_matrix = _matrix(right.column("vector"))
-        asked_strings = hash_strings(asked_matrix, trees, depth, seed)[:, left.column("tree")[0].as_py()]
-        low, high = below(strings, asked_strings, depth, right.column("at").to_numpy())
-        out: list[tuple[int, int, float]] = []
-        for i, query in enumerate(right.column("vec_id").to_pylist()):
-            q = asked_matrix[i]
-            q_norm = np.sqrt((q * q).sum())
-            rough = unit_rows[low[i] : high[i]] @ (q / q_norm)
-            # The own entry may be among the best; what is as near as the last of them stays for the exact order.
-            least = np.partition(rough, len(rough) - k - 1)[len(rough) - k - 1] if len(rough) > k + 1 else -2.0
-            best = np.flatnonzero(rough >= least - 1e-9) + low[i]
-            exact = (matrix[best] * q).sum(axis=1) / (np.sqrt((matrix[best] * matrix[best]).sum(axis=1)) * q_norm)
-            near = [(-score, v) for score, j in zip(exact.tolist(), best.tolist(), strict=True) for v in ids[j] if v != query]
-            out += [(query, v, -score) for score, v in sorted(near)[:k]]
+        matrix, asked_matrix = _matrix(left.column("vector")), _matrix(right.column("vector"))
+        norms, asked_norms = (np.sqrt((m * m).sum(axis=1)) for m in (matrix, asked_matrix))
+        strings, asked_strings = (hash_strings(m, trees, depth, seed) for m in (matrix, asked_matrix))
+        ids, queries, at = left.column("vec_ids").to_pylist(), right.column("vec_id").to_pylist(), right.column("at").to_numpy()
+        best: list[dict[int, float]] = [{} for _ in queries]
+        for tree in range(trees):
+            order = np.argsort(strings[:, tree], kind="stable")
+            rows = matrix[order] / norms[order, None]
+            low, high = below(strings[order, tree], asked_strings[:, tree], depth, at)
+            for i, query in enumerate(queries):
+                rough = rows[low[i] : high[i]] @ (asked_matrix[i] / asked_norms[i])
+                # The own entry may be among the best; what is as near as the last of them stays for the exact order.
+                least = np.partition(rough, len(rough) - k - 1)[len(rough) - k - 1] if len(rough) > k + 1 else -2.0
+                near = order[np.flatnonzero(rough >= least - 1e-9) + low[i]]
+                exact = (matrix[near] * asked_matrix[i]).sum(axis=1) / (norms[near] * asked_norms[i])
+                for j, score in zip(near.tolist(), exact.tolist(), strict=True):
+                    best[i].update((v, score) for v in ids[j] if v != query)
+        out = [(query, v, score) for query, found in zip(queries, best, strict=True) for v, score in sorted(found.items(), key=lambda x: (-x[1], x[0]))[:k]]
         return pa.table({c: pa.array([x[i] for x in out], t) for i, (c, t) in enumerate(names.items())})
 
-    spread = asked.join(ends, F.col("vec_id") == F.col("asker")).select("vec_id", "vector", "at", block, tree).select("*", all_slices.alias("slice"))
+    spread = asked.join(ends, F.col("vec_id") == F.col("asker")).select("vec_id", "vector", "at", block, all_slices.alias("slice"))
     found = held.groupBy(*unit).cogroup(spread.groupBy(*unit)).applyInArrow(nearest, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -182,3 +182,50 @@ def op7_source_mixing(spark, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(whole_text("text")).alias("size"))
     return mix(written(rows, "words")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP7_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+), sources AS (
+  SELECT *, [5.0, 2.0, 1.0][nth % 3 + 1]::DOUBLE AS weight, 2.0::DOUBLE * source_size AS bound FROM (
+    SELECT source, sum(size)::BIGINT AS source_size, count(*) AS docs, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nth FROM sized GROUP BY source)
+), levels AS (  -- the level if this source and all that fill up before it are capped
+  SELECT nth, bound / weight AS full_at, (SELECT 1.5::DOUBLE * sum(source_size) FROM sources) AS asked,
+    coalesce(sum(bound) OVER w, 0.0) AS capped, (SELECT sum(weight) FROM sources) - coalesce(sum(weight) OVER w, 0.0) AS open
+  FROM sources WINDOW w AS (ORDER BY bound / weight, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), goals AS (
+  SELECT s.*, least(bound, weight * coalesce((SELECT max((asked - capped) / open) FROM levels WHERE (asked - capped) / open <= full_at), 1e300)) AS target FROM sources s
+), seats AS (
+  SELECT nth, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, nth) AS place
+  FROM (SELECT nth, target, unnest(range(0, floor(target / 16)::BIGINT + (SELECT count(*) FROM sources) + 2)) AS k FROM goals WHERE target > 0)
+), quotas AS (
+  SELECT g.*, ceil(docs / 50000.0)::BIGINT AS n_shards,
+    (SELECT count(*) FROM seats WHERE seats.nth = g.nth AND place <= (SELECT round(sum(target) / 16) FROM goals)) AS quota
+  FROM goals g
+), dealt AS (
+  SELECT d.*, q.source_size, q.target, q.quota, q.nth, h AS place,
+    list_sum(list_transform(range(12), lambda i: (strpos('0123456789abcdef', substr(h, 50 + i, 1)) - 1) * (1::BIGINT << (4 * (11 - i)))))::BIGINT % q.n_shards AS shard
+  FROM (SELECT *, sha256('11|' || coalesce(doc_id::VARCHAR, '') || '|' || size) AS h FROM sized) d JOIN quotas q ON d.source IS NOT DISTINCT FROM q.source
+), shards AS (SELECT nth, shard, sum(size)::BIGINT AS shard_size, any_value(quota) AS quota FROM dealt GROUP BY nth, shard),
+shard_seats AS (
+  SELECT nth, shard, row_number() OVER (PARTITION BY nth ORDER BY shard_size / (2 * k + 1) DESC, shard) <= quota AS won
+  FROM (SELECT *, unnest(range(0, quota)) AS k FROM shards WHERE shard_size > 0)
+), asked AS (
+  SELECT s.nth, s.shard, s.shard_size, greatest(ceil(s.shard_size / 16.0)::BIGINT, 1) AS blocks, coalesce(q.n, 0) AS shard_quota,
+    sha256('11|start|' || s.nth || '|' || s.shard) AS h
+  FROM shards s LEFT JOIN (SELECT nth, shard, count(*) FILTER (WHERE won) AS n FROM shard_seats GROUP BY nth, shard) q USING (nth, shard)
+), runs AS (
+  SELECT *, least(shard_quota, blocks * 2) // blocks AS copies, least(shard_quota, blocks * 2) % blocks AS more,
+    list_sum(list_transform(range(12), lambda i: (strpos('0123456789abcdef', substr(h, 50 + i, 1)) - 1) * (1::BIGINT << (4 * (11 - i)))))::BIGINT % blocks * 16 AS first
+  FROM asked
+), lined AS (
+  SELECT d.*, sum(size) OVER (PARTITION BY d.nth, d.shard ORDER BY place, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS until,
+    copies, first, first + more * 16 AS last, greatest(first + more * 16 - blocks * 16, 0) AS around
+  FROM dealt d JOIN runs r ON d.nth = r.nth AND d.shard = r.shard
+)
+SELECT doc_id, size, source_size, target,
+  (copies * size + greatest(greatest(least(last, until) - (until - size), 0) - greatest(least(first, until) - (until - size), 0), 0)
+    + greatest(least(around, until) - (until - size), 0))::BIGINT AS taken
+FROM lined
+"""

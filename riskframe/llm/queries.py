@@ -18,6 +18,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_chat_format": chat.OP1_SQL,
+    "op7_source_mixing": mixing.OP7_SQL,
     "op8_exact_dedup": exact.OP8_SQL,
     "op10_minhash_dedup": neardup.OP10_SQL,
 }
