@@ -24,7 +24,7 @@ from riskframe.llm.common import packed, table, unpacked, whole_text, written
 WEIGHTS = (5, 2, 1)
 EPOCHS, MOST = 1.5, 2
 #: Words of a block, documents of a shard.
-BLOCK, SHARD_DOCS = 16, 50_000
+BLOCK, SHARD_DOCS = 16, 5_000
 SEED = 11
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -200,7 +200,7 @@ WITH sized AS (
   SELECT nth, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, nth) AS place
   FROM (SELECT nth, target, unnest(range(0, floor(target / 16)::BIGINT + (SELECT count(*) FROM sources) + 2)) AS k FROM goals WHERE target > 0)
 ), quotas AS (
-  SELECT g.*, ceil(docs / 50000.0)::BIGINT AS n_shards,
+  SELECT g.*, ceil(docs / 5000.0)::BIGINT AS n_shards,
     (SELECT count(*) FROM seats WHERE seats.nth = g.nth AND place <= (SELECT round(sum(target) / 16) FROM goals)) AS quota
   FROM goals g
 ), dealt AS (
