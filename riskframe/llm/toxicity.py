@@ -27,7 +27,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import packed, table, unpacked, whole_text
+from riskframe.llm.common import packed, table, unpacked, whole_text, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -111,11 +111,10 @@ def _training_words(documents: DataFrame, labels: DataFrame, max_labelled: int)
 
 def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_features: int = MAX_FEATURES) -> OrdinalModel:
     """The model of the labelled texts."""
-    sample = _training_words(documents, labels, max_labelled).cache()
+    sample = written(_training_words(documents, labels, max_labelled), "sample")
     sizes = dict(sample.groupBy(F.col("toxic") > 0).count().collect())
     n_toxic, n_clean = sizes.get(True, 0), sizes.get(False, 0)
     if not n_toxic or not n_clean:
-        sample.unpersist()
         return OrdinalModel()
     # The features that set the classes apart: much more or much less frequent in toxic texts, by the score of a two-proportion
     # test with pooled variance. Features of a language or a topic that lean to one class only a little are left out.
@@ -139,7 +138,6 @@ def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
         columns += hits
         grades.append(int(label > 0))
         marked.append(sum(word in marks for word in words))
-    sample.unpersist()
     grades, marked = np.array(grades), np.array(marked)
     cuts = np.quantile(marked[grades > 0], np.arange(1, GRADES - 1) / (GRADES - 1))
     grades = np.where(grades > 0, 1 + np.searchsorted(cuts, marked, side="left"), 0)
