@@ -9,7 +9,7 @@ by all thresholds: ``P(grade <= k) = sigmoid(threshold_k - w . x)``, with ``x``
 the sum of ``P(grade > k)``; a text is toxic when ``P(grade > 0)`` is at least one half.
 
 The model is fitted on at most ``max_labelled`` labelled texts (chosen by a hash of the id; several labels of one id count as the
-highest one, null labels do not count) and holds at most ``max_features`` features; everything else covers all texts. Equal texts with
+highest one, several texts as the smallest one, null labels do not count) and holds at most ``max_features`` features; everything else covers all texts. Equal texts with
 equal labels count once in training. Without toxic or without clean labels nothing is toxic and every severity is 0. Null texts
 count as empty.
 """
@@ -99,7 +99,8 @@ def _training_words(documents: DataFrame, labels: DataFrame, max_labelled: int)
     """``toxic``, ``words`` (features) of the labelled sample, equal texts of equal labels once."""
     sample = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("toxic").cast("int").alias("toxic")).filter("label_id is not null and toxic is not null")
     sample = sample.groupBy("label_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("label_id"), "label_id").limit(max_labelled)
-    texts = documents.select(F.col("doc_id").cast("long").alias("label_id"), whole_text("text").alias("text")).join(F.broadcast(sample), "label_id").select("toxic", "text")
+    texts = documents.select(F.col("doc_id").cast("long").alias("label_id"), whole_text("text").alias("text")).join(F.broadcast(sample), "label_id")
+    texts = texts.groupBy("label_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")).select("toxic", "text")
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
