@@ -474,11 +474,11 @@ _size = """(CASE WHEN size_limit >= 1000000 THEN format('{:,}', size_limit // 10
   ELSE format('{:,}', size_limit) || ' bytes' END)"""
 CTE["rlimit"] = f"""
 SELECT *, code_files > file_limit AS many, repo_size_bytes > size_limit AS large FROM (
-  SELECT c.repo, r.plan, count(*) FILTER (WHERE {IS_CODE}) AS code_files,
+  SELECT r.request_id, r.repo, r.plan, count(*) FILTER (WHERE {IS_CODE}) AS code_files,
     CAST(coalesce(sum(strlen(content)) FILTER (WHERE {IS_CODE}), 0) AS BIGINT) AS repo_size_bytes,
     {limit('r.plan', 'repo_file_limit', _tight)} AS file_limit,
     CAST({limit('r.plan', 'repo_size_limit_bytes', _tight)} AS BIGINT) AS size_limit
-  FROM cf c JOIN rr r USING (repo) GROUP BY c.repo, r.plan)"""
+  FROM rr r LEFT JOIN cf c ON c.repo = r.repo GROUP BY r.request_id, r.repo, r.plan)"""
 
 
 def admitted(source: str, used: str = "0") -> str:
@@ -608,7 +608,7 @@ oracle("account_access", """
 SELECT event_id, CASE WHEN user_id % 4 = 0 THEN 'admin' ELSE 'user' END AS role,
   CASE WHEN user_id % 3 = 0 THEN 'pro' WHEN user_id % 4 = 0 THEN 'admin' ELSE 'free' END AS plan FROM events""")
 oracle("repo_limits", f"""
-SELECT repo, plan, code_files, repo_size_bytes, file_limit AS repo_file_limit, size_limit AS repo_size_limit_bytes,
+SELECT request_id, repo, plan, code_files, repo_size_bytes, file_limit AS repo_file_limit, size_limit AS repo_size_limit_bytes,
   NOT (coalesce(many, FALSE) OR coalesce(large, FALSE)) AS admitted,
   CASE WHEN many THEN 'Repo file limit reached' WHEN large THEN 'Repo size limit reached' END AS limit_title,
   CASE WHEN many THEN {_plan_label} || ' scans are limited to ' || file_limit || ' code files per repository. Upgrade for larger repo scans.'

@@ -23,7 +23,7 @@ def normalize_version(raw: Column) -> Column:
 
     def judge(v: Column) -> Column:
         bare = F.regexp_replace(v, _LEADING, "")
-        base = strip(F.substring(bare, 2, 1_000_000))
+        base = strip(F.substr(bare, F.lit(2)))
         unresolved = result(F.lit(None).cast("string"), "unresolved")
         return (
             F.when((v == "") | F.lower(v).rlike(_UNSUPPORTED) | v.rlike(_UNRESOLVED), unresolved)

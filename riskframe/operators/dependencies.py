@@ -18,6 +18,10 @@ def _filled(values: Column) -> Column:
     return F.filter(F.transform(values, strip), lambda v: v.isNotNull() & (v != ""))
 
 
+def _first(values: Column, most: int | None) -> Column:
+    return values if most is None else F.slice(values, 1, most)
+
+
 def severity_label(affected: Column, database: Column, scores: Column) -> Column:
     """Upper-cased severity of an advisory (operator C17)."""
     named = F.get(_filled(F.transform(affected, lambda a: a["ecosystem_specific"]["severity"])), F.lit(0))
@@ -35,31 +39,35 @@ def severity_label(affected: Column, database: Column, scores: Column) -> Column
     return F.coalesce(F.upper(named), F.upper(general), scored, F.lit("UNKNOWN"))
 
 
-def fixed_versions(affected: Column) -> Column:
-    """Distinct fixed versions in order, five at most (operator A13)."""
+def fixed_versions(affected: Column, most: int | None = rules.MAX_FIXED_VERSIONS) -> Column:
+    """Distinct fixed versions in order (operator A13), the first ``most`` of them or all."""
     events = F.flatten(F.flatten(F.transform(
         affected, lambda a: F.transform(F.coalesce(a["ranges"], F.array().cast(
             "array<struct<events:array<struct<introduced:string,fixed:string>>>>"
         )), lambda r: F.coalesce(r["events"], F.array().cast("array<struct<introduced:string,fixed:string>>"))),
     )))
     found = F.array_distinct(_filled(F.transform(events, lambda e: e["fixed"])))
-    return F.coalesce(
-        F.slice(found, 1, rules.MAX_FIXED_VERSIONS), F.array().cast("array<string>")
-    )
+    return F.coalesce(_first(found, most), F.array().cast("array<string>"))
 
 
 def severity_points(label: Column) -> Column:
     return lookup(rules.ADVISORY_POINTS, label, rules.ADVISORY_POINTS["UNKNOWN"])
 
 
-def advisory_facts(advisories: DataFrame) -> DataFrame:
-    """The fields a finding needs, one row per advisory: the body is read and cut down once."""
+def advisory_facts(
+    advisories: DataFrame,
+    max_aliases: int | None = rules.MAX_ALIASES,
+    max_fixed: int | None = rules.MAX_FIXED_VERSIONS,
+) -> DataFrame:
+    """The fields a finding needs, one row per advisory: the body is read and cut down once.
+
+    The report's limits on lists are parameters; None keeps everything.
+    """
     summary, details = strip(F.col("summary")), strip(F.col("details"))
     return advisories.where(F.col("id").isNotNull()).select(
         "id", severity_label(F.col("affected"), F.col("database_specific"), F.col("severity")).alias("severity_label"),
-        fixed_versions(F.col("affected")).alias("fixed_versions"),
-        F.coalesce(F.slice(_filled(F.col("aliases")), 1, rules.MAX_ALIASES), F.array().cast("array<string>"))
-        .alias("aliases"),
+        fixed_versions(F.col("affected"), max_fixed).alias("fixed_versions"),
+        F.coalesce(_first(_filled(F.col("aliases")), max_aliases), F.array().cast("array<string>")).alias("aliases"),
         F.coalesce(
             F.nullif(summary, F.lit("")), F.nullif(details, F.lit("")), F.lit(texts.ADVISORY_DEFAULT_EXPLANATION)
         ).alias("text"),
@@ -76,14 +84,23 @@ def dependency_refs(dependencies: DataFrame, refs: DataFrame) -> DataFrame:
     return dependencies.join(refs, _KEYS, "inner")
 
 
-def dependency_findings(dependencies: DataFrame, refs: DataFrame, advisories: DataFrame) -> DataFrame:
+def dependency_findings(
+    dependencies: DataFrame,
+    refs: DataFrame,
+    advisories: DataFrame,
+    max_aliases: int | None = rules.MAX_ALIASES,
+    max_fixed: int | None = rules.MAX_FIXED_VERSIONS,
+    max_explanation: int | None = rules.MAX_EXPLANATION_CHARS,
+) -> DataFrame:
     """One row per dependency and advisory (operators J1, J2, C18, C19).
 
-    The two snapshot sides are joined first, so the large dependency table is shuffled once, and
-    a popular package can only skew that one join.
+    The narrow references are joined first and the facts of the advisories they name are attached
+    by id, so texts are not multiplied by every affected version.
     """
-    hits = refs.where(F.col("id") != "").join(advisory_facts(advisories), "id")
-    rows = dependency_refs(dependencies, hits).withColumn("percent", manifest_percent(F.col("file")))
+    hits = dependency_refs(dependencies, refs.where(F.col("id") != ""))
+    rows = hits.join(advisory_facts(advisories, max_aliases, max_fixed), "id").withColumn(
+        "percent", manifest_percent(F.col("file"))
+    )
     label, percent = F.col("severity_label"), F.col("percent")
     base = severity_points(label)
     reduced = percent < 100
@@ -106,7 +123,7 @@ def dependency_findings(dependencies: DataFrame, refs: DataFrame, advisories: Da
         ).alias("message"),
         "severity_label", (base * percent / F.lit(100.0)).alias("severity"),
         base.cast("double").alias("base_severity"), weight.alias("path_weight"),
-        F.substring(explanation, 1, rules.MAX_EXPLANATION_CHARS).alias("explanation"),
+        (explanation if max_explanation is None else F.substring(explanation, 1, max_explanation)).alias("explanation"),
         "published", "modified", "fixed_versions",
         lookup(texts.ADVISORY_WHY, label, texts.ADVISORY_DEFAULT_WHY).alias("why_risky"),
         F.concat(

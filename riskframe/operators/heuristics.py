@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,15 +33,23 @@ def first_matching_line(scan_text: Column, runs: Column, pattern: str) -> Column
     )
 
 
+def matches(text: Column, pattern: str, words: Sequence[str]) -> Column:
+    """Whether a pattern is found; it is tried only on texts that hold one of its words.
+
+    A plain search for a word costs a fraction of the pattern, and nearly all texts hold none.
+    """
+    return reduce(or_, [F.contains(text, F.lit(word)) for word in words]) & text.rlike(patterns.jvm(pattern))
+
+
 def heuristic_findings(scan_text: Column, text_code: Column, runs: Column) -> Column:
     """Findings from combined signals of a whole file (operator A9)."""
-    signal = {name: text_code.rlike(patterns.jvm(p)) for name, p in rules.SIGNALS.items()}
+    signal = {name: matches(text_code, p, rules.SIGNAL_WORDS[name]) for name, p in rules.SIGNALS.items()}
     fires = {
         "obfuscated_execution": signal["exec"] & signal["decode"],
         "download_execute_chain": signal["download"] & signal["system"],
         "high_entropy_blob": scan_text.rlike(_BLOB),
-        "chr_chain": F.regexp_count(text_code, F.lit(patterns.jvm(rules.SIGNALS["chr"])))
-        >= rules.CHR_CHAIN_LENGTH,
+        "chr_chain": signal["chr"] & (F.regexp_count(text_code, F.lit(patterns.jvm(rules.SIGNALS["chr"])))
+        >= rules.CHR_CHAIN_LENGTH),
     }
     return present(
         F.when(fires[key], finding(
@@ -50,6 +62,6 @@ def heuristic_findings(scan_text: Column, text_code: Column, runs: Column) -> Co
 
 def touches(text_code: Column, findings: Column) -> Column:
     """Behaviour categories of a file in fixed order (operator A10)."""
-    found = [F.when(text_code.rlike(patterns.jvm(p)), F.lit(name)) for name, p in rules.TOUCHES]
+    found = [F.when(matches(text_code, p, rules.TOUCH_WORDS[name]), F.lit(name)) for name, p in rules.TOUCHES]
     found.append(F.when(F.exists(findings, lambda f: f["type"] == "secret"), F.lit(rules.SECRETS_TOUCH)))
     return present(found)

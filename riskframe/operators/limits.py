@@ -70,7 +70,7 @@ def line_limit_message(plan: Column, limit: Column) -> Column:
 
 
 def _capitalized(text: Column) -> Column:
-    return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, 2, 1_000)))
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substr(text, F.lit(2))))
 
 
 def _size_text(limit: Column) -> Column:
@@ -80,21 +80,27 @@ def _size_text(limit: Column) -> Column:
 
 
 def repo_limits(files: DataFrame, requests: DataFrame, limits: Limits = rules.PLAN_LIMITS) -> DataFrame:
-    """Size and admission of every requested repository (operators P11, A12, C24).
+    """Size and admission of every request (operators P11, A12, C24).
 
     Reads names and sizes only - column pruning keeps the contents out - and sums per repository
-    with partial aggregation, so one huge repository is no bottleneck.
+    with partial aggregation, so one huge repository is no bottleneck.  Requests keep a row each,
+    named by ``request_id`` if they have one; a repository without files has size 0.
     """
+    keys = [c for c in ("request_id",) if c in requests.columns]
+    zero = F.lit(0).cast("bigint")
     code = F.when(is_code_file(F.col("path")) & ~F.endswith("path", F.lit("/")), F.col("size_bytes"))
     sizes = files.groupBy("repo").agg(
         F.count(code).alias("code_files"), F.coalesce(F.sum(code), F.lit(0)).alias("repo_size_bytes")
     )
-    rows = with_plan_limits(sizes.join(requests.select("repo", "plan"), "repo"), "plan", limits)
+    asked = requests.select(*keys, "repo", "plan").join(sizes, "repo", "left").withColumns(
+        {c: F.coalesce(c, zero) for c in ["code_files", "repo_size_bytes"]}
+    )
+    rows = with_plan_limits(asked, "plan", limits)
     too_many = F.col("code_files") > F.col("repo_file_limit")
     too_large = F.col("repo_size_bytes") > F.col("repo_size_limit_bytes")
     plan = _capitalized(normalized_plan(F.col("plan")))
     return rows.select(
-        "repo", normalized_plan(F.col("plan")).alias("plan"), "code_files", "repo_size_bytes",
+        *keys, "repo", normalized_plan(F.col("plan")).alias("plan"), "code_files", "repo_size_bytes",
         "repo_file_limit", "repo_size_limit_bytes",
         F.coalesce(~(F.coalesce(too_many, F.lit(False)) | F.coalesce(too_large, F.lit(False))), F.lit(True))
         .alias("admitted"),

@@ -151,14 +151,14 @@ def dedupe_dependencies(dependencies: DataFrame, scope: str = "repo") -> DataFra
     )
 
 
-def skipped_top(entries: DataFrame, scope: str = "repo", top: int = rules.MAX_SKIPPED_REPORTED) -> DataFrame:
-    """The first skipped entries per repository in parse order (operator O3).
+def skipped_top(entries: DataFrame, scope: str = "repo", top: int | None = rules.MAX_SKIPPED_REPORTED) -> DataFrame:
+    """The first ``top`` skipped entries per repository in parse order, or all (operator O3).
 
     The literal limit on the row number lets Spark cut every group before the shuffle.
     """
     order = Window.partitionBy(scope).orderBy("file", "line", "section_ord", "pos")
     return (
-        skipped(entries).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+        skipped(entries).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top if top is not None else F.lit(True))
         .select(scope, "rank", "file", "line", "raw", "reason")
     )
 

@@ -27,14 +27,15 @@ def file_weights(reports: DataFrame) -> DataFrame:
     })
 
 
-def rollup_files(reports: DataFrame, scope: str = "repo") -> DataFrame:
-    """One row per repository from its file reports (operators A2-A5).
+def rollup_files(reports: DataFrame, *scope: str) -> DataFrame:
+    """One row per repository (or other ``scope`` columns) from its file reports (operators A2-A5).
 
     Categories, sentences and risk levels come from short fixed lists, so every union, maximum and
     first occurrence is a fixed-width aggregate: one shuffle, combined on the map side, with
     nothing collected - a repository with a third of all files costs no more than its rows.
     Points and weights are summed as whole hundredths, so the result does not depend on order.
     """
+    scope = scope or ("repo",)
     risk = F.lit(0)
     for rank, name in enumerate(_RISKS):
         risk = F.when(F.col("risk") == name, F.lit(rank)).otherwise(risk)
@@ -54,7 +55,7 @@ def rollup_files(reports: DataFrame, scope: str = "repo") -> DataFrame:
         )).alias(f"sentence_{i}")
         for i, sentence in enumerate(_SENTENCES)
     ]
-    rolled = reports.groupBy(scope).agg(*aggregates)
+    rolled = reports.groupBy(*scope).agg(*aggregates)
     first_seen = F.array_sort(present(
         F.when(F.col(f"sentence_{i}").isNotNull(),
                F.struct(F.col(f"sentence_{i}").alias("at"), F.lit(text).alias("text")))
@@ -64,7 +65,7 @@ def rollup_files(reports: DataFrame, scope: str = "repo") -> DataFrame:
     for rank, name in enumerate(_RISKS[1:], start=1):
         highest = F.when(F.col("risk_rank") == rank, F.lit(name)).otherwise(highest)
     return rolled.select(
-        scope, "files_scanned_count", "weighted_points", highest.alias("highest_file_risk"),
+        *scope, "files_scanned_count", "weighted_points", highest.alias("highest_file_risk"),
         F.array_sort(present(
             F.when(F.col(f"touch_{i}"), F.lit(touch)) for i, touch in enumerate(_TOUCHES)
         )).alias("touches"),

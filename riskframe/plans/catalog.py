@@ -6,7 +6,6 @@ default to ``call_sites=False``; queries that need the Arrow step ask for it.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,9 +23,9 @@ from riskframe.plans import file_scan, repo_scan
 from riskframe.plans.manifest_scan import repo_dependencies
 from riskframe.rules import BehaviorRule, PlanLimits, SecretRule
 from riskframe.sources import advisories as advisory_source
-from riskframe.sources import fixtures
 from riskframe.sources import files as file_source
-from riskframe.sources import sinks
+from riskframe.sources import fixtures, sinks
+from riskframe.sources.shared import shared_folder
 from riskframe.streaming import jobs
 
 JOIN = "|"
@@ -330,7 +329,7 @@ def ranked_files(spark, d):
 
 def _planned_files(spark, d):
     plans = fixtures.derive(spark, d, fixtures.REPO_REQUESTS)
-    return _files(spark, d).join(plans, "repo")
+    return _files(spark, d).join(plans.select("repo", "plan"), "repo")
 
 
 def line_limit(spark, d):
@@ -550,13 +549,13 @@ def repo_report(spark, d):
     )
     names = fixtures.derive(spark, d, fixtures.MANIFEST_LINES).select("repo", "file").distinct()
     requests = fixtures.derive(spark, d, fixtures.REPO_REQUESTS).select(
-        "repo", "plan", F.lit("build a report").alias("intent"), F.concat(F.lit("owner/"), "repo").alias("repo_name")
+        "request_id", "repo", "plan", F.lit("build a report").alias("intent"), F.concat(F.lit("owner/"), "repo").alias("repo_name")
     )
     refs, bodies = _snapshot(spark, d)
     return repo_scan.repo_reports(
         files, requests, refs, bodies, entries=_entries(spark, d), manifest_names=names
     ).select(
-        "repo", "repo_name", "admitted", "plan", "risk", "risk_points", "trust_score", "files_scanned_count",
+        "request_id", "repo", "repo_name", "admitted", "plan", "risk", "risk_points", "trust_score", "files_scanned_count",
         "files_scanned_limit", _joined("touches").alias("touches"),
         _joined("behavior_summary").alias("behavior_summary"), "summary", "highest_file_risk", "repo_size_bytes",
         "manifests_scanned", "dependencies_parsed", "dependencies_skipped_count", "advisory_count",
@@ -569,8 +568,7 @@ def repo_report(spark, d):
 
 def _stream_folder(spark: SparkSession) -> str:
     """A fresh folder for one run, in the cluster's shared folder where there is one."""
-    shared = spark.conf.get(jobs.CHECKPOINT_SETTING, None)
-    return f"{shared.rstrip('/')}/riskframe-{uuid.uuid4()}" if shared else tempfile.mkdtemp(prefix="riskframe-")
+    return f"{shared_folder(spark)}/riskframe-{uuid.uuid4()}"
 
 
 def stream_usage(spark, d):

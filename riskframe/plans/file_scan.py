@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from riskframe import rules
 from riskframe.functions.columns import round2
 from riskframe.functions.scores import risk_level, trust_badge, trust_score
+from riskframe.functions.text import split_lines
 from riskframe.operators import detect, findings, focus, heuristics, intent, limits
 from riskframe.operators.callsites import call_findings, call_sites_column
 from riskframe.operators.lines import with_scannable
@@ -61,11 +62,18 @@ def file_reports(
     limited = "plan" in files.columns
     plan = F.col("plan") if limited else F.lit("admin")
     counted = files.withColumn("line_limit", limits.limit_of(plan, "line_limit", plan_limits))
+    if limited:
+        # A file over its limit is refused before any work on it: its text goes no further.
+        counted = counted.withColumn("line_count", F.size(split_lines(F.col("content"))))
+        counted = counted.withColumn("over_limit", F.coalesce(F.col("line_count") > F.col("line_limit"), F.lit(False)))
+        counted = counted.withColumn("content", F.when(F.col("over_limit"), "").otherwise(F.col("content")))
     found = with_findings(counted, "content", behavior, secrets, call_sites)
-    over = F.coalesce(F.size("all_lines") > F.col("line_limit"), F.lit(False))
+    over = F.col("over_limit") if limited else F.lit(False)
+    line_count = F.col("line_count") if limited else F.size("all_lines")
 
     deduped = found.select(
         *keys, "intent", plan.alias("plan"), "line_limit", "all_lines", "text_code", over.alias("over_limit"),
+        line_count.alias("line_count"),
         findings.dedupe(F.col("all_findings")).alias("findings"),
     )
     touched = deduped.withColumn("touches", heuristics.touches(F.col("text_code"), F.col("findings")))
@@ -108,7 +116,7 @@ def file_reports(
         F.when(
             ~over, focus.focus_blocks(focus.flagged_lines(F.col("findings")), F.col("all_lines"), context_lines)
         ).alias("focused_code_blocks"),
-        F.size("all_lines").alias("line_count"),
+        "line_count",
         *(
             [limits.normalized_plan(F.col("plan")).alias("plan_applied"), "line_limit"] if limited else []
         ),

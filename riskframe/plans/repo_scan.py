@@ -30,19 +30,25 @@ def repo_file_reports(
     files: DataFrame,
     requests: DataFrame,
     plan_limits: limits.Limits = rules.PLAN_LIMITS,
+    verdicts: DataFrame | None = None,
     behavior: Sequence[BehaviorRule] = tuple(rules.BEHAVIOR_RULES),
     secrets: Sequence[SecretRule] = tuple(rules.SECRET_RULES),
     call_sites: bool = True,
 ) -> DataFrame:
-    """File reports of all admitted repositories.
+    """File reports of all admitted requests, keyed by ``repo``, ``intent`` and ``plan_applied``.
 
-    Admission reads metadata only.  The join that applies it has no broadcast hint, as the number
-    of repositories is not bounded: adaptive execution broadcasts the verdicts when they are
-    small and otherwise splits the partitions of a huge repository.
+    A repository that several requests name with one intent and plan is scanned once for all of
+    them.  Admission reads metadata only (or takes ``verdicts`` at hand).  The join that applies it
+    has no broadcast hint, as the number of repositories is not bounded: adaptive execution
+    broadcasts the verdicts when they are small and otherwise splits the partitions of a huge
+    repository.
     """
-    verdicts = limits.repo_limits(files.select("repo", "path", "size_bytes"), requests, plan_limits)
-    admitted = verdicts.where("admitted").select("repo")
-    chosen = requests.join(admitted, "repo", "left_semi").select("repo", "intent", "plan")
+    if verdicts is None:
+        verdicts = limits.repo_limits(files.select("repo", "path", "size_bytes"), requests, plan_limits)
+    admitted = verdicts.where("admitted").select("request_id")
+    chosen = requests.join(admitted, "request_id", "left_semi").select(
+        "repo", "intent", limits.normalized_plan(F.col("plan")).alias("plan")
+    ).distinct()
     code = files.where(is_code_file(F.col("path"))).select("repo", "path", "file_ord", "content")
     return file_reports(
         code.join(chosen, "repo"), behavior, secrets, call_sites, plan_limits=plan_limits
@@ -59,23 +65,32 @@ def repo_reports(
     entries: DataFrame | None = None,
     manifest_names: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per requested repository.
+    """One row per request.
 
-    ``files``: ``repo, path, file_ord, size_bytes, content``; ``requests``: ``repo, repo_name,
-    intent, plan``.  Details stay in the file-report and finding tables.  Manifest ``entries`` and
+    ``files``: ``repo, path, file_ord, size_bytes, content``; ``requests``: ``request_id, repo,
+    repo_name, intent, plan`` (``request_id`` unique).  A repository that is requested several times
+    gets a report for each request, one without files an empty report.  Details stay in the file-report and finding tables.  Manifest ``entries`` and
     ``manifest_names`` that are already at hand can be given; else they are parsed from ``files``.
     """
     verdicts = limits.repo_limits(files.select("repo", "path", "size_bytes"), requests, plan_limits)
-    rolled = repo.rollup_files(repo_file_reports(files, requests, plan_limits, call_sites=call_sites))
+    rolled = repo.rollup_files(
+        repo_file_reports(files, requests, plan_limits, verdicts, call_sites=call_sites),
+        "repo", "intent", "plan_applied",
+    ).select(F.col("repo").alias("_repo"), F.col("intent").alias("_intent"), "*").drop("repo", "intent")
     if entries is None:
         manifest_files = files.where(is_manifest(F.col("path"))).select("repo", "path", "content")
         entries = manifests.manifest_entries(manifest_files)
         manifest_names = manifest_files.select("repo", "path")
     dependencies = repo_dependencies(entries, manifest_names, refs, advisories)
     zero, none = F.lit(0).cast("bigint"), F.array().cast("array<string>")
-    names = requests.select("repo", "repo_name")
+    names = requests.select("request_id", "repo_name", "intent")
+    same = (
+        (F.col("repo") == F.col("_repo")) & F.col("intent").eqNullSafe(F.col("_intent"))
+        & (F.col("plan") == F.col("plan_applied"))
+    )
     joined = (
-        names.join(verdicts, "repo").join(rolled, "repo", "left").join(dependencies, "repo", "left")
+        names.join(verdicts, "request_id").join(rolled, same, "left").drop("_repo", "_intent", "plan_applied")
+        .join(dependencies, "repo", "left")
     )
     counters = [
         "manifests_scanned", "dependencies_parsed", "dependencies_queried", "dependencies_skipped_count",
@@ -98,7 +113,7 @@ def repo_reports(
     )
     badge = readme_badge(F.col("repo_name"), F.col("trust_score"))
     return scored.select(
-        "repo", "repo_name", "admitted", "plan", "limit_title",
+        "request_id", "repo", "repo_name", "intent", "admitted", "plan", "limit_title",
         F.when(ok, F.col("risk")).otherwise("limit").alias("risk"),
         F.when(ok, F.col("trust_score")).otherwise(0).alias("trust_score"),
         F.when(ok, F.col("trust_badge")).otherwise(trust_badge(F.lit(0), F.lit("red"))).alias("trust_badge"),

@@ -212,6 +212,14 @@ SIGNALS = {
     "system": r"\bos\.system\s*\(|\bsubprocess\b|\bchild_process\b|(?<![\w.])exec\s*\(|(?<![\w.])eval\s*\(",
     "chr": r"\bchr\s*\(",
 }
+# Words of which a text must hold one before a signal's pattern can match.
+SIGNAL_WORDS = {
+    "exec": ["exec", "eval"],
+    "decode": ["base64.", "bytes.fromhex"],
+    "download": ["requests.", "urllib.request.", "fetch", "curl", "wget"],
+    "system": ["os.system", "subprocess", "child_process", "exec", "eval"],
+    "chr": ["chr"],
+}
 BLOB_LENGTH = 180
 CHR_CHAIN_LENGTH = 4
 
@@ -245,6 +253,15 @@ TOUCHES = [
      r"\bpickle\.loads?\s*\(|\bmarshal\.loads?\s*\(|\bdill\.loads?\s*\(|\byaml\.load\s*\(|\bshelve\.open\s*\("),
     ("obfuscation", r"\bbase64\b|\bbytes\.fromhex\s*\(|\bchr\s*\("),
 ]
+# The same for the categories.
+TOUCH_WORDS = {
+    "network": ["http", "fetch", "requests.", "urllib.request.", "socket", "curl", "wget"],
+    "files": ["open", ".write", "read_text", "write_text", "read_bytes", "write_bytes"],
+    "system execution": ["exec", "eval", "os.system", "subprocess", "child_process"],
+    "dynamic imports": ["__import__", "importlib.import_module"],
+    "deserialization": ["pickle.load", "marshal.load", "dill.load", "yaml.load", "shelve.open"],
+    "obfuscation": ["base64", "bytes.fromhex", "chr"],
+}
 SECRETS_TOUCH = "secrets"
 DEPENDENCIES_TOUCH = "dependencies"
 

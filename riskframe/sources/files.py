@@ -10,16 +10,21 @@ from riskframe.functions.columns import lookup
 from riskframe.functions.paths import is_code_file, is_manifest, manifest_type
 
 
-def spread(rows: DataFrame, *keys: str) -> DataFrame:
-    """Give a scan at least one partition per core.
+# The byte sequences of one character in UTF-8, as the standard's table of well-formed sequences has them.
+_UTF8 = "|".join([
+    r"[\x00-\x7f]", r"[\xc2-\xdf][\x80-\xbf]", r"\xe0[\xa0-\xbf][\x80-\xbf]",
+    r"[\xe1-\xec\xee\xef][\x80-\xbf]{2}", r"\xed[\x80-\x9f][\x80-\xbf]", r"\xf0[\x90-\xbf][\x80-\xbf]{2}",
+    r"[\xf1-\xf3][\x80-\xbf]{3}", r"\xf4[\x80-\x8f][\x80-\xbf]{2}",
+])
 
-    Scanning is bound by CPU, so an input of few splits would leave the cluster idle.  An input
-    with enough splits - anything large - passes through without a shuffle.
+
+def spread(rows: DataFrame, partitions: int | None, *keys: str) -> DataFrame:
+    """Deal rows out to ``partitions`` tasks, if a number is given.
+
+    Scanning is bound by CPU, so an input of few splits would leave the cluster idle; the caller
+    who knows that its input is such asks for it.  Nothing is shuffled otherwise.
     """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() >= cores:
-        return rows
-    return rows.repartition(cores, *keys)
+    return rows if partitions is None else rows.repartition(partitions, *keys)
 
 
 def read_file_table(spark: SparkSession, path: str, file_format: str = "parquet") -> DataFrame:
@@ -30,28 +35,29 @@ def read_file_table(spark: SparkSession, path: str, file_format: str = "parquet"
 def read_file_tree(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """Checked-out files below ``root/<repo>/...`` as a file table (operator S1).
 
-    Bytes that are not UTF-8 are dropped.  The ordinal follows the order of the scan.
+    Bytes that are not UTF-8 are dropped.  ``root`` is cut off where it first occurs.  The ordinal
+    is drawn from the path inside the repository, so it does not depend on how files are packed into
+    splits: an order of files that is the same in every run.
     """
     binary = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern).load(root)
     )
-    relative = F.regexp_replace(
-        F.substring_index(F.col("path"), root.rstrip("/") + "/", -1), r"\A/+", ""
-    )
+    base = root.rstrip("/") + "/"
+    after = F.substr(F.col("path"), F.instr(F.col("path"), F.lit(base)) + len(base))
+    relative = F.regexp_replace(after, r"\A/+", "")
     named = binary.select(
         F.substring_index(relative, "/", 1).alias("repo"), relative.alias("path"),
         F.col("length").alias("size_bytes"), decode_ignoring(F.col("content")).alias("content"),
     )
-    return named.withColumn("file_ord", F.monotonically_increasing_id())
+    return named.withColumn("file_ord", F.pmod(F.xxhash64("path"), F.lit(1 << 56)))
 
 
 def decode_ignoring(content: Column) -> Column:
-    """Decode UTF-8 and drop the bytes that are not."""
+    """Decode UTF-8 and drop the bytes that are not, and only those."""
     text = content.cast("string")
-    return F.when(F.is_valid_utf8(text), text).otherwise(
-        F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit(""))
-    )
+    valid = F.regexp_replace(F.decode(content, "ISO-8859-1"), f"((?:{_UTF8})++)|[\\x00-\\xff]", "$1")
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.encode(valid, "ISO-8859-1").cast("string"))
 
 
 def code_files(files: DataFrame) -> DataFrame:

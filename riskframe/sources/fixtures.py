@@ -56,7 +56,7 @@ SELECT 'PyPI' AS ecosystem, 'pkg' || CAST(p_partkey % 50 AS VARCHAR(10)) AS pack
        CASE p_partkey % 6 WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'high' WHEN 2 THEN 'MODERATE' WHEN 3 THEN 'LOW' WHEN 4 THEN 'IMPORTANT' ELSE '' END AS severity,
        CASE WHEN p_partkey % 4 = 0 THEN '' ELSE 'summary of ' || p_name END AS summary,
        '1.3.' || CAST(p_partkey % 5 AS VARCHAR(10)) AS fixed
-FROM part WHERE p_partkey % 3 = 0
+FROM part
 """
 
 SCAN_REQUESTS = """
@@ -65,11 +65,12 @@ SELECT event_id AS scan_id, 'user:' || CAST(user_id AS VARCHAR(20)) AS actor_key
 FROM events
 """
 
-# One request per repository: the plan of the lowest user number falling on it.
+# A request for each repository and plan that users fall on: several for most repositories, and some for one without files.
 REPO_REQUESTS = """
-SELECT 'r' || CAST(user_id % 25 AS VARCHAR(10)) AS repo,
-       min_by(CASE user_id % 10 WHEN 0 THEN 'admin' WHEN 1 THEN 'pro' ELSE 'free' END, user_id) AS plan
-FROM events GROUP BY 1
+SELECT repo || '-' || plan AS request_id, repo, plan, CAST(count(*) AS BIGINT) AS n_events
+FROM (SELECT 'r' || CAST(user_id % 26 AS VARCHAR(10)) AS repo,
+             CASE user_id % 10 WHEN 0 THEN 'admin' WHEN 1 THEN 'pro' ELSE 'free' END AS plan FROM events) u
+GROUP BY repo, plan
 """
 
 # One package.json per 25 parts, built as text.
@@ -104,8 +105,13 @@ FROM pages
 _KEYS = {"documents": "doc_id", "events": "event_id", "part": "p_partkey", "pages": "page_id"}
 
 
+#: Session setting with the number of tasks to deal the tables out to; for small tables of a single split.
+PARTITIONS_SETTING = "riskframe.fixtures.partitions"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), _KEYS[name])
+    partitions = spark.conf.get(PARTITIONS_SETTING, None)
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), int(partitions) if partitions else None, _KEYS[name])
 
 
 def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

@@ -11,6 +11,7 @@ from riskframe.functions.paths import repo_of_url
 from riskframe.functions.scores import risk_level
 from riskframe.functions.versions import normalize_version
 from riskframe.operators import dependencies, limits, manifests, quota, ranking, repo
+from riskframe.plans import repo_scan
 from riskframe.plans.file_scan import file_reports
 from riskframe.rules import PlanLimits
 from riskframe.sources import advisories as advisory_source
@@ -209,3 +210,52 @@ def test_report_sink(spark, small, tmp_path):
     findings = sinks.read_findings(spark, str(tmp_path))
     assert findings.count() == sum(len(r.findings) for r in reports.select("findings").collect())
     assert findings.where(F.col("explanation").isNull() | F.col("suggested_fix").isNull()).count() == 0
+
+
+def test_reports_are_keyed_by_request(spark):
+    files = spark.createDataFrame(
+        [("r1", "a.py", 1, 40, "import os\nx = input()\nos.system(x)\n"), ("r1", "b.md", 2, 2, "b")],
+        "repo string, path string, file_ord long, size_bytes long, content string",
+    )
+    requests = spark.createDataFrame(
+        [("q1", "r1", "o/r1", "draw a simple monthly chart", "free"), ("q2", "r1", "o/r1", None, "PRO"),
+         ("q3", "r1", "o/r1", None, "pro"), ("q4", "none", "o/none", "scan", None)],
+        "request_id string, repo string, repo_name string, intent string, plan string",
+    )
+    entries = manifests.requirement_entries(
+        spark.createDataFrame([], "repo string, file string, line int, raw string"))
+    names = spark.createDataFrame([], "repo string, file string")
+    bodies = advisory_source.nest_advisories(spark.createDataFrame(
+        [], "ecosystem string, package string, version string, id string, severity string, summary string, fixed string"))
+    got = {r.request_id: r for r in repo_scan.repo_reports(
+        files, requests, advisory_source.advisory_refs(bodies), bodies, entries=entries, manifest_names=names).collect()}
+    assert sorted(got) == ["q1", "q2", "q3", "q4"]
+    assert [got[q].files_scanned_count for q in sorted(got)] == [1, 1, 1, 0]
+    assert [got[q].plan for q in sorted(got)] == ["free", "pro", "pro", "free"]
+    assert [got[q].repo_size_bytes for q in sorted(got)] == [40, 40, 40, 0]
+    assert got["q1"].risk_points > 0 and got["q2"].risk_points == got["q3"].risk_points > 0
+    assert got["q4"].risk == "green" and got["q4"].risk_points == 0 and got["q4"].admitted
+
+
+def test_long_values_are_kept_whole(spark):
+    long = "1." + "2" * 1_100_000
+    row = spark.createDataFrame([(f"^{long}", "p" * 2_000)], "v string, plan string")
+    assert row.select(normalize_version(F.col("v"))["version"]).first()[0] == long
+    assert len(row.select(limits._capitalized(F.col("plan"))).first()[0]) == 2_000
+
+
+def test_only_bad_bytes_are_dropped(spark):
+    rng = random.Random(8)
+    parts = [b"a", b"\xff", b"\xef\xbf\xbd", "é".encode(), "😀".encode(), b"\xf0\x9f", b"\xe2\x82", b"\xc0\x80", b"\xed\xa0\x80", b"\x80", b"\n"]
+    texts = [b"".join(rng.choices(parts, k=12)) for _ in range(200)] + [b"", b"\xff" * 20_000 + b"x"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, b binary").select("i", file_source.decode_ignoring(F.col("b")).alias("t")).collect()
+    assert all(r.t == texts[r.i].decode("utf-8", "ignore") for r in got)
+
+
+def test_file_tree_root_is_cut_once(spark, tmp_path):
+    inner = tmp_path / "r1" / str(tmp_path).strip("/") / "x"
+    inner.mkdir(parents=True)
+    (inner / "a.py").write_text("x")
+    rows = file_source.read_file_tree(spark, str(tmp_path)).collect()
+    assert [r.repo for r in rows] == ["r1"] and rows[0].path.endswith("/x/a.py")
+    assert rows[0].file_ord == file_source.read_file_tree(spark, str(tmp_path)).first().file_ord

@@ -5,9 +5,10 @@ import re
 
 from pyspark.sql import functions as F
 
+from riskframe import rules
 from riskframe.functions.patterns import jvm
 from riskframe.functions.text import split_lines, strip_line_literals, strip_literals
-from riskframe.operators import lines, taint
+from riskframe.operators import heuristics, lines, taint
 from riskframe.operators.callsites import call_sites
 
 
@@ -23,9 +24,35 @@ def test_split_lines(spark):
         assert r.l == texts[r.i].splitlines(), repr(texts[r.i])
 
 
+def _literal_end(text, start, quote):
+    """Where the literal that opens at ``start`` ends, or None if it is not closed."""
+    if len(quote) == 3:
+        end = text.find(quote, start + 3)
+        return None if end < 0 else end + 3
+    escaped = False
+    for at in range(start + 1, len(text)):
+        char = text[at]
+        if escaped:
+            if char == "\n":
+                return None
+            escaped = False
+        elif char == quote:
+            return at + 1
+        else:
+            escaped = char == "\\"
+    return None
+
+
 def _strip(text):
-    for pattern in (r"'''[\s\S]*?'''", r'"""[\s\S]*?"""', r"'(?:\\.|[^'\\])*'", r'"(?:\\.|[^"\\])*"'):
-        text = re.sub(pattern, "", text)
+    """The text without its literals, found character by character, one kind of quote after the other."""
+    for quote in ("'''", '"""', "'", '"'):
+        out, at = [], 0
+        while at < len(text):
+            end = _literal_end(text, at, quote) if text.startswith(quote, at) else None
+            if end is None:
+                out.append(text[at])
+            at = end or at + 1
+        text = "".join(out)
     return text
 
 
@@ -57,16 +84,18 @@ def test_translated_patterns(spark):
 
 
 def _taint(text):
-    known = []
-    for line in text.splitlines():
-        m = re.match(r"\s*([A-Za-z_]\w*)\s*=", line, re.ASCII)
-        if not m:
-            continue
-        low = line.lower()
-        if re.search(r"\binput\s*\(", low) or any(re.search(rf"\b{v}\b", low) for v in known):
-            if m[1] not in known:
-                known.append(m[1])
-    return known
+    """Least fixed point: an assignment is fed by a source, or by a name that an earlier fed assignment sets."""
+    sets = [(line.split("=", 1)[0].strip(), line.lower()) for line in text.splitlines() if "=" in line]
+    fed = {i for i, (_, low) in enumerate(sets) if "input(" in low}
+    while True:
+        more = {
+            i for i, (_, low) in enumerate(sets)
+            if {sets[j][0] for j in fed if j < i} & set(re.findall(r"\w+", low))
+        }
+        if more <= fed:
+            break
+        fed |= more
+    return list(dict.fromkeys(sets[i][0] for i in sorted(fed)))
 
 
 def test_taint_map(spark):
@@ -84,53 +113,35 @@ def test_taint_map(spark):
         assert got[i] == _taint(text), text
 
 
-def _kept(text):
-    """Excluded blocks by a plain walk over the lines."""
-    kept, open_blocks, fn, guide = [], [], 0, 0
-    starts = [("SUSPICIOUS_PATTERNS", "[", "]"), ("SECRET_PATTERNS", "[", "]"), ("DEPENDENCY_SEVERITY_POINTS", "{", "}"),
-              ("DEPENDENCY_MANIFEST_FILES", "{", "}"), ("explanations = {", "", "}"), ("return {", "why_risky", None)]
-    for n, line in enumerate(text.splitlines(), 1):
-        s, delta = line.strip(), line.count("{") - line.count("}")
-        if fn > 0:
-            fn = max(0, fn + delta)
-            continue
-        if s.startswith("function loadSafeExample(") and delta > 0:
-            fn = delta
-            continue
-        hit = next((k for k, (a, b, _) in enumerate(starts) if s.startswith(a) and b in s), None)
-        if hit is not None:
-            open_blocks = sorted(set(open_blocks) | {hit})
-            guide = delta if hit == 5 else guide
-            continue
-        if open_blocks:
-            first = open_blocks[0]
-            end = starts[first][2]
-            if end is None:
-                guide += delta
-                closed = guide <= 0
-                guide = 0 if closed else guide
-            else:
-                closed = s == end or (end == "]" and s == "],")
-            if closed:
-                open_blocks.remove(first)
-            continue
-        kept.append(n)
-    return kept
+# Texts and the lines that stay, worked out by hand.
+BLOCKS = [
+    ("x\nSUSPICIOUS_PATTERNS = [\n  a\n]\ny", [1, 5]),
+    ("SECRET_PATTERNS = [\n],\nx", [3]),
+    ("explanations = {\n}\nx", [3]),
+    ("DEPENDENCY_SEVERITY_POINTS = {\nx\n }\nz", [4]),
+    ("DEPENDENCY_MANIFEST_FILES = {\n}\n", []),
+    ("function loadSafeExample() {\n x\n}\ny", [4]),
+    ("function loadSafeExample() {\n if {\n}\n}\ny", [5]),
+    ("function loadSafeExample()\nx", [1, 2]),
+    ("return { why_risky\n{\n}\n}\nx", [5]),
+    ("return { why_risky }\nx\ny", [3]),
+    ("return { other\nx", [1, 2]),
+    ("SUSPICIOUS_PATTERNS = [\nx\ny", []),
+    ("SUSPICIOUS_PATTERNS = [\nSECRET_PATTERNS = [\n]\nx\n]\ny", [6]),
+    ("SUSPICIOUS_PATTERNS = [\nfunction loadSafeExample() {\n]\n}\n]\ny", [6]),
+    (" y {\n}", [1, 2]),
+    ("  SUSPICIOUS_PATTERNS = [\n ] \nz", [3]),
+]
 
 
 def test_excluded_blocks(spark):
-    pool = ["SUSPICIOUS_PATTERNS = [", "SECRET_PATTERNS = [", "DEPENDENCY_SEVERITY_POINTS = {", "explanations = {",
-            "return { why_risky", "return { why_risky }", "function loadSafeExample() {", "function loadSafeExample()",
-            "]", "],", "}", "{", "x", " y {", "DEPENDENCY_MANIFEST_FILES = {"]
-    rng = random.Random(11)
-    texts = ["\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 14))) for _ in range(600)]
-    rows = spark.createDataFrame(list(enumerate(texts)), "file_id int, content string")
-    got = {i: [] for i in range(len(texts))}
+    rows = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(BLOCKS)], "file_id int, content string")
+    got = {i: [] for i in range(len(BLOCKS))}
     for r in lines.scannable_lines(rows).orderBy("file_id", "line_no").collect():
         got[r.file_id].append(r.line_no)
-        assert texts[r.file_id].splitlines()[r.line_no - 1] == r.line
-    for i, text in enumerate(texts):
-        assert got[i] == _kept(text), text
+        assert BLOCKS[r.file_id][0].splitlines()[r.line_no - 1] == r.line
+    for i, (text, kept) in enumerate(BLOCKS):
+        assert got[i] == kept, text
 
 
 def test_call_sites():
@@ -146,3 +157,17 @@ def test_call_sites():
     assert show("subprocess.run(f'{a}')\nsubprocess()\na.subprocess.run()") == [(1, "subprocess", "built", True, "")]
     assert show("urllib.request.Request()\nurlopen(x)") == [(1, "urllib.request.Request", "none", False, "")]
     assert show("eval(a - b)\neval(a + b)") == [(1, "eval(", "built", False, ""), (2, "eval(", "built", True, "")]
+
+
+def test_gates_lose_no_match(spark):
+    rng = random.Random(12)
+    pieces = sorted({w for words in [*rules.SIGNAL_WORDS.values(), *rules.TOUCH_WORDS.values()] for w in words}) + [
+        "get", "post(", "(", " (", "s(", "b64decode(", "://", "s://", ".", " ", "x", "urlopen", "\n", "import_module(", "loads(",
+    ]
+    texts = ["".join(rng.choices(pieces, k=6)) for _ in range(1500)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    named = [(n, p, rules.SIGNAL_WORDS[n]) for n, p in rules.SIGNALS.items()] + [(n, p, rules.TOUCH_WORDS[n]) for n, p in rules.TOUCHES]
+    got = rows.select("i", *[heuristics.matches(F.col("t"), p, words).alias(f"c{k}") for k, (_, p, words) in enumerate(named)]).collect()
+    for r in got:
+        for k, (name, pattern, _) in enumerate(named):
+            assert r[f"c{k}"] == bool(re.search(pattern, texts[r.i])), (name, texts[r.i])
