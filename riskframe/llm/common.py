@@ -21,6 +21,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch of texts. Spark's default of 10,000 rows would hold several copies of some 40 MB in each Python process
+#: and in the buffers of the JVM, and far more where texts are long.
+BATCH_ROWS = 256
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets Spark send texts to Python in batches of ``BATCH_ROWS`` rows, so that memory does not depend on how long they are."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def packed(df: DataFrame) -> DataFrame:
     """All columns of ``df`` in one struct ``row``, so that no name of an extra column can clash."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))

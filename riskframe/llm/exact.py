@@ -20,7 +20,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import packed, table, unpacked, whole_text, written
+from riskframe.llm.common import packed, small_batches, table, unpacked, whole_text, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -106,6 +106,7 @@ def exact_groups(rows: DataFrame, digests: DataFrame | None = None, counters: in
 
 def exact_duplicates(documents: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256``."""
+    small_batches(documents.sparkSession)
     digests = written(documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(whole_text("text")).alias("digest")), "digests")
     found = exact_groups(digests, digests, counters)
     return found.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
@@ -113,6 +114,7 @@ def exact_duplicates(documents: DataFrame, counters: int = COUNTERS) -> DataFram
 
 def deduplicate(documents: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """The documents that stay, with all their columns."""
+    small_batches(documents.sparkSession)
     rows = packed(documents).select("row", F.col("row.doc_id").cast("long").alias("doc_id"), text_digest(whole_text(F.col("row.text"))).alias("digest"))
     return unpacked(exact_groups(rows, counters=counters).filter("kept"))
 

@@ -29,7 +29,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import packed, table, unpacked, whole_text, written
+from riskframe.llm.common import packed, small_batches, table, unpacked, whole_text, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -301,6 +301,7 @@ def near_duplicates(rows: DataFrame, shingle: int, percent: int, rows_in_band: i
     that repeat an id and a text all carry the same result.
     """
     similarity = percent / 100
+    small_batches(rows.sparkSession)
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), *text_keys(whole_text("text")), whole_text("text").alias("text"))
     signed = written(signatures(rows, shingle, rows_in_band), "signatures")
     reps = signed.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("key1", "key2")).alias("keys"), *[F.any_value(c).alias(c) for c in ("n_shingles", "bands", "sketch")])

@@ -25,7 +25,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import table, whole_text
+from riskframe.llm.common import small_batches, table, whole_text
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -120,6 +120,7 @@ def ratio(ratios: np.ndarray, token: str) -> float:
 
 def scan(rows: DataFrame, min_length: int = MIN_LENGTH, threshold: float = THRESHOLD) -> DataFrame:
     """``rows`` with ``found``: an array of ``kind, start, end, value, score`` by start, then kind (``random`` last)."""
+    small_batches(rows.sparkSession)
     ratios = train(rows.select(whole_text("text").alias("text")))
     known = bool(ratios.any())
 

@@ -27,7 +27,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import packed, table, unpacked, whole_text, written
+from riskframe.llm.common import packed, small_batches, table, unpacked, whole_text, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -112,6 +112,7 @@ def _training_words(documents: DataFrame, labels: DataFrame, max_labelled: int)
 
 def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_features: int = MAX_FEATURES) -> OrdinalModel:
     """The model of the labelled texts."""
+    small_batches(documents.sparkSession)
     sample = written(_training_words(documents, labels, max_labelled), "sample")
     sizes = dict(sample.groupBy(F.col("toxic") > 0).count().collect())
     n_toxic, n_clean = sizes.get(True, 0), sizes.get(False, 0)
