@@ -65,9 +65,9 @@ def heavy_candidates(digests: DataFrame, counters: int = COUNTERS) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_pydict({"digest": [None, *held], "n": [rows, *held.values()]}, pa.schema([("digest", pa.string()), ("n", pa.int64())]))
 
-    merged = digests.select("digest").mapInArrow(summaries, "digest string, n long").groupBy("digest").agg(F.sum("n").alias("n"))
-    total = merged.filter("digest is null").select(F.col("n").alias("total"))
-    return merged.filter("digest is not null").join(F.broadcast(total)).filter(f"n * {counters + 1} > total").select("digest")
+    merged = written(digests.select("digest").mapInArrow(summaries, "digest string, n long").groupBy("digest").agg(F.sum("n").alias("n")), "summaries")
+    total = merged.filter("digest is null").first()
+    return merged.filter("digest is not null").filter(F.col("n") * (counters + 1) > (total["n"] if total else 0)).select("digest")
 
 
 def exact_groups(rows: DataFrame, digests: DataFrame | None = None, counters: int = COUNTERS) -> DataFrame:
