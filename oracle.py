@@ -117,7 +117,7 @@ def when(test: str, value) -> str:
 
 CTE: dict[str, str] = {}
 
-CTE["cf"] = fixtures.CODE_FILES
+CTE["cf"] = fixtures.CODE_TEXTS
 CTE["ct"] = fixtures.CODE_TEXTS
 CTE["ml"] = fixtures.MANIFEST_LINES
 CTE["ad"] = fixtures.ADVISORIES

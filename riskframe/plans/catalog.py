@@ -54,7 +54,7 @@ def _joined(array: Column | str) -> Column:
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
-    return fixtures.code_files(spark, d)
+    return fixtures.code_texts(spark, d)
 
 
 def _id_text(files: DataFrame) -> DataFrame:
@@ -587,7 +587,7 @@ def stream_scan(spark, d):
     out = _stream_folder(spark)
     documents = jobs.stream_table(spark, f"{d}/documents*.parquet", spark.read.parquet(f"{d}/documents.parquet"))
     documents.createOrReplaceTempView("arriving_documents")
-    files = spark.sql(fixtures.CODE_FILES.replace("FROM documents", "FROM arriving_documents"))
+    files = spark.sql(fixtures.CODE_TEXTS.replace("FROM documents", "FROM arriving_documents"))
     jobs.start_scan(file_scan.file_reports(files), f"{out}/reports", f"{out}/checkpoint").awaitTermination()
     return _flat_report(spark.read.parquet(f"{out}/reports"))
 
