@@ -2,9 +2,10 @@
 
 1. A url's host and path are cut out; of the explicit rules that fit, the longest decides.
 2. The urls that a rule decides are the labelled ones (or any others the caller gives). Spark's FP-growth mines combinations of
-   tokens (host labels and path segments) that imply a verdict. Only the ``MAX_ITEMS`` tokens that set the verdicts apart best take
-   part, so there are at most ``2 ** MAX_ITEMS`` combinations; rules below ``min_support`` or ``min_confidence`` are pruned, and so
-   are rules that a shorter one with at least their confidence makes superfluous.
+   tokens (host labels and path segments) that imply a verdict. Every token that meets ``min_support`` takes part. Rules below
+   ``min_support`` or ``min_confidence`` are pruned, and so are rules that a shorter one with at least their confidence makes
+   superfluous. Hence tokens of one verdict only, or of all urls, are rules by themselves and no items, and of tokens that stand
+   in the same urls one is an item; this keeps combinations few and loses no rule.
 3. An inverted index lists each rule under the rarest of its tokens. A url meets the rules listed under its tokens and fits those
    whose tokens it holds all. The most confident rule decides, then the one of larger support, then the longer one, then the first
    by its tokens; without a rule the verdict is ``allow``.
@@ -30,8 +31,8 @@ RULES = (
     ("com", "/de/", "block"),
 )
 MIN_SUPPORT, MIN_CONFIDENCE = 0.01, 0.8
-#: Tokens that take part in mining.
-MAX_ITEMS = 14
+#: No limit on the tokens that take part in mining.
+MAX_ITEMS = None
 VERDICTS = ("allow", "block")
 _VERDICT = "verdict="
 
@@ -63,30 +64,61 @@ def tokens_of(host: Column, path: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.concat(labels, segments), lambda x: ~x.endswith("="))))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_items: int = MAX_ITEMS) -> DataFrame:
+def _superfluous(found: DataFrame) -> DataFrame:
+    """``tokens, verdict`` of the rules of which dropping one token gives a rule of the same verdict that is as confident."""
+    shorter = found.select("tokens", "verdict", F.col("confidence").alias("own"), F.explode("tokens").alias("x")).withColumn("less", F.array_remove("tokens", F.col("x")))
+    kept = found.select(F.col("tokens").alias("less"), "verdict", F.col("confidence").alias("other"))
+    return shorter.join(kept, ["less", "verdict"]).filter("other >= own").select("tokens", "verdict").distinct()
+
+
+def _twins(sets: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``token, first, n``: the first of the tokens that stand in the same urls; from ``tokens`` (``token, n``) and the ``sets`` they stand in."""
+    held = sets.select("set_id", "n_urls", F.explode("tokens").alias("token")).join(tokens, "token")
+    other = held.select("set_id", F.col("token").alias("first"), F.col("n").alias("n_first"))
+    together = held.join(other, "set_id").filter("first <= token and n = n_first").groupBy("token", "first", "n").agg(F.sum("n_urls").alias("n_both"))
+    return together.filter("n_both = n").groupBy("token", "n").agg(F.min("first").alias("first"))
+
+
+def _with_twins(found: DataFrame, twins: DataFrame) -> DataFrame:
+    """``found`` and the same rules with other tokens of the same urls in place of the first ones."""
+    choices = twins.groupBy("first").agg(F.collect_list("token").alias("members"))
+    rule = ["rule", "verdict", "confidence", "support"]
+    listed = found.withColumnRenamed("tokens", "rule").select(*rule, F.explode("rule").alias("first")).join(choices, "first")
+    listed = listed.groupBy(*rule).agg(F.collect_list("members").alias("choices"))
+    none = F.array(F.array().cast("array<string>"))
+    chosen = F.aggregate("choices", none, lambda acc, members: F.flatten(F.transform(acc, lambda done: F.transform(members, lambda m: F.array_append(done, m)))))
+    return listed.select(F.explode(chosen).alias("tokens"), "verdict", "confidence", "support").withColumn("tokens", F.array_sort("tokens"))
+
+
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """``tokens`` (sorted), ``verdict``, ``confidence``, ``support`` of the rules, from ``labelled``: distinct ``tokens`` and a ``verdict``."""
-    labelled = written(labelled.groupBy("tokens", "verdict").agg(F.count("*").alias("n_urls")), "labelled")
-    sums = labelled.groupBy("verdict").count().collect()  # two rows
-    counts = {row["verdict"]: row["count"] for row in sums}
-    total = sum(counts.values())
+    labelled = labelled.groupBy("tokens", "verdict").agg(F.lit(1).cast("long").alias("n_urls"))
+    labelled = written(labelled.withColumn("set_id", F.monotonically_increasing_id()), "labelled")
+    total = labelled.agg(F.sum("n_urls")).first()[0]
     schema = "tokens array<string>, verdict string, confidence double, support double"
     if not total:
         return labelled.sparkSession.createDataFrame([], schema)
-    base = counts.get("block", 0) / total
-    per_token = labelled.select("verdict", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"), F.sum((F.col("verdict") == "block").cast("int")).alias("n_block"))
-    # How far a token moves the number of blocked urls from what chance gives: both telling and frequent.
-    telling = per_token.filter(F.col("n") >= min_support * total).orderBy(F.abs(F.col("n_block") - F.col("n") * base).desc(), "token").limit(max_items)
-    items = [row["token"] for row in telling.select("token").collect()]
-    basket = F.array_append(F.array_intersect("tokens", F.array(*map(F.lit, items)) if items else F.array().cast("array<string>")), F.concat(F.lit(_VERDICT), F.col("verdict")))
-    model = FPGrowth(itemsCol="basket", minSupport=min_support, minConfidence=min_confidence).fit(labelled.select(basket.alias("basket")))
+    n_of = {v: F.sum(F.when(F.col("verdict") == v, F.col("n_urls")).otherwise(0)).alias(f"n_{v}") for v in VERDICTS}
+    tokens = labelled.select("verdict", "n_urls", F.explode("tokens").alias("token")).groupBy("token").agg(F.sum("n_urls").alias("n"), *n_of.values())
+    # A rule's urls are at least min_support of all, so each of its tokens stands in as many.
+    tokens = written(tokens.filter(F.greatest(*[f"n_{v}" for v in VERDICTS]) >= min_support * total), "tokens")
+    # Tokens of a single verdict, and those of all urls, add nothing to a larger set: each larger rule is superfluous.
+    alone = F.greatest(*[F.col(f"n_{v}") for v in VERDICTS], F.when(F.col("n") == total, F.col("n"))) == F.col("n")
+    by_verdict = F.explode(F.array(*[F.struct(F.lit(v).alias("verdict"), F.col(f"n_{v}").alias("n_both")) for v in VERDICTS]))
+    single = tokens.filter(alone).select("token", "n", by_verdict.alias("v")).select(F.array("token").alias("tokens"), "v.verdict", (F.col("v.n_both") / F.col("n")).alias("confidence"), (F.col("v.n_both") / total).alias("support"))
+    single = single.filter((F.col("confidence") >= min_confidence) & (F.col("support") >= min_support))
+    # Of tokens that stand in the same urls no rule needs two: one is mined, and the rules are then read with each of them.
+    twins = written(_twins(labelled, tokens.filter(~alone).select("token", "n")), "twins")
+    items = labelled.select("set_id", F.explode("tokens").alias("token")).join(twins.filter("token = first").select("token"), "token")
+    items = items.groupBy("set_id").agg(F.collect_list("token").alias("items"))
+    basket = F.array_append(F.coalesce("items", F.array().cast("array<string>")), F.concat(F.lit(_VERDICT), F.col("verdict")))
+    baskets = labelled.join(items, "set_id", "left").select(F.array_sort(basket).alias("basket"), "n_urls")
+    model = FPGrowth(itemsCol="basket", minSupport=min_support, minConfidence=min_confidence).fit(baskets.select("basket"))
     found = model.associationRules.filter(F.col("consequent")[0].startswith(_VERDICT) & ~F.exists("antecedent", lambda x: x.startswith(_VERDICT)))
     found = found.select(F.array_sort("antecedent").alias("tokens"), F.substr(F.col("consequent")[0], F.lit(len(_VERDICT) + 1)).alias("verdict"), "confidence", "support")
     found = written(found, "mined")
-    # A rule is superfluous if dropping one of its tokens gives a rule of the same verdict that is as confident.
-    shorter = found.select("tokens", "verdict", F.col("confidence").alias("own"), F.explode("tokens").alias("x")).withColumn("less", F.array_remove("tokens", F.col("x")))
-    kept = found.select(F.col("tokens").alias("less"), "verdict", F.col("confidence").alias("other"))
-    superfluous = shorter.join(kept, ["less", "verdict"]).filter("other >= own").select("tokens", "verdict").distinct()
-    return found.join(superfluous, ["tokens", "verdict"], "left_anti").select("tokens", "verdict", "confidence", "support")
+    kept = found.join(_superfluous(found), ["tokens", "verdict"], "left_anti").select("tokens", "verdict", "confidence", "support")
+    return _with_twins(kept, twins).unionByName(single)
 
 
 def matched(token_sets: DataFrame, rules: DataFrame) -> DataFrame:
