@@ -35,6 +35,7 @@ MIN_SUPPORT, MIN_CONFIDENCE = 0.01, 0.8
 MAX_ITEMS = None
 VERDICTS = ("allow", "block")
 _VERDICT = "verdict="
+_PIECE = 10_000
 
 
 def host_of(url: Column) -> Column:
@@ -90,9 +91,16 @@ def _with_twins(found: DataFrame, twins: DataFrame) -> DataFrame:
     return listed.select(F.explode(chosen).alias("tokens"), "verdict", "confidence", "support").withColumn("tokens", F.array_sort("tokens"))
 
 
+def _repeated(baskets: DataFrame) -> DataFrame:
+    """A ``basket`` for each of its ``n_urls`` urls, dealt out in pieces, so that a frequent one fills neither an array nor a task."""
+    baskets = baskets.groupBy("basket").agg(F.sum("n_urls").alias("n"))
+    pieces = baskets.select("basket", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(_PIECE).cast("long"))).alias("at")).repartition("basket", "at")
+    return pieces.select("basket", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("n") - F.col("at"), F.lit(_PIECE)))).alias("nth")).select("basket")
+
+
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """``tokens`` (sorted), ``verdict``, ``confidence``, ``support`` of the rules, from ``labelled``: distinct ``tokens`` and a ``verdict``."""
-    labelled = labelled.groupBy("tokens", "verdict").agg(F.lit(1).cast("long").alias("n_urls"))
+    """``tokens`` (sorted), ``verdict``, ``confidence``, ``support`` of the rules, from ``labelled``: the ``tokens`` and the ``verdict`` of every url."""
+    labelled = labelled.groupBy("tokens", "verdict").agg(F.count("*").alias("n_urls"))
     labelled = written(labelled.withColumn("set_id", F.monotonically_increasing_id()), "labelled")
     total = labelled.agg(F.sum("n_urls")).first()[0]
     schema = "tokens array<string>, verdict string, confidence double, support double"
@@ -113,7 +121,7 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     items = items.groupBy("set_id").agg(F.collect_list("token").alias("items"))
     basket = F.array_append(F.coalesce("items", F.array().cast("array<string>")), F.concat(F.lit(_VERDICT), F.col("verdict")))
     baskets = labelled.join(items, "set_id", "left").select(F.array_sort(basket).alias("basket"), "n_urls")
-    model = FPGrowth(itemsCol="basket", minSupport=min_support, minConfidence=min_confidence).fit(baskets.select("basket"))
+    model = FPGrowth(itemsCol="basket", minSupport=min_support, minConfidence=min_confidence).fit(_repeated(baskets))
     found = model.associationRules.filter(F.col("consequent")[0].startswith(_VERDICT) & ~F.exists("antecedent", lambda x: x.startswith(_VERDICT)))
     found = found.select(F.array_sort("antecedent").alias("tokens"), F.substr(F.col("consequent")[0], F.lit(len(_VERDICT) + 1)).alias("verdict"), "confidence", "support")
     found = written(found, "mined")

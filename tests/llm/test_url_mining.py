@@ -35,3 +35,13 @@ def test_every_frequent_token_is_mined(spark):
     want = _counted(rows, 0.01, 0.8)
     assert len({t for tokens, _ in want for t in tokens}) > 14 and {len(tokens) for tokens, _ in want} >= {1, 2, 3}
     assert _mined(spark, rows, 0.01, 0.8) == want
+
+
+def test_every_labelled_url_counts(spark):
+    """One template holds a third of the urls, and a set of tokens is blocked far more often than allowed."""
+    rng = random.Random(7)
+    rows = [(("host=ad", "path=x"), "block")] * 300 + [(("host=ad", "path=x"), "allow")] + [(("host=t", "path=y"), "allow")] * 25_000
+    rows += [(tuple(sorted({f"host=s{rng.randrange(9)}", f"path=k{rng.randrange(3)}", f"path=u{i}"})), rng.choice(url_rules.VERDICTS)) for i in range(600)]
+    want = _counted(rows, 0.01, 0.8)
+    assert want[("host=ad",), "block"] == (300 / 301, 300 / len(rows))
+    assert _mined(spark, rows, 0.01, 0.8) == want
