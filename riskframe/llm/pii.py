@@ -2,7 +2,8 @@
 
 1. The fixed forms (email, ip, card, phone) are found by possessive patterns, so every text costs time in proportion to its length.
    They are the seed entities.
-2. Candidates are the words with a digit. Their lexical patterns are the word before, the word after, and both.
+2. Every word that a fixed form overlaps is a seed. Its lexical patterns are the word before, the word after, and both. Candidates
+   are all words that stand in a pattern of a seed.
 3. Patterns and candidate values form a graph. A pattern scores by the share of private values among the distinct values it meets
    (one value is added to the divisor, so rare patterns stay low); a value that is no seed takes the score of its best pattern,
    damped. This is repeated ``ROUNDS`` times, each round being two grouped aggregations over the written edges.
@@ -37,9 +38,7 @@ PATTERNS = {
 _GATES = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 _IP = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
-_SPACE = r"\x20\x09-\x0D"
-#: A word with a digit: letters of the word are taken once from its start.
-_WORD_WITH_DIGIT = rf"(?<![^{_SPACE}])[^{_SPACE}0-9]*+[0-9][^{_SPACE}]*+"
+_WORD = r"[^ ]++"
 _EDGES = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 _BLOCK = 256
 
@@ -108,34 +107,25 @@ def _checked(kind: str, found: Column) -> Column:
     return F.filter(found, lambda s: _valid(kind, s["value"]))
 
 
-def candidates(text: Column) -> Column:
-    """``start, end, value, before, after`` of each word with a digit, without the punctuation at its edges.
+def words(text: Column) -> Column:
+    """``start, end, value, before, after`` of each word, without the punctuation at its edges.
 
-    ``before`` and ``after``: the neighbouring words, lower-cased, digits as 0; empty at the ends of the text.
+    ``before`` and ``after``: the neighbouring words, lower-cased, those with a digit as 0; empty at the ends of the text.
     """
     plain = F.translate(text, "\t\n\x0b\x0c\r", "     ")
+    names = lambda hits: F.transform(hits, lambda h: F.when(h.rlike("[0-9]"), F.lit("0")).otherwise(F.lower(h)))
 
-    def near(gap: Column, last: bool) -> Column:
-        word = F.substring_index(F.rtrim(gap), " ", -1) if last else F.substring_index(F.ltrim(gap), " ", 1)
-        return F.lower(word)
+    def described(located: Column, names: Column) -> Column:
+        def trimmed(at: Column, i: Column) -> Column:
+            value = F.regexp_replace(at["value"], _EDGES, "")
+            start = at["start"] + F.length(at["value"]) - F.length(F.regexp_replace(at["value"], r"^[^\p{L}\p{N}]+", ""))
+            before = F.when(i > 0, F.get(names, i - 1)).otherwise(F.lit(""))
+            return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), before.alias("before"), F.coalesce(F.get(names, i + 1), F.lit("")).alias("after"))
 
-    def described(gaps: Column, hits: Column) -> Column:
-        # Without words between them, a hit's neighbour is the other hit.
-        before = F.transform(hits, lambda h, i: F.when(F.trim(F.get(gaps, i)) == "", F.when(i > 0, F.lit("0")).otherwise("")).otherwise(near(F.get(gaps, i), True)))
-        after = F.transform(hits, lambda h, i: F.when(F.trim(F.get(gaps, i + 1)) == "", F.when(i + 1 < F.size(hits), F.lit("0")).otherwise("")).otherwise(near(F.get(gaps, i + 1), False)))
-        contexts = F.arrays_zip(_located(gaps, hits).alias("at"), before.alias("before"), after.alias("after"))
+        return F.filter(F.transform(located, trimmed), lambda c: c["value"] != "")
 
-        def trimmed(c: Column) -> Column:
-            value = F.regexp_replace(c["at"]["value"], _EDGES, "")
-            head = F.length(c["at"]["value"]) - F.length(F.regexp_replace(c["at"]["value"], r"^[^\p{L}\p{N}]+", ""))
-            start = c["at"]["start"] + head
-            return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), c["before"].alias("before"), c["after"].alias("after"))
-
-        return F.transform(contexts, trimmed)
-
-    found = let(plain, lambda plain: let(F.regexp_extract_all(plain, F.lit(_WORD_WITH_DIGIT), F.lit(0)), lambda hits: let(F.split(plain, _WORD_WITH_DIGIT, -1), lambda gaps: described(gaps, hits))))
-    kind = "array<struct<start:bigint,end:bigint,value:string,before:string,after:string>>"
-    return F.coalesce(F.when(text.rlike("[0-9]"), found), F.array().cast(kind)).cast(kind)
+    return let(plain, lambda plain: let(F.regexp_extract_all(plain, F.lit(_WORD), F.lit(0)), lambda hits: let(F.split(plain, _WORD, -1), lambda gaps: let(
+        _located(gaps, hits), lambda located: let(names(hits), lambda names: described(located, names))))))
 
 
 def patterns_of(c: Column) -> Column:
@@ -161,20 +151,29 @@ def personal_data(rows: DataFrame, rounds: int = ROUNDS, min_score: float = MIN_
     """``doc_id``, an array ``start, end, value`` for each fixed kind, and one ``context`` of discovered identifiers, for every row."""
     texts = rows.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text("text").alias("text"))
     keys = [F.xxhash64("text").alias("key1"), F.xxhash64(F.lit(1), "text").alias("key2")]
-    found = fixed_forms(texts).withColumn("candidates", candidates(F.col("text"))).select("doc_id", *keys, *KINDS, "candidates")
+    found = fixed_forms(texts)
     fixed = F.concat(*[F.transform(k, lambda s: F.struct(s["start"], s["end"])) for k in KINDS])
-    # Which candidates touch a fixed form; both lists are short, as most texts hold neither.
-    seeded = let(fixed, lambda f: F.transform("candidates", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value"), patterns_of(c).alias("patterns"), F.exists(f, lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])).alias("seed"))))
-    found = written(found.withColumn("candidates", seeded), "personal")
-    single = found.select("doc_id", "key1", "key2", F.explode(rows_of("candidates")).alias("c"))
-    edges = single.select("c.value", "c.seed", F.explode("c.patterns").alias("pattern")).groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
+
+    def overlaps(c: Column, f: Column) -> Column:
+        return F.exists(f, lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))
+
+    # The words of a text are listed only if it holds a fixed form.
+    seeds = let(fixed, lambda f: F.when(F.size(f) > 0, F.filter(words(F.col("text")), lambda c: overlaps(c, f))))
+    found = written(found.select("doc_id", *keys, *KINDS, seeds.alias("seeds")), "personal")
+    known = found.select(F.explode(rows_of("seeds")).alias("c")).select("c.value", F.explode(patterns_of(F.col("c"))).alias("pattern")).distinct()
+    known = written(known.withColumn("seed", F.lit(True)), "seeds")
+
+    # Words are read again in each of two passes, as those in common patterns are too many to write.
+    single = texts.select("doc_id", *keys, F.explode(rows_of(words(F.col("text")))).alias("c"))
+    induced = single.select("c.value", F.explode(patterns_of(F.col("c"))).alias("pattern")).join(known.select("pattern").distinct(), "pattern")
+    edges = induced.select("value", "pattern", F.lit(False).alias("seed")).unionByName(known).groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
     scores = score_patterns(written(edges, "edges"), rounds)
     strong = scores.filter((F.col("score") >= min_score) & (F.col("n_seeds") >= min_seeds)).select("pattern")
-    fresh = single.filter(~F.col("c.seed") & (F.length("c.value") >= min_length)).select("doc_id", "key1", "key2", F.struct("c.start", "c.end", "c.value").alias("span"), F.explode("c.patterns").alias("pattern"))
+    fresh = single.filter(F.length("c.value") >= min_length).select("doc_id", "key1", "key2", F.struct("c.start", "c.end", "c.value").alias("span"), F.explode(patterns_of(F.col("c"))).alias("pattern"))
     added = fresh.join(strong, "pattern").groupBy("doc_id", "key1", "key2").agg(F.array_sort(F.collect_set("span")).alias("context"))
     added = added.select(F.col("doc_id").alias("own"), F.col("key1").alias("own1"), F.col("key2").alias("own2"), "context")
     same = F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("key1") == F.col("own1")) & (F.col("key2") == F.col("own2"))
-    return found.join(added, same, "left").select("doc_id", *KINDS, F.coalesce("context", F.array().cast(Pieces)).alias("context"))
+    return found.join(added, same, "left").select("doc_id", *KINDS, let(fixed, lambda f: F.filter(F.coalesce("context", F.array().cast(Pieces)), lambda c: ~overlaps(c, f))).alias("context"))
 
 
 def span_list(kinds: tuple[str, ...]) -> Column:
