@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskframe.llm import ann, chat, exact, mixing, neardup, packing, pii, secret_models, toxicity, url_rules
+from riskframe.llm import ann, chat, exact, fim, mixing, neardup, packing, pii, secret_models, toxicity, url_rules
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_exact_dedup": exact.op8_exact_dedup,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_minhash_dedup": neardup.op10_minhash_dedup,
+    "op11_fim_transform": fim.op11_fim_transform,
 }
 ORACLE_SQL = {
     "op1_chat_format": chat.OP1_SQL,
     "op7_source_mixing": mixing.OP7_SQL,
     "op8_exact_dedup": exact.OP8_SQL,
     "op10_minhash_dedup": neardup.OP10_SQL,
+    "op11_fim_transform": fim.OP11_SQL,
 }
