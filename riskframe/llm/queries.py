@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskframe.llm import ann, chat, exact, fim, mixing, neardup, packing, pii, repair, secret_models, toxicity, url_rules
+from riskframe.llm import ann, chat, exact, fim, mixing, neardup, ngram_join, packing, pii, repair, secret_models, toxicity, url_rules
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_minhash_dedup": neardup.op10_minhash_dedup,
     "op11_fim_transform": fim.op11_fim_transform,
+    "op12_ngram_join": ngram_join.op12_ngram_join,
     "op13_structure_repair": repair.op13_structure_repair,
 }
 ORACLE_SQL = {
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op8_exact_dedup": exact.OP8_SQL,
     "op10_minhash_dedup": neardup.OP10_SQL,
     "op11_fim_transform": fim.OP11_SQL,
+    "op12_ngram_join": ngram_join.OP12_SQL,
 }
