@@ -7,8 +7,9 @@
 3. Every bucket of a band (representatives with equal band values) elects a leader, and each member is held against it, so a
    large group costs rows in proportion to its size. Pairs that the sketches do not rule out are confirmed on full sets.
 4. Confirmed links give components. Members of buckets that still span several components are compared inside tasks, sketch
-   against sketch and block by block, but only across components. First each member's nearest ones are confirmed and merged,
-   then every pair that is left: no link that shares a bucket is lost, and no pairs within a component are ever listed.
+   against sketch and block by block, but only across components. First each member's nearest one is confirmed and merged. Then
+   the sets travel along: every pair that is left is confirmed where it is found unless links join it already, so a task returns
+   fewer links than it has members. No link that shares a bucket is lost, and pairs within a component are never listed.
 
 A pair shares no bucket with a probability below 1e-6: 24 bands of 5 at a similarity of 0.85, 30 bands of 4 at 0.8.
 
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import packed, small_batches, table, unpacked, whole_text, written
+from riskframe.llm.common import packed, small_batches, table, unpacked, whole_text
+from riskframe.llm.scratch import Scratch
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -39,10 +41,9 @@ SAMPLES = 120
 BINS, SKETCH_BITS = 4096, 2048
 #: Standard deviations that a pair may fall short by before the sketches rule it out.
 SLACK = 4.5
-#: Members of a bucket that one task compares at most; larger buckets are compared in pairs of such blocks.
-BLOCK = 20_000
-#: Nearest members of other components that are confirmed before all others.
-NEAREST = 2
+#: Members of a bucket that one task compares at most by sketches, and by full sets; larger buckets are compared in pairs of such
+#: blocks.
+BLOCK, SET_BLOCK = 20_000, 4_000
 
 _RNG = np.random.default_rng(20240601)
 _BYTES = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
@@ -163,7 +164,7 @@ def signatures(rows: DataFrame, shingle: int, rows_in_band: int) -> DataFrame:
 
 
 def _full_sets(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """``rep``, ``shingles`` (sorted 64-bit hashes) of the representatives in ``wanted`` (``rep, key1, key2``), from their texts."""
+    """``rep``, ``shingles`` (sorted 64-bit hashes) of the representatives in ``wanted`` (``rep, own, key1, key2``), from their texts."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(shingle)
@@ -171,9 +172,10 @@ def _full_sets(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
             found = [hasher.shingles(text).tobytes() for text in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["rep", "shingles"])
 
-    # Equal texts meet in an aggregate before their representative's hashes are made.
-    chosen = rows.select("key1", "key2", "text").join(wanted, ["key1", "key2"]).groupBy("key1", "key2").agg(F.any_value("rep").alias("rep"), F.any_value("text").alias("text"))
-    return chosen.select("rep", "text").mapInArrow(sets, "rep long, shingles binary")
+    # A representative is one row of its text, named by id and text, so copies of a text are dealt to different tasks. Rows that
+    # repeat both are one again where their hashes are kept.
+    chosen = rows.join(wanted.hint("shuffle_hash"), (rows["key1"] == wanted["key1"]) & (rows["key2"] == wanted["key2"]) & rows["doc_id"].eqNullSafe(wanted["own"]))
+    return chosen.select("rep", "text").mapInArrow(sets, "rep long, shingles binary").groupBy("rep").agg(F.any_value("shingles").alias("shingles"))
 
 
 def _sketches(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -214,21 +216,24 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """``node``, ``label``: the smallest node that ``a, b`` links reach, for every node that has a link.
 
     Alternating star contraction: each round hangs the larger neighbours, then all smaller ones, on the smallest; the edges stay
     as many as the nodes and are written each round. A node with very many neighbours is only ever aggregated, never gathered.
     """
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
+    scratch = scratch or Scratch(links.sparkSession)
+    edges = scratch.write(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     before = _state(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = written(both.filter("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        large = scratch.write(both.filter("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v")))
-        edges = written(small.filter("u <> v").distinct(), "small")
+        edges = scratch.write(small.filter("u <> v").distinct(), "edges")
+        scratch.drop("large")
+        scratch.drop("edges", but_last=True)
         after = _state(edges)
         if after == before:
             break
@@ -236,62 +241,92 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
-def _across(units: DataFrame, similarity: float, nearest: int | None) -> DataFrame:
-    """Pairs of different components within a unit (a bucket, or two blocks of it) that sizes and sketches do not rule out.
-
-    ``nearest``: list only so many for each member, the ones with the fewest different bits.
-    """
-
-    def compared(unit: pa.Table) -> pa.RecordBatch:
-        unit = unit.sort_by("n_shingles")
-        rep, label, side, size = (unit.column(c).to_numpy() for c in ("rep", "label", "side", "n_shingles"))
-        sketch = _sketches(unit.column("sketch"))
-        xs, ys = [], []
-        right = np.flatnonzero(side != 0)
-        for x in np.flatnonzero(side != 1):
-            low, high = np.searchsorted(size[right], [similarity * size[x] - 1e-6, size[x] / similarity + 1e-6])
-            near = right[low:high]
-            near = near[(label[near] != label[x]) & ((side[x] == 0) | (nearest is not None) | (rep[near] > rep[x]))]
-            if len(near):
-                bits = np.bitwise_count(sketch[near] ^ sketch[x]).sum(axis=1)
-                few = bits <= most_bits(size[near], size[x], similarity)
-                near, bits = near[few], bits[few]
-                if nearest is not None and len(near) > nearest:
-                    near = near[np.argsort(bits, kind="stable")[:nearest]]
-                xs.append(np.full(len(near), rep[x]))
-                ys.append(rep[near])
-        a, b = (np.concatenate(z) if z else np.empty(0, np.int64) for z in (xs, ys))
-        return pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+def _near(size: np.ndarray, label: np.ndarray, side: np.ndarray, sketch: np.ndarray, similarity: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each member of a unit sorted by size: the members of other components that sizes and sketches allow, and their bits."""
+    right = np.flatnonzero(side != 0)
+    for x in np.flatnonzero(side != 1):
+        low, high = np.searchsorted(size[right], [similarity * size[x] - 1e-6, size[x] / similarity + 1e-6])
+        near = right[low:high]
+        near = near[label[near] != label[x]]
+        if len(near):
+            bits = np.bitwise_count(sketch[near] ^ sketch[x]).sum(axis=1)
+            few = bits <= most_bits(size[near], size[x], similarity)
+            if few.any():
+                yield x, near[few], bits[few]
+
+
+def _nearest(unit: pa.Table, percent: int) -> list[tuple[int, int]]:
+    """The nearest member of another component of each member."""
+    rep, label, side, size = (unit.column(c).to_numpy() for c in ("rep", "label", "side", "n_shingles"))
+    pairs = {tuple(sorted((int(rep[x]), int(rep[near[bits.argmin()]])))) for x, near, bits in _near(size, label, side, _sketches(unit.column("sketch")), percent / 100)}
+    return sorted(pairs)
+
+
+def _forest(unit: pa.Table, percent: int) -> list[tuple[int, int]]:
+    """Confirmed links that join the components of a unit as far as its pairs do, fewer than its members."""
+    rep, label, side, size = (unit.column(c).to_numpy() for c in ("rep", "label", "side", "n_shingles"))
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in unit.column("shingles")]
+    links, parts = [], label.copy()
+    for x, near, _ in _near(size, label, side, _sketches(unit.column("sketch")), percent / 100):
+        near = near[(parts[near] != parts[x]) & ((side[x] == 0) | (near > x))]
+        for at in range(0, len(near), 64):
+            some = near[at : at + 64]
+            some = some[parts[some] != parts[x]]
+            if not len(some):
+                continue
+            held = np.concatenate([sets[y] for y in some])
+            place = np.minimum(np.searchsorted(sets[x], held), size[x] - 1)
+            both = np.add.reduceat((sets[x][place] == held).astype(np.int64), np.cumsum(size[some]) - size[some])
+            for y in some[100 * both >= percent * (size[some] + size[x] - both)]:
+                if parts[y] != parts[x]:
+                    links.append((int(min(rep[x], rep[y])), int(max(rep[x], rep[y]))))
+                    parts[parts == parts[y]] = parts[x]
+    return links
+
+
+def _by_unit(units: DataFrame, compared: Callable[[pa.Table, int], list[tuple[int, int]]], percent: int) -> DataFrame:
+    """The pairs ``a, b`` of each unit: a bucket, or two blocks of it. One unit is held at a time."""
+
+    def pairs(held: list[pa.Table]) -> pa.RecordBatch:
+        found = compared(pa.concat_tables(held).sort_by("n_shingles"), percent)
+        return pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     def by_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         for batch in batches:
             keys = np.stack([batch.column(i).to_numpy() for i in range(3)])
-            cuts = [*(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1), batch.num_rows]
-            if held and batch.num_rows and any(held[0].column(i)[0] != batch.column(i)[0] for i in range(3)):
-                yield compared(pa.concat_tables(held))
-                held = []
-            at = 0
-            for cut in cuts:
-                if at:
-                    yield compared(pa.concat_tables(held))
+            starts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1)] if batch.num_rows else []
+            for start, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                if held and any(held[0].column(i)[0] != batch.column(i)[start] for i in range(3)):
+                    yield pairs(held)
                     held = []
-                if cut > at:
-                    held.append(pa.Table.from_batches([batch.slice(at, cut - at)]))
-                at = cut
+                held.append(pa.Table.from_batches([batch.slice(start, end - start)]))
         if held:
-            yield compared(pa.concat_tables(held))
+            yield pairs(held)
+
+    return units.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(by_unit, "a long, b long").distinct()
+
 
-    ordered = units.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return ordered.select("bucket", "i", "j", "side", "rep", "label", "n_shingles", "sketch").mapInArrow(by_unit, "a long, b long").distinct()
+def _units(members: DataFrame, labels: DataFrame, reps: DataFrame, block: int) -> DataFrame:
+    """``bucket, i, j, side, rep, label, n_shingles, sketch`` of the members of buckets that span components, in blocks."""
+    labelled = members.join(labels, "rep")
+    spanning = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket")
+    apart = labelled.join(spanning, "bucket").join(reps.select("rep", "sketch", "n_shingles"), "rep")
+    apart = apart.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep", F.lit(77)), F.col("blocks")).cast("int"))
+    apart = apart.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    return apart.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "rep", "label", "n_shingles", "sketch")
 
 
-def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+def _merged(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """``rep, label`` of all representatives after more links."""
     left, right = (labels.select(F.col("rep").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab")
-    roots = components(links.join(left, "a").join(right, "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
+    roots = components(links.join(left, "a").join(right, "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")), scratch)
     roots = roots.select(F.col("node").alias("label"), F.col("label").alias("root"))
-    return written(labels.join(roots, "label", "left").select("rep", F.coalesce("root", "label").alias("label")), "labels")
+    merged = scratch.write(labels.join(roots, "label", "left").select("rep", F.coalesce("root", "label").alias("label")), "labels")
+    scratch.drop("edges", "confirmed", "pairs")
+    scratch.drop("labels", but_last=True)
+    return merged
 
 
 def near_duplicates(rows: DataFrame, shingle: int, percent: int, rows_in_band: int = 5, block: int = BLOCK) -> DataFrame:
@@ -300,40 +335,40 @@ def near_duplicates(rows: DataFrame, shingle: int, percent: int, rows_in_band: i
     ``key1, key2`` are hashes of the text, ``digest`` is one of its words. ``kept``: the document whose id names its component. Rows
     that repeat an id and a text all carry the same result.
     """
-    similarity = percent / 100
     small_batches(rows.sparkSession)
+    scratch = Scratch(rows.sparkSession)
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), *text_keys(whole_text("text")), whole_text("text").alias("text"))
-    signed = written(signatures(rows, shingle, rows_in_band), "signatures")
-    reps = signed.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("key1", "key2")).alias("keys"), *[F.any_value(c).alias(c) for c in ("n_shingles", "bands", "sketch")])
-    reps = written(reps.withColumn("rep", F.monotonically_increasing_id()), "representatives")
+    signed = scratch.write(signatures(rows, shingle, rows_in_band), "signatures")
+    row = F.min(F.struct("key1", "key2", F.col("doc_id").alias("own"))).alias("row")
+    reps = signed.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), row, *[F.any_value(c).alias(c) for c in ("n_shingles", "bands", "sketch")])
+    reps = scratch.write(reps.withColumn("rep", F.monotonically_increasing_id()), "representatives")
 
     placed = reps.select("rep", F.explode("bands").alias("bucket"))
     buckets = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("rep", F.xxhash64("rep")).alias("leader")).filter("n > 1")
-    members = written(placed.join(buckets, "bucket"), "members")
-    wanted = written(reps.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "keys.*"), "wanted")
-    sets = written(_full_sets(rows, wanted, shingle), "sets")
+    members = scratch.write(placed.join(buckets, "bucket"), "members")
+    wanted = scratch.write(reps.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "row.*"), "wanted")
+    sets = scratch.write(_full_sets(rows, wanted, shingle), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        return written(_confirmed(written(pairs, "pairs"), sets, percent), "confirmed")
+        return scratch.write(_confirmed(scratch.write(pairs, "pairs"), sets, percent), "confirmed")
 
     pairs = members.filter("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
-    labels = _merged(reps.select("rep", F.col("rep").alias("label")), confirmed(_close(pairs, reps, similarity)))
-    for nearest in (NEAREST, None):
-        labelled = members.join(labels, "rep")
-        spanning = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket")
-        apart = labelled.join(spanning, "bucket").join(reps.select("rep", "sketch", "n_shingles"), "rep")
-        apart = apart.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep", F.lit(77)), F.col("blocks")).cast("int"))
-        apart = apart.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-        units = apart.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "rep", "label", "n_shingles", "sketch")
-        labels = _merged(labels, confirmed(_across(units, similarity, nearest)))
-
-    named = written(reps.select("digest", "doc_id", "rep").join(labels, "rep"), "components")
+    labels = _merged(reps.select("rep", F.col("rep").alias("label")), confirmed(_close(pairs, reps, percent / 100)), scratch)
+    labels = _merged(labels, confirmed(_by_unit(_units(members, labels, reps, block), _nearest, percent)), scratch)
+    units = _units(members, labels, reps, min(block, SET_BLOCK)).join(sets, "rep")
+    units = units.select("bucket", "i", "j", "side", "rep", "label", "n_shingles", "sketch", "shingles")
+    labels = _merged(labels, scratch.write(_by_unit(units, _forest, percent), "confirmed"), scratch)
+    scratch.drop("sets", "wanted", "members")
+
+    named = reps.select("digest", "doc_id", "rep").join(labels, "rep")
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(smallest, "label").select("digest", "component_id")
+    named = scratch.write(named.join(smallest, "label").select("digest", "component_id"), "components")
     result = signed.select("doc_id", "key1", "key2", "digest", "n_shingles").join(named, "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return result.select("doc_id", "key1", "key2", "digest", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    result = result.select("doc_id", "key1", "key2", "digest", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    result = scratch.write(result, "result")
+    scratch.drop("signatures", "representatives", "labels", "components")
+    return result
 
 
 def deduplicate(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:

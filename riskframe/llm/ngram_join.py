@@ -190,7 +190,9 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, rows: DataFrame, shingle: int,
     wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
     wanted = scratch.write(reps.select("rep", "key1", "key2").join(wanted, "rep"), "wanted")
     texts = rows.select("key1", "key2", "text").join(wanted.hint("shuffle_hash"), ["key1", "key2"])
-    made = scratch.write(texts.select("rep", "text").mapInArrow(sets, "rep long, shingles binary"), "sets")
+    # Rows that repeat an id and a text are one again.
+    made = texts.select("rep", "text").mapInArrow(sets, "rep long, shingles binary").groupBy("rep").agg(F.any_value("shingles").alias("shingles"))
+    made = scratch.write(made, "sets")
     left, right = (made.select(F.col("rep").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
     links = scratch.write(both.mapInArrow(linked, "a long, b long"), "confirmed")
@@ -247,10 +249,10 @@ def _across(units: DataFrame, percent: int, nearest: int | None) -> DataFrame:
 def _merged(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """``rep, label`` of all sets after more links."""
     left, right = (labels.select(F.col("rep").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab")
-    roots = components(links.join(left, "a").join(right, "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
+    roots = components(links.join(left, "a").join(right, "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")), scratch)
     roots = roots.select(F.col("node").alias("label"), F.col("label").alias("root"))
     merged = scratch.write(labels.join(roots, "label", "left").select("rep", F.coalesce("root", "label").alias("label")), "labels")
-    scratch.drop("confirmed")
+    scratch.drop("edges", "confirmed")
     scratch.drop("labels", but_last=True)
     return merged
 
