@@ -516,6 +516,10 @@ oracle("exclude_blocks", """
 SELECT file_id, 4 AS line_no, 'kept' AS line FROM cf
 UNION ALL SELECT file_id, line_no + 8, line FROM ln
 UNION ALL SELECT file_id, max(line_no) + 12, 'last' FROM ln GROUP BY file_id""")
+# Files stored in parts give the same lines.
+for _whole, _parts in (("line_explode", "part_lines"), ("exclude_blocks", "part_exclude_blocks")):
+    oracle(_parts, _FINAL[_whole])
+oracle("part_functions", "SELECT file_id, line_no, function FROM fn")
 oracle("strip_literals", f"SELECT file_id, line_no, {strip_literals('lower(line)')} AS code FROM ct_ln")
 CTE["ct_ln"] = lines_of("ct", "file_id", "content")
 oracle("behavior_findings", "SELECT file_id, line, pattern, severity, type, message, note FROM behavior")
@@ -721,7 +725,7 @@ def _needed(sql: str, reads: dict[str, set[str]]) -> list[str]:
 # Columns that are 32-bit on the Spark side.
 _INT = {
     "line_no": "line_explode exclude_blocks strip_literals taint_sources assigned_vars call_arguments "
-               "literal_arguments trusted_network_lines enclosing_function",
+               "literal_arguments trusted_network_lines enclosing_function part_lines part_exclude_blocks part_functions",
     "line": "behavior_findings secret_findings sink_boost tainted_sinks file_heuristics ast_findings corpus_secret_scan "
             "corpus_script_scan all_findings dedupe_findings finding_explanations focus_blocks",
     "pos": "taint_map intent_mismatch behavior_summary repo_behavior",

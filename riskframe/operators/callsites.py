@@ -1,153 +1,29 @@
-"""Call sites of text that parses as Python (operators F1-F3).
+"""Call sites of text that parses as Python, scored (operators F1-F3).
 
-The only operator Catalyst cannot express.  Python sees a text only if it names a watched target;
+Catalyst cannot express their extraction.  Python sees a text only if it names a watched target;
 it returns compact facts, and all scoring happens on the JVM.
 """
 
 from __future__ import annotations
 
-import ast
-import sys
-import unicodedata
-import warnings
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from riskframe import rules, texts
-from riskframe.functions.columns import lookup
+from riskframe.functions.columns import lookup, rows_of
 from riskframe.operators.detect import BEHAVIOR, CALL_RANK, finding, literal_discount
+from riskframe.operators.python_facts import python_facts
+from riskframe.operators.syntax import GATE
 
-CALL_SITES = T.ArrayType(T.StructType([
-    T.StructField("seq", T.IntegerType()), T.StructField("line", T.IntegerType()),
-    T.StructField("pattern", T.StringType()), T.StructField("arg_kind", T.StringType()),
-    T.StructField("arg_tainted", T.BooleanType()), T.StructField("fn_name", T.StringType()),
-]))
-
-# A watched call names one of these; identifiers may also be spelled with compatibility
-# characters, hence any text beyond ASCII passes and is checked again in normal form.
-_NAMES = sorted({max(t.split("."), key=len) for t in [*rules.CALL_TARGETS, *rules.CALL_TARGET_MODULES]})
-GATE = "|".join(_NAMES) + r"|[^\x00-\x7f]"
-
-_TARGETS = dict(rules.CALL_TARGETS)
-_TARGET_MODULES = dict(rules.CALL_TARGET_MODULES)
-_LEAVE = object()
-
-# The Arrow step below is this module's own small code: ship it with the query, so that executors
-# need no installed copy of the package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
-def _dotted(node: ast.expr) -> str:
-    """``a.b.c`` for a plain attribute chain, else an empty text."""
-    parts = []
-    while isinstance(node, ast.Attribute):
-        parts.append(node.attr)
-        node = node.value
-    if not isinstance(node, ast.Name):
-        return ""
-    return ".".join([node.id, *reversed(parts)])
-
-
-def _watched(func: ast.expr) -> str | None:
-    name = _dotted(func)
-    head, _, member = name.partition(".")
-    if member and "." not in member and head in _TARGET_MODULES:
-        return _TARGET_MODULES[head]
-    return _TARGETS.get(name)
-
-
-def _outside_data(node: ast.expr, names: set[str]) -> bool:
-    """Does an expression carry outside data?  Looks at its top node only."""
-    match node:
-        case ast.Name(id=name):
-            return name in names
-        case ast.JoinedStr() | ast.BinOp(op=ast.Add() | ast.Mod()):
-            return True
-        case ast.Call(func=ast.Name(id="input" | "__import__" | "getenv")):
-            return True
-        case ast.Call(func=ast.Attribute(value=ast.Name(id="os" | "request" | "sys" | "importlib"))):
-            return True
-        case ast.Attribute(value=ast.Name(id="request" | "sys" | "os")):
-            return True
-        case ast.Subscript(value=ast.Attribute(value=ast.Name(id="request" | "os"))):
-            return True
-        case ast.Subscript(value=ast.Name(id="argv" | "environ")):
-            return True
-    return False
-
-
-def _argument_kind(call: ast.Call) -> str:
-    if not call.args:
-        return "none"
-    match call.args[0]:
-        case ast.Name():
-            return "name"
-        case ast.JoinedStr() | ast.BinOp():
-            return "built"
-        case ast.Constant(value=str()):
-            return "literal"
-    return "other"
-
-
-def call_sites(code: str) -> list[dict]:
-    """Watched calls of one text in source order; text that does not parse has none."""
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            tree = ast.parse(code)
-    except Exception:
-        return []
-    sites: list[dict] = []
-    tainted: set[str] = set()
-    functions: list[str] = []
-    pending: list = [tree]
-    while pending:
-        node = pending.pop()
-        if node is _LEAVE:
-            functions.pop()
-            continue
-        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            functions.append(node.name)
-            pending.append(_LEAVE)
-        elif isinstance(node, (ast.Assign, ast.AnnAssign)):
-            if node.value is not None and _outside_data(node.value, tainted):
-                targets = node.targets if isinstance(node, ast.Assign) else [node.target]
-                tainted.update(t.id for t in targets if isinstance(t, ast.Name))
-        elif isinstance(node, ast.Call):
-            pattern = _watched(node.func)
-            if pattern:
-                sites.append({
-                    "seq": len(sites), "line": node.lineno, "pattern": pattern,
-                    "arg_kind": _argument_kind(node),
-                    "arg_tainted": bool(node.args) and _outside_data(node.args[0], tainted),
-                    "fn_name": functions[-1] if functions else "",
-                })
-        pending.extend(reversed(list(ast.iter_child_nodes(node))))
-    return sites
-
-
-def _names_target(code: str) -> bool:
-    plain = code if code.isascii() else unicodedata.normalize("NFKC", code)
-    return any(name in plain for name in _NAMES)
-
-
-def _call_sites_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in batches:
-        yield pd.Series(
-            [call_sites(code) if isinstance(code, str) and _names_target(code) else [] for code in batch],
-            dtype=object,
-        )
+
+def gated(text: Column) -> Column:
+    """The text if it may name a watched target, so most texts never reach Python."""
+    return F.when(text.rlike(GATE), text)
 
 
 def call_sites_column(text: Column) -> Column:
-    """The call sites of a text (operator F1); gated, so most texts never reach Python."""
-    extract = F.pandas_udf(_call_sites_of, CALL_SITES)
-    return extract(F.when(text.rlike(GATE), text))
+    """The call sites of a text (operator F1)."""
+    return python_facts(code=gated(text))["sites"]
 
 
 def call_findings(sites: Column) -> Column:
@@ -185,12 +61,12 @@ def call_findings(sites: Column) -> Column:
 def call_site_rows(files: DataFrame, text: str = "content") -> DataFrame:
     """One row per watched call (operator F1)."""
     keys = [c for c in files.columns if c != text]
-    return files.select(*keys, F.explode(call_sites_column(F.col(text))).alias("site")).select(*keys, "site.*")
+    return files.select(*keys, F.explode(rows_of(call_sites_column(F.col(text)))).alias("site")).select(*keys, "site.*")
 
 
 def call_finding_rows(files: DataFrame, text: str = "content") -> DataFrame:
     """One row per scored call finding (operators F1, F2)."""
     keys = [c for c in files.columns if c != text]
     return files.select(
-        *keys, F.explode(call_findings(call_sites_column(F.col(text)))).alias("finding")
+        *keys, F.explode(rows_of(call_findings(call_sites_column(F.col(text))))).alias("finding")
     ).select(*keys, "finding.*")

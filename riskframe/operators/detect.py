@@ -16,7 +16,8 @@ from riskframe import rules, texts
 from riskframe.functions import patterns
 from riskframe.functions.columns import contains_any, let, lookup, present, quoted, round2, strip
 from riskframe.operators.lines import run_numbers
-from riskframe.operators.taint import is_source, tainted_names, words
+from riskframe.operators.python_facts import python_facts
+from riskframe.operators.taint import is_source, with_sources
 from riskframe.rules import BehaviorRule, SecretRule
 
 BEHAVIOR = "suspicious_behavior"
@@ -70,6 +71,11 @@ def is_trusted_network_line(line: Column) -> Column:
     return contains_any(F.lower(line), rules.TRUSTED_NETWORK_HINTS)
 
 
+def function_name(line: Column) -> Column:
+    """The name that a ``def`` line defines, else an empty text."""
+    return F.regexp_extract(line, _FUNCTION, 1)
+
+
 def function_starts(scan_text: Column, numbers: Column) -> Column:
     """``{line, name}`` of every ``def`` line in order."""
     return F.filter(
@@ -77,7 +83,7 @@ def function_starts(scan_text: Column, numbers: Column) -> Column:
             F.split(scan_text, "\n", -1),
             lambda t, i: F.struct(
                 F.coalesce(F.get(numbers, i), i + 1).alias("line"),
-                F.regexp_extract(t, _FUNCTION, 1).alias("name"),
+                function_name(t).alias("name"),
             ),
         ),
         lambda d: d["name"] != "",
@@ -85,10 +91,17 @@ def function_starts(scan_text: Column, numbers: Column) -> Column:
 
 
 def enclosing_function(starts: Column, line: Column) -> Column:
-    """Name of the last ``def`` at or before a line, else an empty text (operator W2)."""
-    return F.coalesce(
-        F.try_element_at(F.filter(starts, lambda d: d["line"] <= line), F.lit(-1))["name"], F.lit("")
-    )
+    """Name of the last ``def`` at or before a line, else an empty text (operator W2).
+
+    ``starts`` are in line order, so their number up to the line is found bit by bit: a binary search.
+    """
+    bits = F.when(F.size(starts) > 0, F.sequence(F.floor(F.log2(F.size(starts))).cast("int"), F.lit(0), F.lit(-1)))
+
+    def search(at: Column, bit: Column) -> Column:
+        ahead = at + F.pow(F.lit(2), bit).cast("int")
+        return F.when(F.get(starts, ahead - 1)["line"] <= line, ahead).otherwise(at)
+
+    return let(F.aggregate(bits, F.lit(0), search), lambda n: F.coalesce(F.get(starts, n - 1)["name"], F.lit("")))
 
 
 def literal_discount(key: Column) -> Column:
@@ -97,12 +110,8 @@ def literal_discount(key: Column) -> Column:
     )
 
 
-def sink_context(key: Column, line: Column, args: Column, tainted: Column) -> Column:
-    """``{boost, note, variable}`` of a dangerous call on a line (operators C3, J6)."""
-    used = let(
-        words(F.lower(args)),
-        lambda tokens: F.get(F.filter(tainted, lambda v: F.array_contains(tokens, F.lower(v))), F.lit(0)),
-    )
+def sink_context(key: Column, line: Column, args: Column, used: Column) -> Column:
+    """``{boost, note, variable}`` of a dangerous call on a line (operators C3, J6); ``used``: the first tainted variable in it."""
     facts = F.struct(
         (args != "").alias("called"), is_literal_argument(args).alias("literal"),
         args.rlike(_DYNAMIC).alias("built"), is_source(F.lower(line)).alias("source"),
@@ -214,22 +223,34 @@ def with_hits(
     ).drop("candidates")
 
 
-def line_findings(hits: Column, scan_text: Column, runs: Column) -> Column:
+def with_facts(hits: DataFrame, behavior: Sequence[BehaviorRule], code: Column | None = None) -> DataFrame:
+    """Add ``used``, the first tainted variable in the arguments of each hit, and ``call_sites`` of ``code`` (operators W6, F1).
+
+    The text of a file goes to Python only if it has a dangerous call and reads outside data.
+    """
+    if code is None and not any(r.key in rules.SINK_KEYS for r in behavior):
+        return hits.withColumn("used", F.lit(None).cast("array<string>"))
+    sinks = F.exists("hits", lambda h: h["sink"])
+    args = F.transform("hits", lambda h: F.when(h["sink"], h["args"]))
+    facts = python_facts(code, F.when(sinks, with_sources(F.col("scan_text"))), F.when(sinks, args))
+    added = hits.withColumn("facts", facts).withColumn("used", F.col("facts.used"))
+    return (added if code is None else added.withColumn("call_sites", F.col("facts.sites"))).drop("facts")
+
+
+def line_findings(hits: Column, scan_text: Column, runs: Column, used: Column) -> Column:
     """Findings of the line rules with context-aware severity.
 
-    Taint and function names are only derived for files with a hit that needs them.
+    Function names are only derived for files with a hit that needs them.
     """
     context = F.struct(
-        hits.alias("hits"),
-        F.when(F.exists(hits, lambda h: h["sink"]), tainted_names(scan_text))
-        .otherwise(F.array().cast("array<string>")).alias("tainted"),
+        hits.alias("hits"), used.alias("used"),
         F.when(F.exists(hits, lambda h: h["network"]), let(
             run_numbers(runs), lambda numbers: function_starts(scan_text, numbers)
         )).alias("functions"),
     )
 
-    def score(h: Column, c: Column) -> Column:
-        sink = F.when(h["sink"], sink_context(h["key"], h["text"], h["args"], c["tainted"]))
+    def score(h: Column, i: Column, c: Column) -> Column:
+        sink = F.when(h["sink"], sink_context(h["key"], h["text"], h["args"], F.get(c["used"], i)))
         trusted = h["network"] & (
             enclosing_function(c["functions"], h["line"]).isin(*rules.TRUSTED_NETWORK_FUNCTIONS)
             | is_trusted_network_line(h["text"])
@@ -246,7 +267,7 @@ def line_findings(hits: Column, scan_text: Column, runs: Column) -> Column:
         return let(F.struct(sink.alias("sink"), F.coalesce(trusted, F.lit(False)).alias("trusted")), of)
 
     return F.when(F.size(hits) > 0, let(
-        context, lambda c: F.transform(c["hits"], lambda h: score(h, c))
+        context, lambda c: F.transform(c["hits"], lambda h, i: score(h, i, c))
     )).otherwise(no_findings())
 
 
@@ -271,15 +292,12 @@ def sink_rows(scanned: DataFrame, keys: Sequence[str] = ("file_id",)) -> DataFra
     ``scanned`` is the output of :func:`riskframe.operators.lines.with_scannable`.
     """
     sinks = [r for r in rules.BEHAVIOR_RULES if r.key in rules.SINK_KEYS]
-    hits = with_hits(scanned, sinks, ())
+    hits = with_facts(with_hits(scanned, sinks, ()), sinks)
     scored = let(
-        F.struct(
-            F.col("hits").alias("hits"),
-            F.when(F.size("hits") > 0, tainted_names(F.col("scan_text"))).alias("tainted"),
-        ),
-        lambda c: F.transform(c["hits"], lambda h: F.struct(
+        F.struct("hits", "used"),
+        lambda c: F.transform(c["hits"], lambda h, i: F.struct(
             h["line"].alias("line"), h["key"].alias("pattern"), h["args"].alias("args"),
-            sink_context(h["key"], h["text"], h["args"], c["tainted"]).alias("context"),
+            sink_context(h["key"], h["text"], h["args"], F.get(c["used"], i)).alias("context"),
         )),
     )
     return hits.select(*keys, F.explode(scored).alias("s")).select(
@@ -295,7 +313,7 @@ def enclosing_function_rows(scanned: DataFrame, keys: Sequence[str] = ("file_id"
     """
     starts = F.filter(
         F.transform(F.split("scan_text", "\n", -1), lambda t, i: F.struct(
-            i.alias("at"), F.regexp_extract(t, _FUNCTION, 1).alias("name")
+            i.alias("at"), function_name(t).alias("name")
         )),
         lambda d: (d["name"] != "") | (d["at"] == 0),
     )
@@ -306,7 +324,8 @@ def enclosing_function_rows(scanned: DataFrame, keys: Sequence[str] = ("file_id"
             (F.coalesce(F.get(b["starts"], k + 1)["at"], b["n"]) - 1).alias("last"),
         )),
     )
-    rows = scanned.select(*keys, "runs", F.explode(spans).alias("s"))
+    # A text without lines is one empty text when split.
+    rows = scanned.where(F.size("all_lines") > 0).select(*keys, "runs", F.explode(spans).alias("s"))
     numbers = F.coalesce(
         F.slice(run_numbers(F.col("runs")), F.col("s.first") + 1, F.col("s.last") - F.col("s.first") + 1),
         F.sequence(F.col("s.first") + 1, F.col("s.last") + 1),

@@ -9,17 +9,13 @@ from pyspark.sql import functions as F
 
 from riskframe import rules
 from riskframe.functions import patterns
+from riskframe.functions.columns import rows_of
 from riskframe.operators.lines import line_explode, with_scannable
+from riskframe.operators.python_facts import python_facts
 
-_WORDS = f"[{patterns.WORD}]+"
 _ASSIGNMENT = patterns.jvm(r"\A\s*([A-Za-z_][A-Za-z0-9_]*)\s*=")
 
 
-def words(text: Column) -> Column:
-    """Whole words of a text; ``\\bname\\b`` holds exactly if ``name`` is one of them."""
-    return F.regexp_extract_all(text, F.lit(_WORDS), F.lit(0))
-
-
 def is_source(lower_line: Column, sources: Sequence[str] = tuple(rules.TAINT_SOURCES)) -> Column:
     return lower_line.rlike(patterns.any_of(sources))
 
@@ -28,36 +24,17 @@ def assigned_variable(line: Column) -> Column:
     return F.nullif(F.regexp_extract(line, _ASSIGNMENT, 1), F.lit(""))
 
 
-def tainted_names(scan_text: Column, sources: Sequence[str] = tuple(rules.TAINT_SOURCES)) -> Column:
-    """Tainted variables of a text in first-taint order.
-
-    Only assignment lines enter the fold; a name is added if its line holds a source or an
-    already tainted name.
-    """
-    assignments = F.filter(
-        F.transform(
-            F.split(scan_text, "\n", -1),
-            lambda line: F.struct(assigned_variable(line).alias("name"), F.lower(line).alias("lower")),
-        ),
-        lambda a: a["name"].isNotNull(),
-    )
-
-    def step(names: Column, a: Column) -> Column:
-        fed = is_source(a["lower"], sources) | (
-            (F.size(names) > 0) & F.arrays_overlap(names, words(a["lower"]))
-        )
-        return F.when(
-            ~F.array_contains(names, a["name"]) & fed, F.array_append(names, a["name"])
-        ).otherwise(names)
-
-    return F.aggregate(assignments, F.array().cast("array<string>"), step)
+def with_sources(scan_text: Column, sources: Sequence[str] = tuple(rules.TAINT_SOURCES)) -> Column:
+    """The text if it reads outside data at all; nothing is tainted in any other."""
+    return F.when(is_source(F.lower(scan_text), sources), scan_text)
 
 
 def taint_map(files: DataFrame, sources: Sequence[str] = tuple(rules.TAINT_SOURCES)) -> DataFrame:
     """One row per tainted variable and file, in first-taint order (operator W6)."""
     keys = [c for c in files.columns if c != "content"]
-    return with_scannable(files).select(
-        *keys, F.posexplode(tainted_names(F.col("scan_text"), sources)).alias("pos", "variable")
+    facts = python_facts(scan_text=with_sources(F.col("scan_text"), sources), sources=sources)
+    return with_scannable(files).withColumn("facts", facts).select(
+        *keys, F.posexplode(rows_of("facts.tainted")).alias("pos", "variable")
     )
 
 

@@ -16,8 +16,8 @@ from riskframe.functions import paths, scores
 from riskframe.functions.columns import rows_of
 from riskframe.functions.versions import normalize_version
 from riskframe.operators import (
-    callsites, dependencies, detect, findings, focus, heuristics, intent, limits, lines, manifests, quota, repo,
-    taint,
+    callsites, dependencies, detect, findings, focus, heuristics, intent, limits, lines, manifests, parts,
+    quota, repo, taint,
 )
 from riskframe.plans import file_scan, repo_scan
 from riskframe.plans.manifest_scan import repo_dependencies
@@ -107,14 +107,41 @@ def line_explode(spark, d):
     return lines.line_explode(texts)
 
 
-def exclude_blocks(spark, d):
+def _wrapped(spark, d):
     """The code files with marker blocks wrapped around their text."""
-    wrapped = _files(spark, d).select("file_id", F.concat(
+    return _files(spark, d).select("file_id", F.concat(
         F.lit("SECRET_PATTERNS = [\n  inner\n]\nkept\nfunction loadSafeExample() {\n  if (a) {\n  }\n}\n"),
         F.col("content"),
         F.lit("\nexplanations = {\n  a: 1,\n}\nlast"),
     ).alias("content"))
-    return lines.scannable_lines(wrapped).select("file_id", "line_no", "line")
+
+
+def exclude_blocks(spark, d):
+    return lines.scannable_lines(_wrapped(spark, d)).select("file_id", "line_no", "line")
+
+
+#: Characters of a part, so small that lines and line breaks cross parts.
+PART_SIZE = 700
+
+
+def _part_lines(spark, d):
+    return parts.line_rows(parts.cut(_id_text(_files(spark, d)), PART_SIZE))
+
+
+def part_lines(spark, d):
+    """Lines of the documents, stored in parts."""
+    texts = fixtures.table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), F.col("text").alias("content"))
+    return parts.line_rows(parts.cut(texts, PART_SIZE)).withColumnRenamed("file_id", "doc_id")
+
+
+def part_exclude_blocks(spark, d):
+    """The lines that count of the code files with marker blocks around them, stored in parts."""
+    return parts.scannable_rows(parts.line_rows(parts.cut(_wrapped(spark, d), PART_SIZE)))
+
+
+def part_functions(spark, d):
+    """The function around every line that counts, of files stored in parts."""
+    return parts.function_rows(parts.scannable_rows(_part_lines(spark, d)))
 
 
 def strip_literals(spark, d):
@@ -596,6 +623,7 @@ QUERIES = {
     f.__name__: f
     for f in [
         scan_files, code_file_filter, manifest_filter, line_explode, exclude_blocks, strip_literals,
+        part_lines, part_exclude_blocks, part_functions,
         behavior_findings, secret_findings, taint_sources, assigned_vars, taint_map, call_arguments,
         literal_arguments, trusted_network_lines, enclosing_function, sink_boost, tainted_sinks, file_heuristics,
         ast_call_sites, ast_findings, corpus_secret_scan, corpus_script_scan, corpus_focus_windows,

@@ -17,7 +17,7 @@ from riskframe.functions.columns import round2
 from riskframe.functions.scores import risk_level, trust_badge, trust_score
 from riskframe.functions.text import split_lines
 from riskframe.operators import detect, findings, focus, heuristics, intent, limits
-from riskframe.operators.callsites import call_findings, call_sites_column
+from riskframe.operators.callsites import call_findings, gated
 from riskframe.operators.lines import with_scannable
 from riskframe.rules import BehaviorRule, SecretRule
 
@@ -33,11 +33,9 @@ def with_findings(
     heuristic: bool = True,
 ) -> DataFrame:
     """Add ``findings`` (all) and the text columns the rest of the report reads."""
-    scanned = with_scannable(files, text)
-    if call_sites:
-        scanned = scanned.withColumn("call_sites", call_sites_column(F.col(text)))
-    hit = detect.with_hits(scanned, behavior, secrets)
-    parts = [detect.line_findings(F.col("hits"), F.col("scan_text"), F.col("runs"))]
+    hit = detect.with_hits(with_scannable(files, text), behavior, secrets)
+    hit = detect.with_facts(hit, behavior, gated(F.col(text)) if call_sites else None)
+    parts = [detect.line_findings(F.col("hits"), F.col("scan_text"), F.col("runs"), F.col("used"))]
     if call_sites:
         parts.append(call_findings(F.col("call_sites")))
     if heuristic:

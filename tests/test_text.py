@@ -9,7 +9,7 @@ from riskframe import rules
 from riskframe.functions.patterns import jvm
 from riskframe.functions.text import split_lines, strip_line_literals, strip_literals
 from riskframe.operators import heuristics, lines, taint
-from riskframe.operators.callsites import call_sites
+from riskframe.operators.syntax import call_sites
 
 
 def _random_texts(alphabet, n, length=24):
