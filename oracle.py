@@ -191,7 +191,7 @@ _fires = {
     "chr_chain": f"len(regexp_extract_all(replace(code, '(', '(('), {q(_signal['chr'])})) >= {rules.CHR_CHAIN_LENGTH}",
 }
 CTE["heuristic"] = " UNION ALL ".join(
-    f"""SELECT w.file_id, CAST(coalesce((SELECT min(line_no) FROM ln WHERE ln.file_id = w.file_id
+    f"""SELECT w.file_id, CAST(coalesce((SELECT min(line_no) FROM ln AS ln WHERE ln.file_id = w.file_id
           AND {matches('ln.line', _blob if key == 'high_entropy_blob' else pattern, 'i')}), 1) AS BIGINT) AS line,
         {q(key)} AS pattern, CAST({points} AS DOUBLE) AS severity, 2 AS src_rank, {i} AS seq, 'heuristic' AS type,
         {q(message)} AS message, '' AS note
@@ -428,6 +428,71 @@ _manifest_lines = """list_filter([
     || unique_package_versions || ' package/version pair(s).'
     ELSE 'No known dependency vulnerabilities were found in the queried manifest versions.' END], lambda x: x IS NOT NULL)"""
 
+# Advisories from JSON lines: one row per line that is an object, and its affected packages.
+CTE["aj"] = fixtures.ADVISORY_JSON
+_str = lambda path, j="j": f"CASE WHEN json_type({j}, '{path}') = 'VARCHAR' THEN json_extract_string({j}, '{path}') END"
+CTE["ajson"] = "SELECT line_no, CASE WHEN json_valid(value) THEN value::JSON END AS j, value FROM aj"
+CTE["agood"] = f"""
+SELECT {_str('$.id')} AS id, {_str('$.summary')} AS summary, {_str('$.details')} AS details, {_str('$.published')} AS published,
+  CASE WHEN json_type(j, '$.affected') = 'ARRAY' THEN json_extract(j, '$.affected[*]') ELSE [] END AS affected, j
+FROM ajson WHERE json_type(j) = 'OBJECT'"""
+CTE["aaff"] = """
+SELECT id, a, k FROM (SELECT id, unnest(affected) AS a, generate_subscripts(affected, 1) AS k FROM agood) WHERE json_type(a) = 'OBJECT'"""
+CTE["afix"] = f"""
+SELECT id, list(v ORDER BY first_at)[1:{rules.MAX_FIXED_VERSIONS}] AS fixed FROM (
+  SELECT id, v, min(place) AS first_at FROM (
+    SELECT id, trim({_str('$.fixed', 'e')}) AS v, row_number() OVER (PARTITION BY id ORDER BY k, r, n) AS place FROM (
+      SELECT id, k, r, unnest(ev) AS e, generate_subscripts(ev, 1) AS n FROM (
+        SELECT id, k, r, CASE WHEN json_type(rg, '$.events') = 'ARRAY' THEN json_extract(rg, '$.events[*]') ELSE [] END AS ev FROM (
+          SELECT id, k, unnest(json_extract(a, '$.ranges[*]')) AS rg, generate_subscripts(json_extract(a, '$.ranges[*]'), 1) AS r FROM aaff))))
+  WHERE v <> '' GROUP BY id, v) GROUP BY id"""
+CTE["aalias"] = f"""
+SELECT id, list(v ORDER BY n)[1:{rules.MAX_ALIASES}] AS aliases FROM (
+  SELECT id, n, trim({_str('$', 'x')}) AS v FROM (
+    SELECT id, unnest(json_extract(j, '$.aliases[*]')) AS x, generate_subscripts(json_extract(j, '$.aliases[*]'), 1) AS n FROM agood))
+WHERE v <> '' GROUP BY id"""
+CTE["ascore"] = """
+SELECT id, arg_min(level, n) AS level FROM (
+  SELECT id, n, CASE WHEN contains(s, 'CRITICAL') THEN 'CRITICAL' WHEN contains(s, 'HIGH') THEN 'HIGH' WHEN contains(s, 'MEDIUM') THEN 'MEDIUM'
+    WHEN contains(s, 'LOW') THEN 'LOW' END AS level
+  FROM (SELECT id, n, upper(json_extract_string(x, '$.score')) AS s FROM (
+    SELECT id, unnest(json_extract(j, '$.severity[*]')) AS x, generate_subscripts(json_extract(j, '$.severity[*]'), 1) AS n FROM agood
+    WHERE json_type(j, '$.severity') = 'ARRAY') WHERE json_type(x) = 'OBJECT'))
+WHERE level IS NOT NULL GROUP BY id"""
+CTE["afact"] = f"""
+SELECT g.id, g.published, coalesce(f.fixed, []) AS fixed, coalesce(l.aliases, []) AS aliases,
+  coalesce(nullif(trim(summary), ''), nullif(trim(details), ''), {q(texts.ADVISORY_DEFAULT_EXPLANATION)}) AS text,
+  coalesce((SELECT upper(arg_min(s, k)) FROM (SELECT k, nullif(trim({_str('$.ecosystem_specific.severity', 'a')}), '') AS s FROM aaff WHERE aaff.id = g.id) WHERE s IS NOT NULL),
+    upper(nullif(trim({_str('$.database_specific.severity', 'g.j')}), '')), c.level, 'UNKNOWN') AS severity_label
+FROM agood g LEFT JOIN afix f USING (id) LEFT JOIN aalias l USING (id) LEFT JOIN ascore c USING (id)"""
+CTE["aref"] = f"""
+SELECT DISTINCT id, {_str('$.package.ecosystem', 'a')} AS ecosystem, {_str('$.package.name', 'a')} AS package, {_str('$', 'v')} AS version
+FROM (SELECT id, a, unnest(json_extract(a, '$.versions[*]')) AS v FROM aaff)"""
+
+# Manifest files of both kinds. A requirements file lists its lines in order; entries do not depend on their numbers.
+CTE["mentry"] = """
+SELECT repo, file, 'PyPI' AS ecosystem, package, declared_version, version, version_kind, '' AS dependency_section, raw, reason, line AS ord FROM entry
+UNION ALL
+SELECT p.repo, p.path, 'npm', e.package, e.declared_version, e.version, e.version_kind, coalesce(e.dependency_section, ''), e.raw, e.reason, 0
+FROM pentry e JOIN pj p USING (file_id)"""
+CTE["mdep"] = """
+SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY repo, file, lower(package), ecosystem, version ORDER BY ord) AS rn
+  FROM mentry WHERE reason IS NULL) WHERE rn = 1"""
+CTE["mfind"] = f"""
+SELECT d.*, f.id, f.severity_label, f.published, f.fixed, f.aliases, {case('severity_label', rules.ADVISORY_POINTS, 5)} AS base,
+  {_pct} / 100.0::DOUBLE AS path_weight, {case('severity_label', rules.ADVISORY_POINTS, 5)} * {_pct} AS cents,
+  left(f.text || CASE WHEN {_pct} < 100 THEN replace({q(texts.ADVISORY_WEIGHT_NOTE)}, '%s', CAST({_pct} / 100.0::DOUBLE AS VARCHAR)) ELSE '' END,
+    {rules.MAX_EXPLANATION_CHARS}) AS explanation
+FROM mdep d JOIN aref r USING (ecosystem, package, version) JOIN afact f ON f.id = r.id"""
+CTE["msums"] = f"""
+SELECT m.*, (SELECT count(*) FROM mdep d WHERE d.repo = m.repo) AS dependencies_parsed,
+  (SELECT count(*) FROM mentry e WHERE e.repo = m.repo AND reason IS NOT NULL) AS dependencies_skipped_count,
+  coalesce(p.dependency_risk_points, 0.0) AS dependency_risk_points, coalesce(p.advisory_count, 0) AS advisory_count,
+  coalesce(p.unique_package_versions, 0) AS unique_package_versions
+FROM (SELECT repo, count(DISTINCT file) AS manifests_scanned FROM (SELECT repo, file FROM ml UNION ALL SELECT repo, path FROM pj) GROUP BY repo) m
+LEFT JOIN (SELECT repo, {_capped} AS dependency_risk_points, count(*) AS advisory_count,
+    count(DISTINCT lower(package) || '@' || version) AS unique_package_versions FROM mfind GROUP BY repo) p USING (repo)"""
+
 # Repositories.
 _weight = percent("path", rules.CODE_PATH_WEIGHTS)
 CTE["repo_files"] = f"""
@@ -458,6 +523,12 @@ SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY file_ord, p) - 1 AS p
     SELECT repo, file_ord, unnest(sentences) AS sentence, generate_subscripts(sentences, 1) AS p FROM repo_files)
   GROUP BY repo, sentence)"""
 
+def _reads(sql: str) -> set[str]:
+    """Common tables a statement names after FROM or JOIN."""
+    names = set(re.findall(r"\b(?:FROM|JOIN)\s+\(?(\w+)", sql))
+    return {name for name in CTE if name.split("(")[0] in names}
+
+
 # Limits and quota.
 
 
@@ -481,6 +552,51 @@ SELECT *, code_files > file_limit AS many, repo_size_bytes > size_limit AS large
   FROM rr r LEFT JOIN cf c ON c.repo = r.repo GROUP BY r.request_id, r.repo, r.plan)"""
 
 
+
+
+def over_repo_files(names: list[str]) -> None:
+    """Copies ``m_...`` of common tables that read all repository files, package.json among them; those have no call sites."""
+    CTE["m_cf"] = f"SELECT * REPLACE ('build a report' AS intent) FROM ({fixtures.REPO_FILES})"
+    reads = {name: _reads(body) for name, body in CTE.items()}
+    closure: set[str] = set()
+
+    def visit(name: str) -> bool:
+        if name == "cf":
+            return True
+        if name not in closure and name not in ("sites", "called") and any([visit(other) for other in reads[name] if other != name]):
+            closure.add(name)
+        return name in closure
+
+    for name in names:
+        visit(name)
+    bare = sorted({name.split("(")[0] for name in closure} | {"cf"}, key=len, reverse=True)
+    for name in closure:
+        CTE[f"m_{name}"] = re.sub(rf"\b(FROM|JOIN)(\s+\(?)({'|'.join(bare)})\b", r"\1\2m_\3", CTE[name])
+
+
+over_repo_files(["scored_full", "rlimit", "ln"])
+CTE["rlimit_plain"] = CTE["m_rlimit"]
+for _plan_field in ("repo_file_limit", "repo_size_limit_bytes"):
+    CTE["rlimit_plain"] = CTE["rlimit_plain"].replace(limit("r.plan", _plan_field, _tight), limit("r.plan", _plan_field, rules.PLAN_LIMITS))
+CTE["rfile"] = f"""
+SELECT s.repo, s.file_ord, s.path, s.file_id, p.plan, over, CASE WHEN over THEN 'limit' ELSE s.risk END AS risk,
+  CASE WHEN over THEN 100.0 ELSE s.risk_points END AS risk_points, CASE WHEN over THEN [] ELSE s.sentences END AS sentences,
+  {_weight} AS percent, {', '.join(f"NOT over AND s.{n.replace(' ', '_')} AS {n.replace(' ', '_')}" for n in _touch_names)}
+FROM (SELECT s.*, p.plan, coalesce((SELECT max(line_no) FROM m_ln WHERE m_ln.file_id = s.file_id)
+        > {limit('p.plan', 'line_limit', rules.PLAN_LIMITS)}, FALSE) AS over
+      FROM m_scored_full s, (SELECT DISTINCT plan FROM rr) p) s JOIN (SELECT DISTINCT repo, plan FROM rlimit_plain WHERE
+        NOT (coalesce(many, FALSE) OR coalesce(large, FALSE))) p ON p.repo = s.repo AND p.plan = s.plan WHERE {IS_CODE}"""
+CTE["rroll"] = f"""
+SELECT repo, plan, count(*) AS n, CAST(sum(CAST(round(risk_points * 100) AS BIGINT) * percent) AS DOUBLE) AS total,
+  max(CASE risk WHEN 'red' THEN 2 WHEN 'yellow' THEN 1 ELSE 0 END) AS rank,
+  {', '.join(f"bool_or({n.replace(' ', '_')}) AS {n.replace(' ', '_')}" for n in _touch_names)} FROM rfile GROUP BY repo, plan"""
+CTE["rsent"] = """
+SELECT repo, plan, list(sentence ORDER BY file_ord, p) AS sentences FROM (
+  SELECT repo, plan, sentence, min(file_ord) AS file_ord, arg_min(p, file_ord * 64 + p) AS p FROM (
+    SELECT repo, plan, file_ord, unnest(sentences) AS sentence, generate_subscripts(sentences, 1) AS p FROM rfile)
+  GROUP BY repo, plan, sentence) GROUP BY repo, plan"""
+
+
 def admitted(source: str, used: str = "0") -> str:
     """The plan is a function of the actor in this input, so admission is a plain rank."""
     return f"""
@@ -640,7 +756,7 @@ SELECT repo, line, raw_version, {_rv} AS version, {_rk} AS kind
 FROM (SELECT repo, line, regexp_replace(raw, '^[a-z0-9\\[\\]]+', '') AS raw_version FROM ml)""")
 # package.json texts come in five shapes, so the expected entries are plain rows per shape.
 _pv, _pk = normalized("value")
-oracle("parse_package_json", f"""
+CTE["pentry"] = f"""
 SELECT file_id, CASE WHEN v IS NOT NULL THEN package END AS package, CASE WHEN v IS NOT NULL THEN value END AS declared_version,
   v AS version, CASE WHEN v IS NOT NULL THEN kind END AS version_kind,
   CASE WHEN v IS NOT NULL THEN section END AS dependency_section,
@@ -649,14 +765,19 @@ SELECT file_id, CASE WHEN v IS NOT NULL THEN package END AS package, CASE WHEN v
     THEN section || ' entry uses a complex or non-registry specifier.' END AS reason
 FROM (SELECT file_id, section, package, value, {_pv} AS v, {_pk} AS kind FROM (
   SELECT p_partkey AS file_id, s.section, CASE WHEN s.package = 'PK' THEN 'pkg' || (p_partkey % 50) ELSE s.package END AS package,
-    replace(s.value, 'SEVEN', CAST(p_partkey % 7 AS VARCHAR)) AS value
+    replace(replace(s.value, 'SEVEN', CAST(p_partkey % 7 AS VARCHAR)), 'FOUR', CAST(p_partkey % 4 AS VARCHAR)) AS value
   FROM part JOIN {values([
     (0, 'dependencies', 'PK', '^1.2.SEVEN'), (0, 'dependencies', 'left', '1.x'), (0, 'devDependencies', 'dev', '~2.0'),
     (1, 'dependencies', 'PK', '1.2.SEVEN'), (1, 'optionalDependencies', 'opt', '1 || 2'),
     (1, 'optionalDependencies', 'eq', '=1.0'), (2, None, None, ''),
     (3, 'devDependencies', 'a', 'latest'), (3, 'devDependencies', 'b', 'workspace:*'),
     (3, 'devDependencies', 'c', '1.0 - 2.0'), (3, 'devDependencies', 'd', ''),
-  ])} AS s(shape, section, package, value) ON s.shape = p_partkey % 5))""")
+    *[(5, 'dependencies', k, v) for k, v in {
+        't': 'True', 'f': 'False', 'n': 'None', 'i': '12', 'x': '1.5', 'y': '1.0', 'e': '100000.0', 's': '2e-07',
+        'm': '1.5e+16', 'k': '0.0001', 'big': '123456789012345678901234567890'}.items()],
+    (6, 'dependencies', 'PK', '1.2.FOUR'), (6, 'dependencies', 'b', '2.0'),
+  ])} AS s(shape, section, package, value) ON s.shape = p_partkey % 7))"""
+oracle("parse_package_json", "SELECT * FROM pentry")
 oracle("dedupe_dependencies", "SELECT repo, line, package, version, version_kind FROM dep")
 oracle("deps_skipped_top", f"""
 SELECT repo, rank, line, raw, reason FROM (
@@ -678,6 +799,43 @@ oracle("dep_risk_points", "SELECT repo, dependency_risk_points FROM dpoints")
 oracle("dep_rollup", "SELECT * FROM droll")
 oracle("manifest_summary", f"SELECT *, array_to_string({_manifest_lines}, '|') AS summary_lines FROM msum")
 oracle("path_weights", f"SELECT path, {_weight} / 100.0::DOUBLE AS code_weight, {percent('path', rules.MANIFEST_PATH_WEIGHTS)} / 100.0::DOUBLE AS manifest_weight FROM cf")
+oracle("advisory_json", f"""
+SELECT id, severity_label, {case('severity_label', rules.ADVISORY_POINTS, 5)} AS points, array_to_string(fixed, '|') AS fixed_versions,
+  array_to_string(aliases, '|') AS aliases, text, published FROM afact""")
+oracle("advisory_json_refs", "SELECT ecosystem, package, version, id FROM aref")
+oracle("advisory_bad_lines", "SELECT line_no, value AS line FROM ajson WHERE j IS NULL OR json_type(j) <> 'OBJECT'")
+oracle("manifest_files_entries", "SELECT repo, file, ecosystem, package, declared_version, version, version_kind, dependency_section, raw, reason FROM mentry")
+oracle("manifest_files_findings", f"""
+SELECT repo, file, ecosystem, package, version, dependency_section, id, severity_label, cents / 100.0::DOUBLE AS severity, path_weight, published,
+  array_to_string(fixed, '|') AS fixed_versions, array_to_string(aliases, '|') AS aliases, explanation FROM mfind""")
+oracle("repo_files", f"""
+SELECT repo, plan, path, risk, risk_points, percent / 100.0::DOUBLE AS file_weight,
+  {two('risk_points * (percent / 100.0::DOUBLE)')} AS weighted_risk_points FROM rfile""")
+_own_lines = f"""list_filter([CASE WHEN advisory_count > 0 THEN 'Contains ' || advisory_count || ' dependency advisory finding(s) across '
+    || unique_package_versions || ' package/version pair(s).' END,
+  CASE WHEN n > 0 AND advisory_count = 0 THEN {q(rules.NO_MAJOR_SENTENCE)} END, CASE WHEN advisory_count > 0 THEN {q(rules.DEPENDENCIES_SENTENCE)} END], lambda x: x IS NOT NULL)"""
+_touch_cases = [f"CASE WHEN coalesce({n.replace(' ', '_')}, FALSE) THEN {q(n)} END" for n in _touch_names]
+oracle("repo_report", f"""
+SELECT request_id, repo, 'owner/' || repo AS repo_name, ok AS admitted, plan, CASE WHEN ok THEN {RISK('points')} ELSE 'limit' END AS risk,
+  CASE WHEN ok THEN {two('points')} ELSE 100.0 END AS risk_points, CASE WHEN ok THEN {TRUST('points')} ELSE 0 END AS trust_score,
+  CASE WHEN ok THEN n ELSE 0 END AS files_scanned_count, coalesce(CAST(file_limit AS VARCHAR), 'Unlimited') AS files_scanned_limit,
+  CASE WHEN ok THEN array_to_string(list_sort(list_filter([{', '.join(_touch_cases)},
+    CASE WHEN advisory_count > 0 THEN {q(rules.DEPENDENCIES_TOUCH)} END], lambda x: x IS NOT NULL)), '|') ELSE '' END AS touches,
+  CASE WHEN ok THEN array_to_string(CASE WHEN len(lines) = 0 THEN [{q(rules.QUIET_REPO_SENTENCE)}] ELSE lines END, '|') ELSE '' END AS behavior_summary,
+  CASE WHEN ok THEN 'Weighted repo scan completed across ' || n || ' files.'
+    WHEN many THEN {_plan_label} || ' scans are limited to ' || file_limit || ' code files per repository. Upgrade for larger repo scans.'
+    ELSE {_plan_label} || ' scans are limited to about ' || {_size} || ' of code per repository. Upgrade for larger repo scans.' END AS summary,
+  CASE WHEN ok THEN ['green', 'yellow', 'red'][coalesce(rank, 0) + 1] ELSE 'green' END AS highest_file_risk, repo_size_bytes,
+  CASE WHEN ok THEN manifests_scanned END AS manifests_scanned, CASE WHEN ok THEN dependencies_parsed END AS dependencies_parsed,
+  CASE WHEN ok THEN dependencies_skipped_count END AS dependencies_skipped_count, CASE WHEN ok THEN advisory_count END AS advisory_count,
+  CASE WHEN ok THEN dependency_risk_points END AS dependency_risk_points
+FROM (SELECT *, list_distinct_ordered AS lines, {damped("(coalesce(total, 0) / 10000.0::DOUBLE / greatest(n, 1) + dependency_risk_points)")} AS points FROM (
+  SELECT *, coalesce(sentences, []) || {_own_lines} || (CASE WHEN has THEN {_manifest_lines} ELSE [] END) AS list_distinct_ordered FROM (
+    SELECT l.*, NOT (coalesce(many, FALSE) OR coalesce(large, FALSE)) AS ok, r.* EXCLUDE (repo, plan, n), coalesce(r.n, 0) AS n, s.sentences,
+      m.repo IS NOT NULL AS has, coalesce(m.manifests_scanned, 0) AS manifests_scanned, coalesce(m.dependencies_parsed, 0) AS dependencies_parsed,
+      coalesce(m.dependencies_skipped_count, 0) AS dependencies_skipped_count, coalesce(m.advisory_count, 0) AS advisory_count,
+      coalesce(m.unique_package_versions, 0) AS unique_package_versions, coalesce(m.dependency_risk_points, 0.0) AS dependency_risk_points
+    FROM rlimit_plain l LEFT JOIN rroll r USING (repo, plan) LEFT JOIN rsent s USING (repo, plan) LEFT JOIN msums m USING (repo))))""")
 oracle("repo_url_parse", f"""
 SELECT page_id, CASE WHEN good THEN parts[1] END AS owner, CASE WHEN good THEN replace(parts[2], '.git', '') END AS repo_short,
   CASE WHEN NOT good THEN {q(rules.REPO_URL_ERROR)} END AS error
@@ -701,12 +859,6 @@ FROM (SELECT repo, 'https://img.shields.io/badge/Risk%20Scan-' || t || '%2F100-'
       FROM (SELECT repo, {TRUST('points')} AS t FROM repo_scored))""")
 
 
-def _reads(sql: str) -> set[str]:
-    """Common tables a statement names after FROM or JOIN."""
-    names = set(re.findall(r"\b(?:FROM|JOIN)\s+\(?(\w+)", sql))
-    return {name for name in CTE if name.split("(")[0] in names}
-
-
 def _needed(sql: str, reads: dict[str, set[str]]) -> list[str]:
     """The common tables a statement needs, each one after those it reads itself."""
     ordered: list[str] = []

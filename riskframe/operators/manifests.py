@@ -76,7 +76,11 @@ def package_json_entries(files: DataFrame) -> DataFrame:
     """
     keys = [c for c in files.columns if c not in ("path", "content")]
     sections = rules.PACKAGE_JSON_SECTIONS
-    parsed = F.from_json("content", ", ".join(f"{s} map<string,string>" for s in sections))
+    # The text of each value, and its type: both parsers keep the order of keys, and repeated ones.
+    parsed = F.struct(*[
+        F.from_json("content", ", ".join(f"{s} map<string,{kind}>" for s in sections)).alias(name)
+        for name, kind in (("texts", "string"), ("values", "variant"))
+    ])
     valid = F.get_json_object("content", "$").isNotNull()
 
     def entries(doc: Column) -> Column:
@@ -112,11 +116,61 @@ def package_json_entries(files: DataFrame) -> DataFrame:
     )
 
 
+def python_float(text: Column) -> Column:
+    """A number as the JVM spells it, ``1.0E-7``, in Python's spelling, ``1e-07``."""
+    mantissa = F.regexp_extract(text, r"\A-?([0-9.]+)", 1)
+    digits = F.regexp_replace(F.replace(mantissa, F.lit("."), F.lit("")), r"(?<=.)0+\z", "")
+    exponent = F.regexp_extract(text, r"E(-?[0-9]+)\z", 1).cast("int")
+
+    def spelled(p: Column) -> Column:
+        d, e = p["digits"], p["exponent"]
+        n = F.length(d)
+        head, rest = F.left(d, F.lit(1)), F.substring(d, 2, 400)
+        scientific = F.concat(
+            head, F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(""), F.lit("e"), F.when(e < 0, "-").otherwise("+"),
+            F.when(F.abs(e) < 10, "0").otherwise(""), F.abs(e).cast("string"),
+        )
+        whole = F.when(n <= e + 1, F.concat(d, F.repeat(F.lit("0"), F.greatest(e + 1 - n, F.lit(0))), F.lit(".0"))).otherwise(
+            F.concat(F.left(d, e + 1), F.lit("."), F.substr(d, e + 2))
+        )
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), F.greatest(-e - 1, F.lit(0))), d)
+        return F.when((e >= 0) & (e < 16), whole).when((e < 0) & (e >= -4), small).otherwise(scientific)
+
+    sign = F.when(F.startswith(text, F.lit("-")), "-").otherwise("")
+    parts = F.struct(digits.alias("digits"), exponent.alias("exponent"))
+    return F.when(F.contains(text, F.lit("E")), F.concat(sign, let(parts, spelled))).otherwise(text)
+
+
+def json_spelling(text: Column, value: Column) -> Column:
+    """A JSON value as Python's ``str`` spells it; lists and objects keep their JSON."""
+    kind = F.schema_of_variant(value)
+    number = F.when(text.rlike(r"\A-?[0-9]+\z"), text).otherwise(python_float(text))
+    return (
+        F.when(value.isNull() | text.isNull() | (kind == "VOID"), "None").when(kind == "STRING", text)
+        .when(kind == "BOOLEAN", F.when(text == "true", "True").otherwise("False"))
+        .when(text == '"NaN"', "nan").when(F.contains(text, F.lit('Infinity"')), F.when(F.startswith(text, F.lit('"-')), "-inf").otherwise("inf"))
+        .when(kind.rlike(r"\A(?:BIGINT|DOUBLE|DECIMAL)"), number).otherwise(text)
+    )
+
+
 def _section_entries(doc: Column, section: str, order: int) -> Column:
-    return F.transform(F.map_entries(doc[section]), lambda e, i: F.struct(
-        F.lit(section).alias("section"), F.lit(order).alias("section_ord"), i.alias("pos"),
-        e["key"].alias("package"), F.coalesce(e["value"], F.lit("None")).alias("value"),
-    ))
+    """Entries of a section; of a key that stands several times, the last value at the first place."""
+
+    def entry(e: Column, i: Column) -> Column:
+        return F.struct(
+            F.lit(section).alias("section"), F.lit(order).alias("section_ord"), i.alias("pos"), e["key"].alias("package"),
+            json_spelling(e["text"], e["value"]).alias("value"),
+        )
+
+    def listed(m: Column) -> Column:
+        rows = F.zip_with(F.map_entries(m["texts"]), F.map_entries(m["values"]), lambda t, v: F.struct(t["key"].alias("key"), t["value"].alias("text"), v["value"].alias("value")))
+        keys = F.array_distinct(F.map_keys(m["texts"]))
+        last = lambda rows: F.transform(keys, lambda key: F.element_at(F.filter(rows, lambda r: r["key"] == key), -1))
+        once = let(rows, lambda rows: F.when(F.size(keys) == F.size(rows), rows).otherwise(last(rows)))
+        return F.transform(once, entry)
+
+    maps = F.struct(doc["texts"][section].alias("texts"), doc["values"][section].alias("values"))
+    return F.when(doc["texts"][section].isNotNull(), let(maps, listed))
 
 
 def manifest_entries(files: DataFrame) -> DataFrame:

@@ -508,6 +508,52 @@ def fixed_versions(spark, d):
     return bodies.select("id", F.posexplode(dependencies.fixed_versions(F.col("affected"))).alias("pos", "version"))
 
 
+def _json_advisories(spark, d):
+    return advisory_source.parse_advisory_lines(fixtures.derive(spark, d, fixtures.ADVISORY_JSON))
+
+
+def _json_snapshot(spark, d):
+    bodies = advisory_source.good_advisories(_json_advisories(spark, d)).drop("body", "line_no")
+    return advisory_source.advisory_refs(bodies), bodies
+
+
+def advisory_json(spark, d):
+    """What a finding takes from advisories that are JSON lines of varying shape."""
+    _, bodies = _json_snapshot(spark, d)
+    facts = dependencies.advisory_facts(bodies)
+    return facts.select(
+        "id", "severity_label", dependencies.severity_points(F.col("severity_label")).alias("points"),
+        _joined("fixed_versions").alias("fixed_versions"), _joined("aliases").alias("aliases"), "text", "published",
+    )
+
+
+def advisory_json_refs(spark, d):
+    refs, _ = _json_snapshot(spark, d)
+    return refs
+
+
+def advisory_bad_lines(spark, d):
+    return advisory_source.bad_lines(_json_advisories(spark, d))
+
+
+def manifest_files_entries(spark, d):
+    """Entries of manifest files of both kinds."""
+    return manifests.manifest_entries(fixtures.manifest_files(spark, d)).select(
+        "repo", "file", "ecosystem", "package", "declared_version", "version", "version_kind",
+        F.coalesce("dependency_section", F.lit("")).alias("dependency_section"), "raw", "reason",
+    )
+
+
+def manifest_files_findings(spark, d):
+    """Dependencies of both kinds of manifest files against the JSON advisories."""
+    entries = manifests.manifest_entries(fixtures.manifest_files(spark, d))
+    found = dependencies.dependency_findings(manifests.dedupe_dependencies(manifests.parsed(entries)), *_json_snapshot(spark, d))
+    return found.select(
+        "repo", "file", "ecosystem", "package", "version", "dependency_section", "id", "severity_label", "severity", "path_weight", "published",
+        _joined("fixed_versions").alias("fixed_versions"), _joined("aliases").alias("aliases"), "explanation",
+    )
+
+
 def dep_risk_points(spark, d):
     return dependencies.dependency_points(_dependency_findings(spark, d))
 
@@ -570,18 +616,27 @@ def readme_badge(spark, d):
     return rows.select("repo", "b.*")
 
 
-def repo_report(spark, d):
-    files = _files(spark, d).drop("file_id", "intent").withColumn(
-        "size_bytes", F.octet_length("content").cast("bigint")
-    )
-    names = fixtures.derive(spark, d, fixtures.MANIFEST_LINES).select("repo", "file").distinct()
+def _repo_inputs(spark, d):
+    """Files of both kinds, one request per repository and plan, and the advisories."""
+    code = fixtures.derive(spark, d, fixtures.REPO_FILES).select("repo", "path", "file_ord", "content")
+    rest = fixtures.requirement_files(spark, d).select("repo", "path", F.lit(0).alias("file_ord"), "content")
+    files = code.unionByName(rest).withColumn("size_bytes", F.octet_length("content").cast("bigint"))
     requests = fixtures.derive(spark, d, fixtures.REPO_REQUESTS).select(
         "request_id", "repo", "plan", F.lit("build a report").alias("intent"), F.concat(F.lit("owner/"), "repo").alias("repo_name")
     )
-    refs, bodies = _snapshot(spark, d)
-    return repo_scan.repo_reports(
-        files, requests, refs, bodies, entries=_entries(spark, d), manifest_names=names
-    ).select(
+    return files, requests
+
+
+def repo_files(spark, d):
+    """The files of every admitted request with their weight and weighted points."""
+    reports = repo_scan.repo_file_reports(*_repo_inputs(spark, d))
+    return repo.file_weights(reports).select(
+        "repo", F.col("plan_applied").alias("plan"), "path", "risk", "risk_points", "file_weight", "weighted_risk_points"
+    )
+
+
+def repo_report(spark, d):
+    return repo_scan.repo_reports(*_repo_inputs(spark, d), *_json_snapshot(spark, d)).select(
         "request_id", "repo", "repo_name", "admitted", "plan", "risk", "risk_points", "trust_score", "files_scanned_count",
         "files_scanned_limit", _joined("touches").alias("touches"),
         _joined("behavior_summary").alias("behavior_summary"), "summary", "highest_file_risk", "repo_size_bytes",
@@ -633,7 +688,8 @@ QUERIES = {
         daily_usage, usage_upsert, actor_key, parse_requirements, normalize_versions, parse_package_json,
         dedupe_dependencies, deps_skipped_top, dep_advisory_refs, dep_findings, dep_findings_ranked,
         advisory_severity, fixed_versions, dep_risk_points, dep_rollup, manifest_summary, path_weights,
-        repo_url_parse, repo_risk, repo_highest_risk, repo_touches, repo_behavior, readme_badge, repo_report,
+        repo_url_parse, repo_risk, repo_highest_risk, repo_touches, repo_behavior, readme_badge, repo_report, repo_files,
+        advisory_json, advisory_json_refs, advisory_bad_lines, manifest_files_entries, manifest_files_findings,
         stream_usage, stream_scan,
     ]
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from riskframe.sources.files import spread
 
@@ -59,6 +60,27 @@ SELECT 'PyPI' AS ecosystem, 'pkg' || CAST(p_partkey % 50 AS VARCHAR(10)) AS pack
 FROM part
 """
 
+# Advisories as JSON lines of varying shape, one per part: both ecosystems, severities in all places (and in places where they do not
+# count), none to seven fixed versions and aliases, two affected packages, long summaries, fields no schema knows, and broken lines.
+ADVISORY_JSON = """
+SELECT p_partkey AS line_no, CASE WHEN p_partkey % 97 = 0 THEN '{"id": "broken' WHEN p_partkey % 89 = 0 THEN '["ADV"]' ELSE
+       '{"id":"ADV-' || k || '","published":"2024-01-0' || CAST(p_partkey % 9 + 1 AS VARCHAR(10)) || 'T00:00:00Z","summary":"'
+       || CASE p_partkey % 4 WHEN 0 THEN ' ' WHEN 1 THEN repeat('long summary ', 60) ELSE ' summary of ' || p_name || ' ' END || '"'
+       || CASE p_partkey % 3 WHEN 0 THEN ',"details":" details of ' || k || '"' WHEN 1 THEN ',"details":17' ELSE '' END
+       || ',"aliases":[' || left('"CVE-1","CVE-2"," ","CVE-4","CVE-5","CVE-6","CVE-7","CVE-8",', al) || '7]'
+       || ',"affected":[{"package":{"name":"' || pk || '","ecosystem":"' || CASE p_partkey % 2 WHEN 0 THEN 'PyPI' ELSE 'npm' END
+       || '"},"versions":["1.2.' || CAST(p_partkey % 7 AS VARCHAR(10)) || '","9.9"],"ranges":[{"type":"SEMVER","events":[{"introduced":"0"}'
+       || left(',{"fixed":"2.0.0"},{"fixed":"2.1.0"},{"fixed":"2.0.0"},{"fixed":" 2.2 "},{"fixed":"2.3.0"},{"fixed":"2.4.0"},{"fixed":"2.5.0"}', 18 * (p_partkey % 8))
+       || ']},{"events":"none"}]' || CASE p_partkey % 6 WHEN 0 THEN ',"ecosystem_specific":{"severity":" critical "}' WHEN 1 THEN ',"ecosystem_specific":{"severity":3}' ELSE '' END
+       || '}' || CASE WHEN p_partkey % 5 = 0 THEN ',{"package":{"name":"left","ecosystem":"npm"},"versions":["2.0"],"ranges":[{"events":[{"fixed":"3.0.0"},{"fixed":3}]}]},7' ELSE '' END || ']'
+       || CASE p_partkey % 6 WHEN 1 THEN ',"database_specific":{"severity":"moderate","x":[1]}' WHEN 2 THEN ',"severity":[5,{"type":"V3","score":"7.1"},{"score":"x:low/High"}]'
+            WHEN 3 THEN ',"severity":{"score":"HIGH"}' WHEN 4 THEN ',"severity":"HIGH"' ELSE '' END
+       || ',"x_extra":{"part":' || k || '}}' END AS value
+FROM (SELECT *, CAST(p_partkey AS VARCHAR(10)) AS k, 'pkg' || CAST(p_partkey % 50 AS VARCHAR(10)) AS pk,
+             CASE p_partkey % 8 WHEN 0 THEN 0 WHEN 1 THEN 8 WHEN 2 THEN 16 WHEN 3 THEN 20 WHEN 4 THEN 28 WHEN 5 THEN 36 WHEN 6 THEN 44 ELSE 60 END AS al
+      FROM part) p
+"""
+
 SCAN_REQUESTS = """
 SELECT event_id AS scan_id, 'user:' || CAST(user_id AS VARCHAR(20)) AS actor_key, CAST(ts AS DATE) AS usage_date, ts,
        CASE user_id % 10 WHEN 0 THEN 'admin' WHEN 1 THEN 'pro' ELSE 'free' END AS plan
@@ -77,7 +99,9 @@ GROUP BY repo, plan
 PACKAGE_JSON = """
 SELECT p_partkey AS file_id, 'r' || CAST(p_partkey % 25 AS VARCHAR(10)) AS repo,
        'top/m' || CAST(p_partkey AS VARCHAR(20)) || '/package.json' AS path,
-       CASE p_partkey % 5
+       CASE p_partkey % 7
+         WHEN 5 THEN '{"dependencies":{"t":true,"f":false,"n":null,"i":12,"x":1.50,"y":1.0,"e":1e5,"s":2e-7,"m":1.5E16,"k":0.0001,"big":123456789012345678901234567890}}'
+         WHEN 6 THEN '{"dependencies":{"' || pk || '":"9.9","b":"2.0","' || pk || '":"1.2.' || CAST(p_partkey % 4 AS VARCHAR(10)) || '"}}'
          WHEN 0 THEN '{"name":"n","dependencies":{"' || pk || '":"^1.2.' || CAST(p_partkey % 7 AS VARCHAR(10))
            || '","left":"1.x"},"devDependencies":{"dev":"~2.0"}}'
          WHEN 1 THEN '{"dependencies":{"' || pk || '":"1.2.' || CAST(p_partkey % 7 AS VARCHAR(10))
@@ -88,6 +112,14 @@ SELECT p_partkey AS file_id, 'r' || CAST(p_partkey % 25 AS VARCHAR(10)) AS repo,
 FROM (SELECT p_partkey, 'pkg' || CAST(p_partkey % 50 AS VARCHAR(10)) AS pk FROM part) p
 """
 
+# All files of the repositories with a language of code, package.json among them.
+REPO_FILES = f"""
+{CODE_TEXTS}
+UNION ALL
+SELECT -1 - file_id AS file_id, repo, CAST(1000000 + file_id AS INT) AS file_ord, path, 'build a report' AS intent, content
+FROM ({PACKAGE_JSON}) j
+"""
+
 # Repository addresses of several shapes, derived from page addresses.
 REPO_URLS = """
 SELECT page_id,
@@ -128,3 +160,16 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def code_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(spark, sf_dir, CODE_TEXTS)
+
+
+def requirement_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requirements files ``repo, path, content``."""
+    listed = F.array_sort(F.collect_list(F.struct("line", "raw")))
+    requirements = derive(spark, sf_dir, MANIFEST_LINES).groupBy("repo", "file").agg(listed.alias("lines"))
+    text = F.array_join(F.transform("lines", lambda entry: entry["raw"]), "\n")
+    return requirements.select("repo", F.col("file").alias("path"), text.alias("content"))
+
+
+def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest files ``repo, path, content`` of both kinds."""
+    return requirement_files(spark, sf_dir).unionByName(derive(spark, sf_dir, PACKAGE_JSON).select("repo", "path", "content"))
