@@ -739,6 +739,13 @@ oracle("quota_admission", f"""
 SELECT scan_id, actor_key, plan, admitted, CASE WHEN NOT admitted THEN {_refused} || ' daily scan limit reached' END AS limit_title,
   CASE WHEN NOT admitted THEN {_refused} || ' allows up to ' || daily
     || ' scans per day. Try again tomorrow or upgrade for higher limits.' END AS limit_summary FROM quota""")
+oracle("stream_quota", "SELECT scan_id, actor_key, plan, admitted FROM quota")
+oracle("report_sink", _FINAL["finding_explanations"])
+CTE["snippet"] = fixtures.CODE_FILES
+CTE["snippet_ln"] = lines_of("snippet", "file_id", "content")
+oracle("file_tree", """
+SELECT repo, size_bytes, n_lines, n_texts FROM (SELECT repo, CAST(sum(strlen(content) + 1) AS BIGINT) AS size_bytes FROM snippet GROUP BY repo)
+JOIN (SELECT repo, count(*) AS n_lines, count(DISTINCT line) AS n_texts FROM snippet_ln JOIN snippet USING (file_id) GROUP BY repo) USING (repo)""")
 oracle("daily_usage", """
 SELECT actor_key, CAST(usage_date AS VARCHAR) AS usage_date, plan, count(*) AS scan_count
 FROM quota WHERE admitted AND daily IS NOT NULL GROUP BY 1, 2, 3""")
@@ -879,7 +886,7 @@ _INT = {
     "line_no": "line_explode exclude_blocks strip_literals taint_sources assigned_vars call_arguments "
                "literal_arguments trusted_network_lines enclosing_function part_lines part_exclude_blocks part_functions",
     "line": "behavior_findings secret_findings sink_boost tainted_sinks file_heuristics ast_findings corpus_secret_scan "
-            "corpus_script_scan all_findings dedupe_findings finding_explanations focus_blocks",
+            "corpus_script_scan all_findings dedupe_findings finding_explanations focus_blocks report_sink",
     "pos": "taint_map intent_mismatch behavior_summary repo_behavior",
     "start_line": "corpus_focus_windows focus_windows focus_blocks",
     "end_line": "corpus_focus_windows focus_windows",

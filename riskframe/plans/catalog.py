@@ -27,6 +27,7 @@ from riskframe.sources import files as file_source
 from riskframe.sources import fixtures, sinks
 from riskframe.sources.shared import shared_folder
 from riskframe.streaming import jobs
+from riskframe.streaming import quota as stream_quotas
 
 JOIN = "|"
 
@@ -664,14 +665,44 @@ def stream_usage(spark, d):
     )
 
 
+def stream_quota(spark, d):
+    """The answers of a stream over the events' requests, then read back."""
+    out = _stream_folder(spark)
+    events = jobs.stream_table(spark, f"{d}/events*.parquet", spark.read.parquet(f"{d}/events.parquet"))
+    events.createOrReplaceTempView("arriving_events")
+    requests = spark.sql(fixtures.SCAN_REQUESTS.replace("FROM events", "FROM arriving_events"))
+    stream_quotas.start_quota(requests, f"{out}/answers", f"{out}/checkpoint").awaitTermination()
+    return stream_quotas.decision_table(spark, f"{out}/answers").read().select("scan_id", "actor_key", "plan", "admitted")
+
+
+def report_sink(spark, d):
+    """Findings of the code files as the sink stores them, written twice as after a lost answer, read with their explanations."""
+    out = _stream_folder(spark)
+    for _ in range(2):
+        sinks.write_reports(_reports(spark, d, call_sites=True).select("file_id", "findings"), out, ["file_id"])
+    return sinks.read_findings(spark, out).select("file_id", "line", "pattern", "explanation", *findings.GUIDANCE_FIELDS)
+
+
+def file_tree(spark, d):
+    """The snippets of the code files, written as a tree of folders by repository and read back as files."""
+    out = f"{_stream_folder(spark)}/tree"
+    lines_of = fixtures.derive(spark, d, fixtures.CODE_FILES).select("repo", "content")
+    lines_of.write.partitionBy("repo").text(out)
+    read = file_source.read_file_tree(spark, out, "*.txt").select(F.substring_index("repo", "=", -1).alias("repo"), "content", "size_bytes")
+    rows = read.groupBy("repo").agg(F.sum("size_bytes").alias("size_bytes"))
+    found = lines.line_explode(read.select("repo", "content")).groupBy("repo").agg(F.count("*").alias("n_lines"), F.count_distinct("line").alias("n_texts"))
+    return rows.join(found, "repo")
+
+
 def stream_scan(spark, d):
     """The file report over a stream of the documents' code files, then read back."""
     out = _stream_folder(spark)
-    documents = jobs.stream_table(spark, f"{d}/documents*.parquet", spark.read.parquet(f"{d}/documents.parquet"))
+    documents = fixtures.dealt_out(jobs.stream_table(spark, f"{d}/documents*.parquet", spark.read.parquet(f"{d}/documents.parquet")), "documents")
     documents.createOrReplaceTempView("arriving_documents")
     files = spark.sql(fixtures.CODE_TEXTS.replace("FROM documents", "FROM arriving_documents"))
-    jobs.start_scan(file_scan.file_reports(files), f"{out}/reports", f"{out}/checkpoint").awaitTermination()
-    return _flat_report(spark.read.parquet(f"{out}/reports"))
+    reports = _flat_report(file_scan.file_reports(files))
+    jobs.start_scan(reports, f"{out}/reports", f"{out}/checkpoint").awaitTermination()
+    return spark.read.schema(reports.schema).parquet(f"{out}/reports")
 
 
 QUERIES = {
@@ -690,6 +721,6 @@ QUERIES = {
         advisory_severity, fixed_versions, dep_risk_points, dep_rollup, manifest_summary, path_weights,
         repo_url_parse, repo_risk, repo_highest_risk, repo_touches, repo_behavior, readme_badge, repo_report, repo_files,
         advisory_json, advisory_json_refs, advisory_bad_lines, manifest_files_entries, manifest_files_findings,
-        stream_usage, stream_scan,
+        stream_usage, stream_quota, stream_scan, report_sink, file_tree,
     ]
 }

@@ -142,8 +142,13 @@ PARTITIONS_SETTING = "riskframe.fixtures.partitions"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    partitions = spark.conf.get(PARTITIONS_SETTING, None)
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), int(partitions) if partitions else None, _KEYS[name])
+    return dealt_out(spark.read.parquet(f"{sf_dir}/{name}.parquet"), name)
+
+
+def dealt_out(rows: DataFrame, name: str) -> DataFrame:
+    """A table, arriving or not, dealt out to the number of tasks that the session asks for, if it does."""
+    partitions = rows.sparkSession.conf.get(PARTITIONS_SETTING, None)
+    return spread(rows, int(partitions) if partitions else None, _KEYS[name])
 
 
 def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
