@@ -800,6 +800,17 @@ SELECT repo, line, package, version, version_kind, id, alias AS aliases,
 oracle("dep_findings_ranked", """
 SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY severity DESC, lower(package), id, file, line, version) AS rank,
   package, version, id, severity FROM dfind""")
+oracle("salted_dep_refs", """
+SELECT repo, line, s.package, s.version, a.id FROM (
+  SELECT repo, line, CASE WHEN line % 2 = 0 THEN 'pkg1' ELSE package END AS package, CASE WHEN line % 2 = 0 THEN '1.2.1' ELSE version END AS version
+  FROM dep) s JOIN ad a ON a.package = s.package AND a.version = s.version""")
+oracle("indexed_word_rules", f"""
+SELECT doc_id, line_no AS line, word AS pattern, 'Names ' || word AS message, 1.0::DOUBLE AS points
+FROM (SELECT DISTINCT doc_id, line_no, unnest(regexp_extract_all(lower(line), {q(WORDS)})) AS word FROM documents_ln)
+WHERE word IN (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) FROM benchmark) AND length(word) >= 9 AND regexp_full_match(word, '[a-z]+')""")
+oracle("indexed_behavior", "SELECT file_id, line_no AS line, seq, pattern, message, points::DOUBLE AS points FROM hit")
+oracle("bucketed_repo_files", """
+SELECT request_id, repo, count(*) AS n_files, CAST(sum(strlen(content)) AS BIGINT) AS bytes FROM rr JOIN cf USING (repo) GROUP BY request_id, repo""")
 oracle("advisory_severity", "SELECT id, severity_label, points FROM adv")
 oracle("fixed_versions", "SELECT id, 0 AS pos, fixed AS version FROM ad")
 oracle("dep_risk_points", "SELECT repo, dependency_risk_points FROM dpoints")
@@ -886,7 +897,7 @@ _INT = {
     "line_no": "line_explode exclude_blocks strip_literals taint_sources assigned_vars call_arguments "
                "literal_arguments trusted_network_lines enclosing_function part_lines part_exclude_blocks part_functions",
     "line": "behavior_findings secret_findings sink_boost tainted_sinks file_heuristics ast_findings corpus_secret_scan "
-            "corpus_script_scan all_findings dedupe_findings finding_explanations focus_blocks report_sink",
+            "corpus_script_scan all_findings dedupe_findings finding_explanations focus_blocks report_sink indexed_word_rules indexed_behavior",
     "pos": "taint_map intent_mismatch behavior_summary repo_behavior",
     "start_line": "corpus_focus_windows focus_windows focus_blocks",
     "end_line": "corpus_focus_windows focus_windows",

@@ -84,6 +84,37 @@ def dependency_refs(dependencies: DataFrame, refs: DataFrame) -> DataFrame:
     return dependencies.join(refs, _KEYS, "inner")
 
 
+#: A package version that stands in more than one of so many dependencies is frequent; so many are frequent at most.
+FREQUENT_SHARE = 1_000
+#: Parts that the dependencies on a frequent package version are dealt out to.
+SALTS = 64
+
+
+def frequent_versions(dependencies: DataFrame, share: int = FREQUENT_SHARE) -> DataFrame:
+    """Package versions that hold more than one dependency in ``share``: less than ``share`` rows, whatever the input.
+
+    Counted map-side; the total is a scalar subquery over the counts.
+    """
+    counts = dependencies.groupBy(*_KEYS).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("total")).scalar()
+    return counts.where(F.col("n") * share > total).select(*_KEYS)
+
+
+def salted_refs(dependencies: DataFrame, refs: DataFrame, share: int = FREQUENT_SHARE, salts: int = SALTS) -> DataFrame:
+    """:func:`dependency_refs` with explicit heavy hitters.
+
+    Dependencies on a frequent package version are dealt out to ``salts`` parts by their other columns, and its references are
+    repeated for each part. So no task holds one package, also where adaptive execution cannot split the join.
+    """
+    frequent = F.broadcast(frequent_versions(dependencies, share).withColumn("_frequent", F.lit(True)))
+    others = [c for c in dependencies.columns if c not in _KEYS]
+    part = F.when(F.col("_frequent"), F.pmod(F.xxhash64(*others), F.lit(salts))).otherwise(F.lit(0)).cast("int")
+    left = dependencies.join(frequent, _KEYS, "left").withColumn("_part", part).drop("_frequent")
+    parts = F.when(F.col("_frequent"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    right = refs.join(frequent, _KEYS, "left").withColumn("_part", F.explode(parts)).drop("_frequent")
+    return left.join(right, [*_KEYS, "_part"]).drop("_part")
+
+
 def dependency_findings(
     dependencies: DataFrame,
     refs: DataFrame,

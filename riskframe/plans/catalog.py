@@ -17,7 +17,7 @@ from riskframe.functions.columns import rows_of
 from riskframe.functions.versions import normalize_version
 from riskframe.operators import (
     callsites, dependencies, detect, findings, focus, heuristics, intent, limits, lines, manifests, parts,
-    quota, repo, taint,
+    quota, repo, rule_index, taint,
 )
 from riskframe.plans import file_scan, repo_scan
 from riskframe.plans.manifest_scan import repo_dependencies
@@ -229,6 +229,32 @@ def ast_findings(spark, d):
     )
 
 
+def indexed_word_rules(spark, d):
+    """Lines of the documents that name a longer word of the benchmark: a rule for each, met through an index."""
+    words = fixtures.table(spark, d, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word"))
+    rules_of = rule_index.word_rules(words.where(F.length("word") >= 9).distinct(), "benchmark word")
+    texts = fixtures.table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
+    return rule_index.indexed_hits(lines.line_explode(texts).withColumn("line", F.lower("line")), rules_of, "line").select("doc_id", F.col("line_no").alias("line"), "pattern", "message", "points")
+
+
+def indexed_behavior(spark, d):
+    """The behaviour rules on lines without literals, met through an index."""
+    code = parts.code_rows(lines.line_explode(_id_text(_files(spark, d)))).drop("line")
+    return rule_index.rule_hits(code, rules.BEHAVIOR_RULES, "suspicious_behavior").select(
+        "file_id", F.col("line_no").alias("line"), "seq", "pattern", "message", "points"
+    )
+
+
+def bucketed_repo_files(spark, d):
+    """Code files and bytes of every request, with the files of its repository read from a table in buckets by repository."""
+    name = f"files_{uuid.uuid4().hex}"
+    files = _files(spark, d).select("repo", "path", "content")
+    file_source.write_file_table(files, name, 8)
+    asked = fixtures.derive(spark, d, fixtures.REPO_REQUESTS).select("request_id", "repo")
+    rows = spark.table(name).join(asked, "repo").groupBy("request_id", "repo")
+    return rows.agg(F.count("*").alias("n_files"), F.sum(F.octet_length("content")).cast("bigint").alias("bytes"))
+
+
 def corpus_secret_scan(spark, d):
     texts = fixtures.table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
     found = file_scan.with_findings(
@@ -496,6 +522,15 @@ def dep_findings_ranked(spark, d):
     )
 
 
+def salted_dep_refs(spark, d):
+    """Every dependency with its advisories, where the dependencies of one package version are half of all rows."""
+    half = F.when(F.col("line") % 2 == 0, F.struct(F.lit("pkg1").alias("package"), F.lit("1.2.1").alias("version")))
+    named = _dependencies(spark, d).withColumn("p", F.coalesce(half, F.struct("package", "version")))
+    skewed = named.withColumns({"package": F.col("p.package"), "version": F.col("p.version")}).drop("p")
+    refs, _ = _snapshot(spark, d)
+    return dependencies.salted_refs(skewed, refs).select("repo", "line", "package", "version", "id")
+
+
 def advisory_severity(spark, d):
     _, bodies = _snapshot(spark, d)
     label = dependencies.severity_label(F.col("affected"), F.col("database_specific"), F.col("severity"))
@@ -721,6 +756,7 @@ QUERIES = {
         advisory_severity, fixed_versions, dep_risk_points, dep_rollup, manifest_summary, path_weights,
         repo_url_parse, repo_risk, repo_highest_risk, repo_touches, repo_behavior, readme_badge, repo_report, repo_files,
         advisory_json, advisory_json_refs, advisory_bad_lines, manifest_files_entries, manifest_files_findings,
+        salted_dep_refs, indexed_word_rules, indexed_behavior, bucketed_repo_files,
         stream_usage, stream_quota, stream_scan, report_sink, file_tree,
     ]
 }

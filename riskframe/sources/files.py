@@ -60,6 +60,11 @@ def decode_ignoring(content: Column) -> Column:
     return F.when(F.is_valid_utf8(text), text).otherwise(F.encode(valid, "ISO-8859-1").cast("string"))
 
 
+def write_file_table(files: DataFrame, table: str, buckets: int, mode: str = "overwrite") -> None:
+    """Store a file table in ``buckets`` by repository, so that joins on it move no contents (operators P11, A12)."""
+    files.write.mode(mode).format("parquet").bucketBy(buckets, "repo").sortBy("repo").saveAsTable(table)
+
+
 def code_files(files: DataFrame) -> DataFrame:
     """Supported code files (operator S2); directory entries are dropped."""
     return files.where(~F.endswith("path", F.lit("/")) & is_code_file(F.col("path")))

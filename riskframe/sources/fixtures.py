@@ -134,7 +134,7 @@ FROM pages
 """
 
 
-_KEYS = {"documents": "doc_id", "events": "event_id", "part": "p_partkey", "pages": "page_id"}
+_KEYS = {"documents": "doc_id", "events": "event_id", "part": "p_partkey", "pages": "page_id", "benchmark": "item_id"}
 
 
 #: Session setting with the number of tasks to deal the tables out to; for small tables of a single split.
