@@ -2,13 +2,17 @@
 
 Both models hold transition counts between character classes (each letter and digit, one class for ``+/_=.-``, one for the ends of
 a token). They are trained on labelled samples that one pass over *all* texts collects: the values of the fixed forms are random
-strings, purely alphabetic tokens are ordinary identifiers. The counts are tables of fixed size, summed on the executors.
+strings; purely alphabetic tokens are ordinary identifiers, and so are the names, paths and numbered words that are built from
+them (``compounds``), so that digits and separators are no proof of randomness. The counts are tables of fixed size, summed on
+the executors.
 
-A candidate is a run of ``min_length`` or more characters of ``[A-Za-z0-9+/_=-]`` with a letter and a digit that overlaps no
-fixed form. It is reported as kind ``random`` when its log-likelihood ratio per character is above ``threshold``.
+A candidate is a run of ``min_length`` or more characters of ``[A-Za-z0-9+/_=-]`` that overlaps no fixed form. It is reported as kind
+``random`` when its log-likelihood ratio per character is above ``threshold + margin / length``: the shorter, the surer.
 
 Fixed forms, leftmost and non-overlapping for each kind, by the positions of characters (code points), end exclusive; failing
-matches are dropped. Null texts count as empty. Without any labelled token of one side no candidate is reported.
+matches are dropped. Null texts count as empty. Without any labelled token of one side no candidate is reported. An empty table
+gives no rows; rows that repeat an id or a text are scanned each on their own; texts of any length are held one at a time; of the
+columns only a clashing ``found`` is replaced.
 """
 
 from __future__ import annotations
@@ -30,7 +34,9 @@ from riskframe.llm.common import small_batches, table, whole_text
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 KINDS = ("assign", "access", "hex")
-MIN_LENGTH, THRESHOLD = 20, 0.6
+MIN_LENGTH, THRESHOLD, MARGIN = 12, 0.8, 14.0
+#: Weight of the smoothing of a random string's next character, and how far that is towards even chances.
+EVEN_WEIGHT, EVEN_SHARE = 200, 0.5
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ASSIGN_GATE = ("passw", "secret", "token", "key")
@@ -38,7 +44,6 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: Whole runs: a run of 16 or more is matched from its start, a shorter one would be dropped.
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 _ORDINARY = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{4,}+(?![0-9+/_=-])")
-_LETTER, _DIGIT = re.compile("[A-Za-z]"), re.compile("[0-9]")
 
 _CLASSES = 64
 _CLASS = np.full(256, 62, np.uint8)
@@ -72,11 +77,24 @@ def candidates(text: str, spans: list[Span], min_length: int) -> list[tuple[int,
     for m in re.finditer(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{min_length},}}", text):
         start, end = m.span()
         before = bisect_left(starts, end)
-        if _DIGIT.search(m[0]) and _LETTER.search(m[0]) and not (before and ends[before - 1] > start):
+        if not (before and ends[before - 1] > start):
             found.append((start, end))
     return found
 
 
+def compounds(words: list[str], salt: int) -> list[str]:
+    """Ordinary identifiers of several words and small numbers, as names, paths and versions have them; each four words make one."""
+    made = []
+    for at in range(0, len(words) - 3, 4):
+        a, b, c, d = words[at : at + 4]
+        draw = (31 * salt + at) % 997
+        number = (str(1990 + draw % 40), str(draw % 100), f"{draw % 12 + 1:02d}", str(draw % 1000))[draw % 4]
+        by = "_-/"[draw % 3]
+        shapes = (f"{a}{by}{b}{by}{number}", f"{a}{by}{number}{by}{b}", f"{a.lower()}{b.capitalize()}{number}", by.join((a, b, c, d)), a + number, f"{number}{by}{a}{by}{b}")
+        made.append(shapes[draw % 6])
+    return made
+
+
 def _transitions(tokens: list[str]) -> np.ndarray:
     """Counts of class pairs, ends of tokens included."""
     codes = _CLASS[np.frombuffer(("\n" + "\n".join(tokens) + "\n").encode("ascii", "replace"), np.uint8)].astype(np.int64)
@@ -93,7 +111,8 @@ def train(texts: DataFrame) -> np.ndarray:
             for text in batch.column(0).to_pylist():
                 spans = fixed_spans(text)
                 random += [secret_value(text, s) for s in spans]
-                total[1] += _transitions(_ORDINARY.findall(text))
+                words = _ORDINARY.findall(text)
+                total[1] += _transitions(words + compounds(words, len(text)))
             total[0] += _transitions(random)
         at = np.flatnonzero(total.any(axis=0))
         yield pa.RecordBatch.from_pydict({"pair": pa.array(at, pa.int64()), "random": pa.array(total[0][at]), "ordinary": pa.array(total[1][at])})
@@ -105,10 +124,15 @@ def train(texts: DataFrame) -> np.ndarray:
     counts[:, 63, 63] = 0
     if not counts.any(axis=(1, 2)).all():
         return np.zeros((_CLASSES, _CLASSES))
-    # Smoothed towards each model's own character frequencies, and those towards even ones.
+    # Smoothed towards each model's own character frequencies, and those towards even ones. Random strings are known to be near
+    # even, and few are at hand.
     single = counts.sum(axis=1) + 1
     single /= single.sum(axis=1, keepdims=True)
-    chance = (counts + 8 * single[:, None, :]) / (counts.sum(axis=2, keepdims=True) + 8)
+    even = np.full(_CLASSES, 0.98 / 62)
+    even[62:] = 0.015, 0.005
+    single[0] = (1 - EVEN_SHARE) * single[0] + EVEN_SHARE * even
+    weight = np.array([EVEN_WEIGHT, 8])[:, None, None]
+    chance = (counts + weight * single[:, None, :]) / (counts.sum(axis=2, keepdims=True) + weight)
     return np.log(chance[0]) - np.log(chance[1])
 
 
@@ -118,7 +142,7 @@ def ratio(ratios: np.ndarray, token: str) -> float:
     return float(ratios[codes[:-1], codes[1:]].sum() / len(token))
 
 
-def scan(rows: DataFrame, min_length: int = MIN_LENGTH, threshold: float = THRESHOLD) -> DataFrame:
+def scan(rows: DataFrame, min_length: int = MIN_LENGTH, threshold: float = THRESHOLD, margin: float = MARGIN) -> DataFrame:
     """``rows`` with ``found``: an array of ``kind, start, end, value, score`` by start, then kind (``random`` last)."""
     small_batches(rows.sparkSession)
     ratios = train(rows.select(whole_text("text").alias("text")))
@@ -130,7 +154,7 @@ def scan(rows: DataFrame, min_length: int = MIN_LENGTH, threshold: float = THRES
             fixed = fixed_spans(text)
             out = [{"kind": k, "start": s, "end": e, "value": text[s:e], "score": ratio(ratios, secret_value(text, (k, s, e))) if known else None} for k, s, e in fixed]
             for s, e in candidates(text, fixed, min_length) if known else []:
-                if (score := ratio(ratios, text[s:e])) > threshold:
+                if (score := ratio(ratios, text[s:e])) > threshold + margin / (e - s):
                     out.append({"kind": "random", "start": s, "end": e, "value": text[s:e], "score": score})
             found.append(sorted(out, key=lambda x: (x["start"], (*KINDS, "random").index(x["kind"]))))
         item = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string()), ("score", pa.float64())])
@@ -145,9 +169,9 @@ def span_list(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def digest(documents: DataFrame, min_length: int = MIN_LENGTH, threshold: float = THRESHOLD) -> DataFrame:
+def digest(documents: DataFrame, min_length: int = MIN_LENGTH, threshold: float = THRESHOLD, margin: float = MARGIN) -> DataFrame:
     """``doc_id``, the number of fixed forms of each kind, their digest, and all spans."""
-    found = scan(documents.select("doc_id", "text"), min_length, threshold).select("doc_id", "found")
+    found = scan(documents.select("doc_id", "text"), min_length, threshold, margin).select("doc_id", "found")
     fixed = F.filter("found", lambda s: s["kind"] != "random")
     kinds = F.transform("found", lambda s: s["kind"])
     counts = [(F.size("found") - F.size(F.array_remove(kinds, kind))).cast("long").alias(f"n_{kind}") for kind in KINDS]
@@ -155,4 +179,5 @@ def digest(documents: DataFrame, min_length: int = MIN_LENGTH, threshold: float
 
 
 def op6_secret_scan(spark, sf_dir: str) -> DataFrame:
+    """Every document with the secrets of its whole text."""
     return digest(table(spark, sf_dir, "documents"))

@@ -3,15 +3,17 @@
 Features are the words of a text and the first 4, 5 and 6 letters of longer ones, so that inflected and compound forms of a word
 share what was learned of it.
 
-Grades come from the labels: 0 for texts labelled not toxic; toxic ones are graded 1 to ``GRADES - 1`` by how many of
-the features that mark toxic texts they hold, split at even quantiles of the training sample. The model has one weight per feature, shared
+Grades are labels: a column of the labels table, or, as it has none, its two columns crossed: 0 for texts labelled not toxic, 1 for
+toxic ones, 2 for toxic ones that are labelled of low quality as well. The model has one weight per feature, shared
 by all thresholds: ``P(grade <= k) = sigmoid(threshold_k - w . x)``, with ``x`` the presence of each feature. The expected severity is
 the sum of ``P(grade > k)``; a text is toxic when ``P(grade > 0)`` is at least one half.
 
 The model is fitted on at most ``max_labelled`` labelled texts (chosen by a hash of the id; several labels of one id count as the
-highest one, several texts as the smallest one, null labels do not count) and holds at most ``max_features`` features; everything else covers all texts. Equal texts with
-equal labels count once in training. Without toxic or without clean labels nothing is toxic and every severity is 0. Null texts
-count as empty.
+highest one, several texts as the smallest one, null labels do not count); its features are all those that tell the classes apart
+beyond chance there. Everything else covers all texts. Equal texts with equal labels count once in training. Without toxic or
+without clean labels nothing is toxic and every severity is 0. Null texts count as empty, texts of any length are scored one at a
+time, an empty table gives no rows, rows that repeat an id are scored each on their own. Extra columns are ignored, whatever their
+names, or kept where documents are returned.
 """
 
 from __future__ import annotations
@@ -31,13 +33,15 @@ from riskframe.llm.common import packed, small_batches, table, unpacked, whole_t
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-GRADES = 4
-MAX_LABELLED, MAX_FEATURES = 20_000, 1_000
+GRADES = 3
+MAX_LABELLED = 20_000
 PENALTY = 0.1
 #: Texts of the sample that a feature must occur in.
 MIN_TEXTS = 5
 #: How many times as frequent as in all texts a feature is in toxic ones, or the other way round.
 MIN_LIFT = 3.0
+#: Standard errors that its shares of the two classes lie apart by.
+MIN_ERRORS = 5.0
 
 PREFIXES = (4, 5, 6)
 _WORD = re.compile(r"\w+")
@@ -95,55 +99,57 @@ def fit_ordinal(rows: np.ndarray, columns: np.ndarray, n_columns: int, grades: n
     return params[:n_columns], params[n_columns] + np.concatenate([[0.0], np.cumsum(gaps)])
 
 
-def _training_words(documents: DataFrame, labels: DataFrame, max_labelled: int) -> DataFrame:
-    """``toxic``, ``words`` (features) of the labelled sample, equal texts of equal labels once."""
-    sample = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("toxic").cast("int").alias("toxic")).filter("label_id is not null and toxic is not null")
-    sample = sample.groupBy("label_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("label_id"), "label_id").limit(max_labelled)
+def label_grades() -> Column:
+    """The grade of a row of ``labels``: toxic or not, and of low quality besides."""
+    low = F.coalesce(F.col("quality").cast("int"), F.lit(1)) <= 0
+    return F.when(F.col("toxic").cast("int") > 0, F.when(low, 2).otherwise(1)).when(F.col("toxic").isNotNull(), 0)
+
+
+def _training_words(documents: DataFrame, labels: DataFrame, max_labelled: int, grade: Column) -> DataFrame:
+    """``grade``, ``words`` (features) of the labelled sample, equal texts of equal grades once."""
+    sample = labels.select(F.col("doc_id").cast("long").alias("label_id"), grade.cast("int").alias("grade")).filter("label_id is not null and grade is not null")
+    sample = sample.groupBy("label_id").agg(F.max("grade").alias("grade")).orderBy(F.xxhash64("label_id"), "label_id").limit(max_labelled)
     texts = documents.select(F.col("doc_id").cast("long").alias("label_id"), whole_text("text").alias("text")).join(F.broadcast(sample), "label_id")
-    texts = texts.groupBy("label_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")).select("toxic", "text")
+    texts = texts.groupBy("label_id").agg(F.max("grade").alias("grade"), F.min("text").alias("text")).select("grade", "text")
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [sorted(features_of(_WORD.findall(text.lower()))) for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"toxic": batch.column(0), "words": pa.array(found, pa.list_(pa.string()))})
+            yield pa.RecordBatch.from_pydict({"grade": batch.column(0), "words": pa.array(found, pa.list_(pa.string()))})
 
-    return texts.mapInArrow(parts, "toxic int, words array<string>").distinct()
+    return texts.mapInArrow(parts, "grade int, words array<string>").distinct()
 
 
-def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_features: int = MAX_FEATURES) -> OrdinalModel:
-    """The model of the labelled texts."""
+def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, grade: Column | None = None, n_grades: int = GRADES) -> OrdinalModel:
+    """The model of the labelled texts. ``grade``: a column of ``labels`` with grades from 0, which means not toxic, to ``n_grades - 1``."""
     small_batches(documents.sparkSession)
-    sample = written(_training_words(documents, labels, max_labelled), "sample")
-    sizes = dict(sample.groupBy(F.col("toxic") > 0).count().collect())
+    sample = written(_training_words(documents, labels, max_labelled, label_grades() if grade is None else grade), "sample")
+    sizes = dict(sample.groupBy(F.col("grade") > 0).count().collect())
     n_toxic, n_clean = sizes.get(True, 0), sizes.get(False, 0)
     if not n_toxic or not n_clean:
         return OrdinalModel()
     # The features that set the classes apart: much more or much less frequent in toxic texts, by the score of a two-proportion
     # test with pooled variance. Features of a language or a topic that lean to one class only a little are left out.
-    present = sample.select("toxic", F.explode("words").alias("word"))
-    toxic = F.sum((F.col("toxic") > 0).cast("int"))
+    numbered = written(sample.select(F.monotonically_increasing_id().alias("n"), "grade", "words"), "numbered")
+    present = numbered.select("n", "grade", F.explode("words").alias("word"))
+    toxic = F.sum((F.col("grade") > 0).cast("int"))
     rate = F.col("n_texts") / (n_toxic + n_clean)
     apart = F.col("n_toxic") / n_toxic - (F.col("n_texts") - F.col("n_toxic")) / n_clean
     scored = present.groupBy("word").agg(F.count("*").alias("n_texts"), toxic.alias("n_toxic")).filter(F.col("n_texts") >= min(MIN_TEXTS, n_toxic))
-    z = apart / F.sqrt(rate * (1 - rate) * (1 / n_toxic + 1 / n_clean) + 1e-12)
-    precision = F.col("n_toxic") / F.col("n_texts")
-    lift = precision * ((n_toxic + n_clean) / n_toxic)
-    scored = scored.filter((lift >= MIN_LIFT) | (lift <= 1 / MIN_LIFT))
-    chosen = scored.select("word", z.alias("z"), precision.alias("precision")).orderBy(F.abs("z").desc(), "word").limit(max_features).collect()
-    position = {row["word"]: i for i, row in enumerate(chosen)}
-    marks = {row["word"] for row in chosen if row["precision"] > 0.5}
-    wanted = F.array(*[F.lit(word) for word in position]) if position else F.array().cast("array<string>")
-    rows, columns, grades, marked = [], [], [], []
-    for n, (label, words) in enumerate(sample.select("toxic", F.array_intersect("words", wanted)).toLocalIterator()):
-        hits = [position[word] for word in words]
-        rows += [n] * len(hits)
-        columns += hits
-        grades.append(int(label > 0))
-        marked.append(sum(word in marks for word in words))
-    grades, marked = np.array(grades), np.array(marked)
-    cuts = np.quantile(marked[grades > 0], np.arange(1, GRADES - 1) / (GRADES - 1))
-    grades = np.where(grades > 0, 1 + np.searchsorted(cuts, marked, side="left"), 0)
-    weights, thresholds = fit_ordinal(np.array(rows, np.int64), np.array(columns, np.int64), len(position), grades, GRADES)
+    errors = apart / F.sqrt(rate * (1 - rate) * (1 / n_toxic + 1 / n_clean) + 1e-12)
+    lift = F.col("n_toxic") / F.col("n_texts") * ((n_toxic + n_clean) / n_toxic)
+    scored = scored.filter(((lift >= MIN_LIFT) | (lift <= 1 / MIN_LIFT)) & (F.abs(errors) >= min(MIN_ERRORS, np.sqrt(n_toxic))))
+    chosen = written(scored.select("word"), "features")
+    # The sample is bounded, and so is what the driver gathers of it.
+    words = sorted(r["word"] for r in chosen.collect())
+    position = {word: i for i, word in enumerate(words)}
+    hits = numbered.join(present.join(chosen, "word").groupBy("n").agg(F.collect_list("word").alias("hits")), "n", "left")
+    rows, columns, grades = [], [], []
+    for i, (own, found) in enumerate(hits.select("grade", "hits").orderBy("n").toLocalIterator()):
+        rows += [i] * len(found or [])
+        columns += [position[word] for word in found or []]
+        grades.append(min(max(own, 0), n_grades - 1))
+    weights, thresholds = fit_ordinal(np.array(rows, np.int64), np.array(columns, np.int64), len(position), np.array(grades), n_grades)
     return OrdinalModel({word: float(weights[i]) for word, i in position.items()}, thresholds)
 
 
@@ -157,9 +163,9 @@ def severity(model: OrdinalModel, text: str | Column) -> Column:
     return F.arrow_udf(scored, "expected double, p_toxic double")(whole_text(text))
 
 
-def toxicity(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_features: int = MAX_FEATURES) -> DataFrame:
-    """``doc_id``, ``severity`` (0 to ``GRADES - 1``), ``p_toxic``, ``toxic`` of every document."""
-    model = fit(documents, labels, max_labelled, max_features)
+def toxicity(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, grade: Column | None = None, n_grades: int = GRADES) -> DataFrame:
+    """``doc_id``, ``severity`` (0 to ``n_grades - 1``), ``p_toxic``, ``toxic`` of every document."""
+    model = fit(documents, labels, max_labelled, grade, n_grades)
     found = documents.select("doc_id", severity(model, "text").alias("found"))
     return found.select("doc_id", F.col("found.expected").alias("severity"), F.col("found.p_toxic").alias("p_toxic"), (F.col("found.p_toxic") >= 0.5).alias("toxic"))
 
@@ -172,4 +178,5 @@ def clean_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Every document with its expected severity, by the model of the labelled ones."""
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

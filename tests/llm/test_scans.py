@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from riskframe.llm import pii, secret_models
 from tests.llm.brute import documents, personal, secrets, sha
@@ -72,6 +73,61 @@ def test_markov_models_tell_random_strings(spark):
     assert rows[901] == ""
 
 
+def _plain_ratio(random_tokens, ordinary_tokens, token):
+    """The log-likelihood ratio per character, character by character from the definition."""
+    kinds = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    kind = lambda c: 63 if c == "\n" else kinds.index(c) if c in kinds else 62
+
+    def chances(tokens, weight, share):
+        pairs, ends = {}, {}
+        for t in tokens:
+            for a, b in zip("\n" + t, t + "\n", strict=True):
+                pairs[kind(a), kind(b)] = pairs.get((kind(a), kind(b)), 0) + 1
+                ends[kind(b)] = ends.get(kind(b), 0) + 1
+        total = sum(ends.values()) + 64
+        even = lambda b: {62: 0.015, 63: 0.005}.get(b, 0.98 / 62)
+        alone = lambda b: (1 - share) * (ends.get(b, 0) + 1) / total + share * even(b)
+        left = lambda a: sum(n for (x, _), n in pairs.items() if x == a)
+        return lambda a, b: (pairs.get((a, b), 0) + weight * alone(b)) / (left(a) + weight)
+
+    random_chance, ordinary_chance = chances(random_tokens, 200, 0.5), chances(ordinary_tokens, 8, 0)
+    steps = zip("\n" + token, token + "\n", strict=True)
+    return sum(np.log(random_chance(kind(a), kind(b)) / ordinary_chance(kind(a), kind(b))) for a, b in steps) / len(token)
+
+
+def test_models_equal_their_definition(spark):
+    texts = ["some ordinary words about trees and rivers and more of them", None, "token=a8F3kQ9zX1bb70 then deadbeefdeadbeef00 here", "x", ""]
+    ratios = secret_models.train(documents(spark, list(enumerate(texts))).repartition(3).select(F.coalesce("text", F.lit(""))))
+    words = [[w for w in (t or "").replace("=", " ").split() if w.isalpha() and len(w) > 3] for t in texts]
+    words[2].remove("token")
+    ordinary = [w for ws, t in zip(words, texts, strict=True) for w in [*ws, *secret_models.compounds(ws, len(t or ""))]]
+    for token in ("a8F3kQ9zX1bb", "trees_and_rivers-2024", "q", "/=="):
+        assert secret_models.ratio(ratios, token) == pytest.approx(_plain_ratio(["a8F3kQ9zX1bb70", "deadbeefdeadbeef00"], ordinary, token), abs=1e-9)
+
+
+def test_held_out_tokens(spark, small):
+    """Models of the odd documents on tokens of the even ones: hardly an ordinary one is reported, hardly a random one missed."""
+    rows = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    ratios = secret_models.train(rows.where("doc_id % 2 = 1").select(F.coalesce("text", F.lit(""))))
+    over = lambda t: secret_models.ratio(ratios, t) > secret_models.THRESHOLD + secret_models.MARGIN / len(t)
+    words = [secret_models._ORDINARY.findall(r["text"] or "") for r in rows.where("doc_id % 2 = 0").collect()]
+    ordinary = [w for ws in words for w in [*ws, *secret_models.compounds(ws, 7)] if len(w) >= secret_models.MIN_LENGTH]
+    assert len(ordinary) > 1_000 and sum(map(over, ordinary)) / len(ordinary) < 0.01
+    rng, letters = random.Random(6), "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    secrets_ = ["".join(rng.choice(letters) for _ in range(n)) for n in (12, 16, 20, 32) for _ in range(500)]
+    assert sum(map(over, secrets_)) / len(secrets_) > 0.98
+
+
+def test_bare_tokens(spark, small):
+    """Next to the given documents: random tokens without a fixed form are found, names and paths are not."""
+    rows = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    odd = ["Xk9pQ2rT7vLm", "A7f9Kd02LmQp", "qXzRtPvLkWmNbGhJdSfY", "zK" * 3 + "9vQ8xJ7wB6" * 20_000]
+    plain = ["user_profile_settings_page_2024", "the-quick-brown-fox-2024-edition", "images/2019/04/holiday-photo"]
+    more = spark.createDataFrame([(10**6 + i, f"see {t} there") for i, t in enumerate(odd + plain)], "doc_id long, text string")
+    got = {r["doc_id"] - 10**6: r["spans"] for r in secret_models.digest(rows.unionByName(more)).where("doc_id >= 1000000").collect()}
+    assert got == {i: f"random:4:{4 + len(t)}" if t in odd else "" for i, t in enumerate(odd + plain)}
+
+
 @pytest.mark.parametrize("token", ["", "é" * 30])
 def test_ratio_of_odd_tokens(token):
     assert np.isfinite(secret_models.ratio(np.zeros((64, 64)), token or "x"))
