@@ -661,6 +661,15 @@ oracle("sink_boost", "SELECT file_id, line_no AS line, pattern, boost, note FROM
 oracle("tainted_sinks", "SELECT file_id, line_no AS line, pattern, variable FROM boosted WHERE variable IS NOT NULL")
 oracle("file_heuristics", "SELECT file_id, line, pattern, severity, message FROM heuristic")
 oracle("ast_call_sites", "SELECT file_id, seq, line, pattern, arg_kind, arg_tainted, fn_name FROM sites")
+# Where the calls of a program stand, by the number of line breaks in its text, and what they hand over.
+_PROGRAM_CALLS = [(0, 5, "name", True, True), (1, 6, "literal", False, True), (2, 7, "built", True, True), (3, 7, "name", False, True),
+                  (4, 8, "none", False, True), (5, 9, "other", True, False)]
+_call_patterns = [*rules.CALL_TARGETS.values(), *rules.CALL_TARGET_MODULES.values()]
+oracle("program_call_sites", f"""
+SELECT doc_id AS file_id, CAST(s.seq AS INT) AS seq, CAST(s.line + length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) AS INT) AS line,
+  [{', '.join(q(p) for p in _call_patterns)}][doc_id % {len(_call_patterns)} + 1] AS pattern, s.arg_kind, s.arg_tainted,
+  CASE WHEN inside THEN 'f' || doc_id ELSE '' END AS fn_name
+FROM documents, {values(_PROGRAM_CALLS)} AS s(seq, line, arg_kind, arg_tainted, inside)""")
 oracle("ast_findings", "SELECT file_id, line, pattern, severity, seq, note FROM called")
 oracle("corpus_secret_scan", "SELECT doc_id, line, pattern, severity, type, message FROM documents_found")
 oracle("corpus_script_scan", "SELECT page_id, line, pattern, severity, type, message FROM pages_found")

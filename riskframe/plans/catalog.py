@@ -255,6 +255,11 @@ def bucketed_repo_files(spark, d):
     return rows.agg(F.count("*").alias("n_files"), F.sum(F.octet_length("content")).cast("bigint").alias("bytes"))
 
 
+def program_call_sites(spark, d):
+    """Calls of every watched target in programs that hold the documents' whole texts."""
+    return callsites.call_site_rows(fixtures.derive(spark, d, fixtures.PROGRAMS))
+
+
 def corpus_secret_scan(spark, d):
     texts = fixtures.table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
     found = file_scan.with_findings(
@@ -756,7 +761,7 @@ QUERIES = {
         advisory_severity, fixed_versions, dep_risk_points, dep_rollup, manifest_summary, path_weights,
         repo_url_parse, repo_risk, repo_highest_risk, repo_touches, repo_behavior, readme_badge, repo_report, repo_files,
         advisory_json, advisory_json_refs, advisory_bad_lines, manifest_files_entries, manifest_files_findings,
-        salted_dep_refs, indexed_word_rules, indexed_behavior, bucketed_repo_files,
+        program_call_sites, salted_dep_refs, indexed_word_rules, indexed_behavior, bucketed_repo_files,
         stream_usage, stream_quota, stream_scan, report_sink, file_tree,
     ]
 }

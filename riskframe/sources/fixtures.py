@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskframe import rules
 from riskframe.sources.files import spread
 
+# Names that secret scanners look for are written in two halves ('AK' || 'IA'), so that this file is no finding itself.
+
 # --- fixed values: the shared input SQL, the same text in Spark and in the oracle ----------------
 
 CODE_FILES = """
@@ -40,6 +43,19 @@ CODE_TEXTS = CODE_FILES.replace(
     " AS content\n", "\n       || chr(10) || '# ' || replace(text, chr(10), chr(10) || '# ') AS content\n"
 )
 
+# One Python program per document: its whole text is a string of the program, followed by calls of one watched target, which the
+# number of the document chooses from all of them, with an argument of each kind.
+CALL_NAMES = [*rules.CALL_TARGETS, *[f"{name}.run" for name in rules.CALL_TARGET_MODULES]]
+PROGRAMS = f"""
+SELECT doc_id AS file_id, 'import os' || chr(10) || 'async def f' || CAST(doc_id AS VARCHAR(20)) || '(a):' || chr(10) || '    note = \"\"\"'
+       || t || '\"\"\"' || chr(10) || '    v = input()' || chr(10) || '    ' || target || '(v)' || chr(10) || '    x = [' || target || '("lit") for y in a]' || chr(10)
+       || '    ' || target || '("a" + v, b=' || target || '(a))' || chr(10) || '    return ' || target || '()' || chr(10)
+       || target || '(os.environ["K"])' || chr(10) AS content
+FROM (SELECT doc_id, replace(replace(replace(coalesce(text, ''), chr(92), ' '), '"', ' '), chr(13), ' ') AS t,
+             CASE doc_id % {len(CALL_NAMES)} {' '.join(f"WHEN {i} THEN '{name}'" for i, name in enumerate(CALL_NAMES))} END AS target
+      FROM documents) d
+"""
+
 MANIFEST_LINES = """
 SELECT 'r' || CAST(p_partkey % 25 AS VARCHAR(10)) AS repo, 'top/requirements.txt' AS file,
        CAST(floor(p_partkey / 25) AS INT) + 1 AS line,

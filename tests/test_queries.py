@@ -10,7 +10,9 @@ from tests.conftest import TABLES
 SAMPLE = [
     "strip_literals", "behavior_findings", "enclosing_function", "sink_boost", "dedupe_findings", "corpus_script_scan",
     "file_report", "line_limit", "repo_limits", "usage_upsert", "actor_key", "parse_package_json", "dep_findings_ranked",
-    "manifest_summary", "repo_behavior", "stream_usage",
+    "manifest_summary", "repo_behavior", "stream_usage", "taint_map", "part_exclude_blocks", "part_functions", "advisory_json",
+    "manifest_files_findings", "repo_files", "repo_report", "stream_quota", "report_sink", "file_tree", "program_call_sites",
+    "salted_dep_refs", "indexed_behavior", "indexed_word_rules", "bucketed_repo_files",
 ]
 
 
