@@ -155,4 +155,5 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, trees: int = TREES,
 
 
 def op2_prefix_forest(spark, sf_dir: str) -> DataFrame:
+    """The five nearest other vectors found for every vector whose id is divisible by 50."""
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)

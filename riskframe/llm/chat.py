@@ -66,6 +66,7 @@ def format_chats(turns: DataFrame, template: tuple[str, str, str] = TEMPLATE) ->
 
 
 def op1_chat_format(spark, sf_dir: str) -> DataFrame:
+    """Every turn of the maximal conversations, rendered."""
     return format_chats(table(spark, sf_dir, "conversations"))
 
 

@@ -120,6 +120,7 @@ def deduplicate(documents: DataFrame, counters: int = COUNTERS) -> DataFrame:
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:
+    """Every document with the one of its text that stays."""
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 

@@ -179,6 +179,7 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
 
 
 def op7_source_mixing(spark, sf_dir: str) -> DataFrame:
+    """Every document with the words that the mix takes of it."""
     documents = table(spark, sf_dir, "documents")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(whole_text("text")).alias("size"))
     return mix(written(rows, "words")).select("doc_id", "size", "source_size", "target", "taken")

@@ -388,6 +388,7 @@ def deduplicate(documents: DataFrame, shingle: int = 5, percent: int = 80) -> Da
 
 
 def op10_minhash_dedup(spark, sf_dir: str) -> DataFrame:
+    """Every document with its component under links of 0.85 or more on sets of 3-word shingles."""
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
