@@ -25,7 +25,6 @@ from __future__ import annotations
 import hashlib
 import sys
 from collections.abc import Iterator
-from functools import cache
 from math import comb, sqrt
 
 import numpy as np
@@ -66,9 +65,18 @@ def most_apart(a: int, b: int, percent: int) -> int:
     return (a + b) * (100 - percent) // (100 + percent)
 
 
-@cache
+#: What ``tile`` has found; a plain table, as it travels with the code of the tasks.
+_TILES: dict[tuple[int, int], tuple[int, int, int, int, int]] = {}
+
+
 def tile(number: int, percent: int) -> tuple[int, int, int, int, int]:
     """First and last size of the small side, parts, spare parts and least shingles of a part."""
+    if (number, percent) not in _TILES:
+        _TILES[number, percent] = _tile(number, percent)
+    return _TILES[number, percent]
+
+
+def _tile(number: int, percent: int) -> tuple[int, int, int, int, int]:
     if number == 0:
         first = last = 1
         while most_apart(last + 1, largest_partner(last + 1, percent), percent) == 0:

@@ -24,7 +24,6 @@ from __future__ import annotations
 import hashlib
 import sys
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -110,9 +109,22 @@ def _wagner_fischer(rows: str, target: str, bound: float, closed: bool) -> tuple
     return left[0][0], "".join(audit)
 
 
-@lru_cache(1 << 15)
+#: Segments that are known, as many conversations have the same letters; a plain table, as it travels with the code of the tasks.
+_KNOWN: dict[tuple, tuple[float, str, int] | None] = {}
+_MOST_KNOWN = 1 << 15
+
+
 def _segment(rows: str, state: int, ends: tuple[int, ...], closed: bool) -> tuple[float, str, int] | None:
     """Cost, audit and end of the cheapest edits of rows that lead from a grammar state to one of the ends."""
+    key = rows, state, ends, closed
+    if key not in _KNOWN:
+        if len(_KNOWN) >= _MOST_KNOWN:
+            _KNOWN.clear()
+        _KNOWN[key] = _cheapest(*key)
+    return _KNOWN[key]
+
+
+def _cheapest(rows: str, state: int, ends: tuple[int, ...], closed: bool) -> tuple[float, str, int] | None:
     n, best = len(rows), None
     if state in ends:
         best = (DELETE * n, "D" * n, state)
