@@ -3,7 +3,7 @@
 A Misra-Gries pass of ``counters`` counters per partition names every digest that may hold more than
 ``2 / (counters + 1)`` of all rows. These candidates (``counters + 1`` at most, whatever the input) are counted exactly, and
 their winners are broadcast: rows of a frequent text are settled where they are read. No other text is frequent enough to
-burden the task that its rows meet in.
+burden the task that its rows meet in: those are counted map-side as well, and joined with the one row that their text has become.
 
 Texts are equal when they are identical after lower-casing A-Z; null counts as empty. Of equal texts the row with the largest
 ``doc_id`` stays (null ids are smaller than all others); of rows that also share this id exactly one stays.
@@ -76,32 +76,31 @@ def exact_groups(rows: DataFrame, digests: DataFrame | None = None, counters: in
     ``digests``: the same ``doc_id`` and ``digest``, if a narrow table of them is at hand. An empty table gives no rows.
     """
     digests = written(rows.select("doc_id", "digest"), "digests") if digests is None else digests
-    candidates = heavy_candidates(digests, counters)
-    same = digests.join(F.broadcast(candidates), "digest").groupBy("digest", "doc_id").agg(F.count("*").alias("n"))
-    winners = same.groupBy("digest").agg(F.sum("n").alias("group_size"), F.max(F.struct("doc_id", "n")).alias("top"))
-    winners = written(winners.select("digest", "group_size", F.col("top.doc_id").alias("keep_id"), F.col("top.n").alias("n_top")), "winners")
-
-    frequent = rows.join(F.broadcast(winners), "digest")
+    same = digests.groupBy("digest", "doc_id").agg(F.count("*").alias("n"))
+    groups = same.groupBy("digest").agg(F.sum("n").alias("group_size"), F.max(F.struct("doc_id", "n")).alias("top"))
+    groups = groups.select("digest", "group_size", F.col("top.doc_id").alias("keep_id"), F.col("top.n").alias("n_top"))
+    winners = written(groups.join(F.broadcast(heavy_candidates(digests, counters)), "digest"), "winners")
+
+    # Rows of a frequent text are settled where they are read; all others meet one aggregated row of their text in a join, which
+    # adaptive execution splits for a text that is not quite frequent.
+    frequent = F.broadcast(winners.select("digest"))
+    named = rows.join(F.broadcast(winners), "digest").unionByName(
+        rows.join(frequent, "digest", "left_anti").join(groups.join(frequent, "digest", "left_anti"), "digest")
+    )
     is_top = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     names = [*rows.columns, "keep_id", "group_size", "kept"]
-    settled = frequent.filter(~is_top | (F.col("n_top") == 1)).withColumn("kept", is_top).select(names)
+    settled = named.filter(~is_top | (F.col("n_top") == 1)).withColumn("kept", is_top).select(names)
 
-    # Rows that share the winning id as well: one of each salt, then one of those.
+    if groups.filter("n_top > 1").isEmpty():
+        return settled
+    # Rows that share the winning id as well: one of each salt, then one of those. They are written, as they are read twice and the
+    # salts must be the same both times.
     salt = F.pmod(F.monotonically_increasing_id() + F.spark_partition_id(), F.lit(_SALTS))
-    tied = frequent.filter(is_top & (F.col("n_top") > 1)).withColumn("salt", salt)
+    tied = written(named.filter(is_top & (F.col("n_top") > 1)).withColumn("salt", salt), "tied")
     tied = tied.withColumn("nth", F.row_number().over(Window.partitionBy("digest", "salt").orderBy("doc_id")))
     firsts = tied.filter("nth = 1").withColumn("nth", F.row_number().over(Window.partitionBy("digest").orderBy("salt")))
     tied = firsts.withColumn("kept", F.col("nth") == 1).select(names).unionByName(tied.filter("nth > 1").withColumn("kept", F.lit(False)).select(names))
-
-    group = Window.partitionBy("digest")
-    ordered = group.orderBy(F.col("doc_id").desc_nulls_last())
-    others = rows.join(F.broadcast(winners.select("digest")), "digest", "left_anti").select(
-        *rows.columns,
-        F.first("doc_id").over(ordered).alias("keep_id"),
-        F.count("*").over(group).alias("group_size"),
-        (F.row_number().over(ordered) == 1).alias("kept"),
-    )
-    return settled.unionByName(tied).unionByName(others.select(names))
+    return settled.unionByName(tied)
 
 
 def exact_duplicates(documents: DataFrame, counters: int = COUNTERS) -> DataFrame:
