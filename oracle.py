@@ -712,6 +712,7 @@ SELECT s.file_id, s.path, s.risk, s.risk_points, s.trust_score, s.touches,
 FROM scored_full s LEFT JOIN (SELECT file_id, count(*) AS n FROM window_full GROUP BY file_id) b USING (file_id)"""
 oracle("file_report", _report)
 oracle("stream_scan", _report)
+oracle("corpus_file_report", _report)
 oracle("stream_usage", """
 SELECT 'user:' || user_id AS actor_key, CAST(CAST(ts AS DATE) AS VARCHAR) AS usage_date, count(*) AS scan_count
 FROM events GROUP BY 1, 2""")
@@ -910,7 +911,8 @@ _INT = {
     "pos": "taint_map intent_mismatch behavior_summary repo_behavior",
     "start_line": "corpus_focus_windows focus_windows focus_blocks",
     "end_line": "corpus_focus_windows focus_windows",
-    "finding_count": "file_report ranked_files stream_scan", "block_count": "file_report ranked_files stream_scan",
+    "finding_count": "file_report corpus_file_report ranked_files stream_scan",
+    "block_count": "file_report corpus_file_report ranked_files stream_scan",
     "line_count": "line_limit", "rank": "deps_skipped_top dep_findings_ranked",
 }
 
