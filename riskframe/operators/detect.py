@@ -28,7 +28,7 @@ LINE_RANK, CALL_RANK, HEURISTIC_RANK = 0, 1, 2
 
 _LITERAL = patterns.jvm(r"""\A\s*["'].*["']\s*\z""")
 _DYNAMIC = "|".join(patterns.literal(m) for m in rules.DYNAMIC_MARKERS)
-_FUNCTION = patterns.jvm(r"\A\s*def\s+([A-Za-z_][A-Za-z0-9_]*)\s*\(")
+_FUNCTION = patterns.jvm(r"\A" + rules.FUNCTION_PATTERN)
 
 FINDING = (
     "struct<line:int,pattern:string,severity:double,src_rank:int,seq:int,type:string,message:string,note:string>"

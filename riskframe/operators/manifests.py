@@ -16,9 +16,7 @@ from riskframe.functions.paths import manifest_type
 from riskframe.functions.text import split_lines
 from riskframe.functions.versions import normalize_version, package_name
 
-_REQUIREMENT = patterns.jvm(
-    r"\A\s*([A-Za-z0-9_.\-]+(?:\[[A-Za-z0-9_,.\-]+\])?)\s*(==|~=|>=|<=|!=|>|<)?\s*([^\s]+)?"
-)
+_REQUIREMENT = patterns.jvm(r"\A" + rules.REQUIREMENT_PATTERN)
 _INDIRECT = r"\A(?:" + "|".join(patterns.literal(p) for p in rules.INDIRECT_REQUIREMENT_PREFIXES) + ")"
 
 ENTRY_COLUMNS = [

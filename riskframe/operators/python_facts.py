@@ -28,7 +28,7 @@ FACTS = (
     "tainted array<string>, used array<string>"
 )
 
-_ASSIGNMENT = re.compile(r"\s*([A-Za-z_][A-Za-z0-9_]*)\s*=")
+_ASSIGNMENT = re.compile(rules.ASSIGNMENT_PATTERN)
 _WORDS = re.compile(r"\w+")
 
 

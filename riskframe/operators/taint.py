@@ -13,7 +13,7 @@ from riskframe.functions.columns import rows_of
 from riskframe.operators.lines import line_explode, with_scannable
 from riskframe.operators.python_facts import python_facts
 
-_ASSIGNMENT = patterns.jvm(r"\A\s*([A-Za-z_][A-Za-z0-9_]*)\s*=")
+_ASSIGNMENT = patterns.jvm(r"\A" + rules.ASSIGNMENT_PATTERN)
 
 
 def is_source(lower_line: Column, sources: Sequence[str] = tuple(rules.TAINT_SOURCES)) -> Column:

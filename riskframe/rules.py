@@ -9,6 +9,12 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+# --- fixed values: everything below but the three record types ------------------------------------
+
+ASSIGNMENT_PATTERN = r"\s*([A-Za-z_][A-Za-z0-9_]*)\s*="
+FUNCTION_PATTERN = r"\s*def\s+([A-Za-z_][A-Za-z0-9_]*)\s*\("
+REQUIREMENT_PATTERN = r"\s*([A-Za-z0-9_.\-]+(?:\[[A-Za-z0-9_,.\-]+\])?)\s*(==|~=|>=|<=|!=|>|<)?\s*([^\s]+)?"
+
 
 class BehaviorRule(NamedTuple):
     """One line rule, matched on the lower-cased line without its string literals.
