@@ -6,7 +6,8 @@ that the batch operator gives on the same requests.
 
 State of an actor and day: the admitted requests, in order. That is enough, as requests only ever lose their place: one more
 earlier request never lowers the count that a later one meets, so whoever is refused stays refused. It also bounds the state by
-the largest limit, however many requests an actor sends. A timer drops the state once the day is late.
+the largest limit, however many requests an actor sends. A timer drops the state once the day is late; requests that come later than
+the watermark allows are dropped by Spark and get no answer.
 """
 
 from __future__ import annotations
