@@ -22,7 +22,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe import rules
-from riskframe.functions import patterns
 from riskframe.functions.columns import rows_of, strip
 from riskframe.functions.text import LINE_BREAK, strip_line_literals
 from riskframe.operators.detect import function_name
@@ -161,16 +160,25 @@ def excluded_ranges(
     closers = [None if closing is None else b for b, (_, _, closing) in enumerate(blocks)]
 
     def count(of: str) -> Column:
-        return F.length(F.regexp_replace("line", f"[^{of}]", ""))
+        return F.length("line") - F.length(F.replace("line", F.lit(of), F.lit("")))
+
+    # Nearly no line holds one of the texts, and only those that do are trimmed and looked at.
+    bare = strip(F.col("line"))
+
+    def holds(text: str) -> Column:
+        return F.contains("line", F.lit(text))
 
     opens = F.lit(0)
     for bit, (start, also, _) in reversed(list(enumerate(blocks))):
-        opens = F.when(F.startswith("bare", F.lit(start)) & F.contains("bare", F.lit(also)), 1 << bit).otherwise(opens)
+        opens = F.when(holds(start) & holds(also) & F.startswith(bare, F.lit(start)) & F.contains(bare, F.lit(also)), 1 << bit).otherwise(opens)
     closes = F.lit(0)
     for bit, (_, _, closing) in enumerate(blocks):
-        closes = closes + F.when(F.col("bare").isin(*(closing or [])), 1 << bit).otherwise(0)
-    named = F.col("bare").rlike(rf"\Afunction (?:{'|'.join(patterns.literal(name) for name in functions)})\(") if functions else F.lit(False)
-    facts = lines.withColumn("bare", strip(F.col("line"))).select(
+        for text in dict.fromkeys(closing or []):
+            closes = closes + F.when(holds(text) & (bare == text), 1 << bit).otherwise(0)
+    named = F.lit(False)
+    for name in functions:
+        named = named | (holds(f"function {name}(") & F.startswith(bare, F.lit(f"function {name}(")))
+    facts = lines.select(
         "file_id", "line_no", (count("{") - count("}")).alias("delta"), opens.alias("opens"), named.alias("starts"), closes.alias("closes")
     )
     marked = facts.filter("opens > 0 or starts").select("file_id").distinct()
@@ -192,7 +200,9 @@ def excluded_ranges(
         columns = [pa.array([d[0] for d in done], kind), *(pa.array([d[i] for d in done], pa.int32()) for i in (1, 2))]
         return pa.RecordBatch.from_arrays(columns, names=["file_id", "first", "last"])
 
-    ordered = events.repartition("file_id").sortWithinPartitions("file_id", "line_no")
+    # By a digest of the key: by the key itself Spark drops this step where the join before it is hashed alike, and then lets adaptive
+    # execution read that join's partitions in pieces, so a file's lines would come to several tasks.
+    ordered = events.repartition(F.xxhash64("file_id")).sortWithinPartitions("file_id", "line_no")
     return ordered.select("file_id", "line_no", "delta", "opens", "starts", "closes").mapInArrow(runs, f"file_id {kind}, first int, last int")
 
 

@@ -54,3 +54,16 @@ def test_one_hot_file_is_dealt_out(spark):
     found = parts.function_rows(parts.scannable_rows(lines))
     # A part's first line is glued to the open end of the part before, so only the first def stands at a line's start.
     assert found.agg(F.count("*"), F.count_distinct("function"), F.max("line_no")).first() == (525_001, 1, 525_001)
+
+
+def test_a_file_stays_in_one_task_behind_a_join_by_file(spark):
+    """Spark drops a distribution by the join's own key, and adaptive execution may then read the join's partitions in pieces."""
+    lines = spark.createDataFrame([(1, 1, "explanations = {"), (1, 2, "}")], "file_id long, line_no int, line string").repartition(4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ranges = parts.excluded_ranges(lines)
+        assert "REPARTITION_BY_COL" in ranges._jdf.queryExecution().executedPlan().toString()
+        assert [tuple(r) for r in ranges.collect()] == [(1, 1, 2)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
