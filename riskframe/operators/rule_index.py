@@ -18,6 +18,9 @@ from riskframe.rules import BehaviorRule, SecretRule
 
 RULE_SCHEMA = "seq int, keywords array<string>, jvm string, type string, key string, message string, points double"
 
+#: Keywords that are tried on every line as one alternation; more of them are only met through the join.
+FEW_WORDS = 64
+
 # In front of a word, so that no other word character can stand there, and behind it.
 _BEFORE, _BEHIND = r"(?:\\b|\\\.|\(\?<!\[\\w\.\]\))", r"(?=\\b|\\\.|\\\(|\\s\*\\\()"
 _WORD = re.compile(rf"{_BEFORE}([A-Za-z0-9_]+){_BEHIND}")
@@ -57,14 +60,18 @@ def word_rules(words: DataFrame, type_: str, points: float = 1.0) -> DataFrame:
     )
 
 
-def indexed_hits(lines: DataFrame, rules: DataFrame, text: str = "code") -> DataFrame:
+def indexed_hits(lines: DataFrame, rules: DataFrame, text: str = "code", known: Sequence[str] | None = None) -> DataFrame:
     """Lines with each rule that matches them: the other columns of ``lines``, ``seq, type, pattern, message, points``.
 
     ``rules``: rows of ``RULE_SCHEMA``, any number; Spark broadcasts them while they are small. A line that holds several keywords of
-    a rule meets it at the first of them only.
+    a rule meets it at the first of them only. ``known``: the keywords of all rules, if they are few enough to stand in the plan;
+    other words then make no rows.
     """
     names = [c for c in lines.columns if c != text]
     words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"([{patterns.WORD}]+)"), F.lit(1)))
+    if known is not None:
+        lines = lines.where(F.lower(text).rlike("|".join(known)) if known else F.lit(False))
+        words = F.array_intersect(words, F.array(*map(F.lit, known)).cast("array<string>"))
     spread = lines.withColumn("words", words).withColumn("keyword", F.explode(rows_of("words")))
     met = spread.join(rules.withColumn("keyword", F.explode("keywords")), "keyword")
     first = (F.size("keywords") == 1) | (F.get(F.array_intersect("words", "keywords"), F.lit(0)) == F.col("keyword"))
@@ -74,7 +81,9 @@ def indexed_hits(lines: DataFrame, rules: DataFrame, text: str = "code") -> Data
 def rule_hits(lines: DataFrame, rules: Sequence[BehaviorRule | SecretRule], type_: str, text: str = "code") -> DataFrame:
     """:func:`indexed_hits` of a list of rules; those without keywords are tried behind one alternation of their patterns."""
     names = [c for c in lines.columns if c != text]
-    found = indexed_hits(lines, rule_table(lines.sparkSession, rules, type_), text)
+    # A list at hand is sent to the lines, which are not shuffled; of a short one, only the words that it names make rows.
+    known = sorted({word for r in rules for word in keywords(r.pattern)})
+    found = indexed_hits(lines, F.broadcast(rule_table(lines.sparkSession, rules, type_)), text, known if len(known) <= FEW_WORDS else None)
     plain = [(seq, r) for seq, r in enumerate(rules) if not keywords(r.pattern)]
     if not plain:
         return found

@@ -102,3 +102,11 @@ def test_bucketed_files_join_without_moving_contents(spark):
     sides = plan.split("SortMergeJoin", 1)[1]
     above, scan = sides[: sides.index("FileScan")], sides[sides.index("FileScan") :].splitlines()[0]
     assert "Exchange" not in above and "content" in scan and "Bucketed: true" in scan
+
+
+def test_a_list_of_rules_is_met_without_a_shuffle_of_the_lines(spark):
+    """Each word of a line used to be a shuffled row that held the whole line."""
+    lines = spark.range(10).select(F.col("id").alias("i"), F.lit("x = eval(y) + eval (z)").alias("t"))
+    for made in ([rules.BEHAVIOR_RULES[0]] * 2, rules.BEHAVIOR_RULES):
+        plan = rule_index.rule_hits(lines, made, "t", "t")._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
