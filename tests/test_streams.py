@@ -124,3 +124,21 @@ def test_quota_state_holds_no_more_than_the_limit():
         held, out = stream_quotas.replay(held, [(rng.random(), rng.randrange(10**9), "free", 5) for _ in range(20)])
         refused += len(out)
     assert len(held) == 5 and refused == 995
+
+
+def test_actors_of_a_bucket_are_answered_each_for_themselves():
+    import pandas as pd
+
+    class Store(list):
+        get, put = list.copy, lambda self, rows: self.__setitem__(slice(None), rows)
+        getListState = lambda self, name, schema: self
+        registerTimer = lambda self, at: None
+
+    task, store = stream_quotas.DailyQuota(), Store()
+    task.init(store)
+    got = {}
+    for batch in (range(6), range(6, 12)):
+        rows = pd.DataFrame([("ab"[i % 2], 100 - i, i, "free", 2) for i in batch], columns=["actor_key", "micros", "scan_id", "plan", "daily"])
+        for out in task.handleInputRows((7, dt.date(2024, 1, 1)), iter([rows]), None):
+            got |= {r.scan_id: (r.actor_key, r.admitted) for r in out.itertuples()}
+    assert got == {i: ("ab"[i % 2], i >= 8) for i in range(12)} and len(store) == 4
