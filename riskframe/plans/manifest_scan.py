@@ -13,15 +13,8 @@ def repo_dependencies(
     entries: DataFrame, manifest_files: DataFrame, refs: DataFrame, advisories: DataFrame
 ) -> DataFrame:
     """One row per repository with manifests: counters, capped points and summary sentences."""
-    found = deps.dependency_findings(manifests.dedupe_dependencies(manifests.parsed(entries)), refs, advisories)
+    per_repo = deps.finding_totals(manifests.dedupe_dependencies(manifests.parsed(entries)), refs, advisories)
     counts = manifests.manifest_counts(entries, manifest_files)
-    per_repo = found.groupBy("repo").agg(
-        F.sum(F.round(F.col("severity") * 100).cast("bigint")).alias("cents"),
-        F.count(F.lit(1)).alias("advisory_count"),
-        F.count_distinct(F.struct(F.lower("package"), "version")).alias("unique_package_versions"),
-        F.count_distinct(F.nullif("file", F.lit(""))).alias("unique_manifest_files"),
-        F.count_distinct(F.nullif("id", F.lit(""))).alias("unique_vulnerability_ids"),
-    )
     numbers = ["advisory_count", "unique_package_versions", "unique_manifest_files", "unique_vulnerability_ids"]
     zero = F.lit(0).cast("bigint")
     filled = counts.join(per_repo, "repo", "left").select(

@@ -110,3 +110,41 @@ def test_a_list_of_rules_is_met_without_a_shuffle_of_the_lines(spark):
     for made in ([rules.BEHAVIOR_RULES[0]] * 2, rules.BEHAVIOR_RULES):
         plan = rule_index.rule_hits(lines, made, "t", "t")._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
+def _hot_package(spark):
+    """Dependencies of two repositories on one package version that very many advisories name."""
+    from riskframe.sources import advisories
+
+    flat = spark.range(200).select(F.lit("npm").alias("ecosystem"), F.lit("p").alias("package"), F.lit("1").alias("version"), F.concat(F.lit("A"), F.col("id") % 150).alias("id"),
+                                   F.element_at(F.array(*map(F.lit, ["LOW", "high", "CRITICAL", ""])), (F.col("id") % 4 + 1).cast("int")).alias("severity"), F.lit("s").alias("summary"), F.lit("2").alias("fixed"))
+    bodies = advisories.nest_advisories(flat)
+    deps = spark.range(60).select(
+        F.concat(F.lit("r"), F.col("id") % 2).alias("repo"), F.concat(F.lit("top/"), F.when(F.col("id") % 3 == 0, "tests/").otherwise(""), "id", F.lit("/package.json")).alias("file"),
+        F.lit("package.json").alias("manifest_type"), F.lit(1).alias("line"), F.lit("npm").alias("ecosystem"), F.lit("p").alias("package"), F.lit("1").alias("version"),
+        F.lit("1").alias("declared_version"), F.lit("exact").alias("version_kind"), F.lit("dependencies").alias("dependency_section"),
+    )
+    return deps, advisories.advisory_refs(bodies), bodies
+
+
+def test_totals_are_those_of_the_findings(spark):
+    deps, refs, bodies = _hot_package(spark)
+    found = dependencies.dependency_findings(deps, refs, bodies)
+    totals = dependencies.finding_totals(deps, refs, bodies)
+    names = ["repo", "advisory_count", "unique_package_versions", "unique_manifest_files", "unique_vulnerability_ids"]
+    rows = lambda df, *columns: sorted(tuple(r) for r in df.select(*columns).collect())
+    assert rows(totals, *names) == rows(dependencies.rollup(found), *names)
+    points = dependencies.capped_points(F.col("cents")).alias("dependency_risk_points")
+    assert rows(totals, "repo", points) == rows(dependencies.dependency_points(found), "repo", "dependency_risk_points")
+
+
+def test_findings_are_made_by_the_last_join(spark):
+    """Pairs of dependencies and advisories are no side of another join."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = dependencies.dependency_findings(*_hot_package(spark))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    joins = [line for line in plan.splitlines() if "Join" in line or "CartesianProduct" in line]
+    assert len(joins) == 2 and "[id#" not in joins[0] and "[id#" in joins[1]
