@@ -1,6 +1,12 @@
 """Plans whose work follows the input: nothing is computed twice, and no task holds what all should share."""
 
-from riskframe.plans import catalog
+import pytest
+from pyspark.sql import functions as F
+
+from riskframe.functions.columns import rows_of
+from riskframe.functions.text import split_lines
+from riskframe.operators import taint
+from riskframe.plans import catalog, file_scan
 from riskframe.sources import fixtures
 
 
@@ -17,3 +23,37 @@ def test_parts_of_one_split_go_to_all_cores(spark, small):
     cores = spark.sparkContext.defaultParallelism
     assert spark.read.parquet(f"{small}/part.parquet").rdd.getNumPartitions() < cores
     assert fixtures.table(spark, small, "part").rdd.getNumPartitions() == cores
+
+
+def test_whole_texts_meet_no_alternation_of_many_words(spark):
+    """A pattern of many branches costs its branches at every character; plain searches stand before it."""
+    files = spark.createDataFrame([(1, "draw it", "x = 1")], "file_id int, intent string, content string")
+    plan = _plan(file_scan.file_reports(files))
+    for words in ("loadSafeExample\\(|", "urlopen|urlretrieve|[^", "os\\.system|subprocess|child\\_process|requests"):
+        assert words not in plan
+
+
+@pytest.mark.parametrize("end", ["\n", "\r", "\r\n", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"])
+def test_lines_with_and_without_rare_breaks(spark, end):
+    text = f"a{end}\n{end}b{end}"
+    row = spark.createDataFrame([(text,)], "t string").select(split_lines(F.col("t")).alias("l")).first()
+    assert row.l == text.splitlines()
+
+
+def test_lines_of_hints_of_their_file_only(spark):
+    """Each rule finds its line whatever other rules the file holds; a file of one secret needs no hint."""
+    lines = ["eval(x)", "plain", 'k = "AK' + "IA" + "A" * 16 + '"', "os.system(y)", "'eval(z)'", "wget it"]
+    files = spark.createDataFrame(
+        [(0, "\n".join(lines))] + [(i, line) for i, line in enumerate(lines, 1)], "file_id int, content string"
+    )
+    found = file_scan.with_findings(files, call_sites=False, heuristic=False)
+    rows = found.select("file_id", F.explode(rows_of("all_findings")).alias("f")).select("file_id", "f.line", "f.pattern").collect()
+    whole = sorted((r.line, r.pattern) for r in rows if r.file_id == 0)
+    assert whole == sorted((r.file_id, r.pattern) for r in rows if r.file_id > 0)
+    assert [line for line, _ in whole] == [1, 3, 4, 6]
+
+
+def test_own_sources_need_no_known_word(spark):
+    files = spark.createDataFrame([(1, "v = take_it()\nw = v")], "file_id int, content string")
+    assert [r.variable for r in taint.taint_map(files, [r"\btake_it\s*\("]).orderBy("pos").collect()] == ["v", "w"]
+    assert taint.taint_map(files).count() == 0
