@@ -25,6 +25,12 @@ def test_parts_of_one_split_go_to_all_cores(spark, small):
     assert fixtures.table(spark, small, "part").rdd.getNumPartitions() == cores
 
 
+def test_a_sort_of_reports_does_not_scan_the_files_twice(spark, small):
+    lines = catalog.ranked_files(spark, small)._jdf.queryExecution().executedPlan().toString().split("\n")
+    at = {word: next(i for i, line in enumerate(lines) if word in line) for word in ("rangepartitioning", "hashpartitioning", "ArrowEvalPython")}
+    assert at["rangepartitioning"] < at["hashpartitioning"] < at["ArrowEvalPython"]
+
+
 def test_whole_texts_meet_no_alternation_of_many_words(spark):
     """A pattern of many branches costs its branches at every character; plain searches stand before it."""
     files = spark.createDataFrame([(1, "draw it", "x = 1")], "file_id int, intent string, content string")
