@@ -63,3 +63,8 @@ def test_own_sources_need_no_known_word(spark):
     files = spark.createDataFrame([(1, "v = take_it()\nw = v")], "file_id int, content string")
     assert [r.variable for r in taint.taint_map(files, [r"\btake_it\s*\("]).orderBy("pos").collect()] == ["v", "w"]
     assert taint.taint_map(files).count() == 0
+
+
+def test_sizes_of_a_bucket_are_read_without_its_contents(spark, small):
+    plan = catalog.bucketed_repo_files(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan and "Bucketed: true" in plan
