@@ -68,3 +68,9 @@ def test_own_sources_need_no_known_word(spark):
 def test_sizes_of_a_bucket_are_read_without_its_contents(spark, small):
     plan = catalog.bucketed_repo_files(spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan and "Bucketed: true" in plan
+
+
+def test_requirement_lines_are_stripped_once_and_behind_the_shuffle(spark, small):
+    lines = _plan(catalog._dependencies(spark, small)).split("\n")
+    dealt = next(i for i, line in enumerate(lines) if "RepartitionByExpression" in line)
+    assert not any("regexp" in line for line in lines[dealt:])
