@@ -73,3 +73,15 @@ def test_a_filter_on_findings_copies_no_step(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
     assert found.count() == 1
+
+
+def test_bytes_that_are_no_text(spark):
+    """A file that is no UTF-8 is scanned like any other."""
+    text = (b"\xff\xfe" + b"eval(x)\n" + b"\xff\nexec(y)\nv = input()\nos.system(v)").hex()
+    rows = spark.range(1).select(
+        F.col("id").alias("file_id"), F.lit("draw it").alias("intent"), F.expr(f"cast(unhex('{text}') as string)").alias("content")
+    )
+    for call_sites in (False, True):
+        found = file_reports(rows, call_sites=call_sites).first().findings
+        assert [(f.line, f.pattern) for f in found] == [(1, "eval("), (3, "exec("), (5, "os.system")]
+        assert "v" in found[2].note
