@@ -148,3 +148,49 @@ def test_findings_are_made_by_the_last_join(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     joins = [line for line in plan.splitlines() if "Join" in line or "CartesianProduct" in line]
     assert len(joins) == 2 and "[id#" not in joins[0] and "[id#" in joins[1]
+
+
+def test_tiles_make_every_pair_once(spark):
+    """Lists of any size give the pairs of the plain join; null keys meet nothing, and rows that come twice stay two."""
+    keys = "ecosystem string, package string, version string"
+    deps = [("npm", "p", "1", f"f{i % 9}") for i in range(23)] + [("npm", None, "1", "n"), ("npm", "q", "2", None), ("npm", "alone", "1", "a")]
+    refs = [("npm", "p", "1", f"A{i}") for i in range(11)] + [("npm", None, "1", "N"), ("npm", "q", "2", "Q"), ("npm", "q", "2", "Q"), ("PyPI", "p", "1", "P")]
+    left, right = spark.createDataFrame(deps, f"{keys}, file string"), spark.createDataFrame(refs, f"{keys}, id string")
+    rows = lambda df: sorted(map(str, df.collect()))
+    plain = rows(dependencies.dependency_refs(left, right))
+    assert len(plain) == 23 * 11 + 2
+    for tile in (1, 4, 1_000):
+        assert rows(dependencies.dependency_refs(left, right, tile)) == plain
+
+
+def test_findings_of_one_package_version_are_made_by_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(dependencies, "TILE", 10, raising=False)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = dependencies.dependency_findings(*_hot_package(spark))
+        made = [r["n"] for r in found.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sum(made) == 60 * 200 and len(made) > 4 and max(made) < 60 * 200 / 2
+
+
+def test_what_follows_from_one_side_is_not_worked_out_for_each_pair(spark):
+    """Path weights and lists of an advisory are made below the pairs."""
+    found = dependencies.dependency_findings(*_hot_package(spark), joined="|").select("aliases", "fixed_versions", "severity", "explanation")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    above, _, below = plan.partition("Generate")
+    assert not [f for f in ("RLIKE", "array_join", "format_string", "element_at") if f in above]
+    assert all(f in below for f in ("RLIKE", "array_join", "format_string", "element_at"))
+
+
+def test_lists_and_explanations_of_findings(spark):
+    deps, refs, bodies = _hot_package(spark)
+    plain = dependencies.dependency_findings(deps, refs, bodies, max_explanation=None)
+    note = dependencies.texts.ADVISORY_WEIGHT_NOTE % "0.35"
+    assert {(r.path_weight, r.explanation) for r in plain.collect()} == {(1.0, "s"), (0.35, "s" + note)}
+    key = ["file", "id", "severity", "aliases", "fixed_versions", "explanation"]
+    rows = lambda df: sorted(tuple(map(str, r)) for r in df.select(*key).collect())
+    cut = dependencies.dependency_findings(deps, refs, bodies, max_explanation=20, joined="|")
+    lists = {c: F.array_join(c, "|") for c in ("aliases", "fixed_versions")}
+    assert rows(cut) == rows(plain.withColumns({**lists, "explanation": F.substring("explanation", 1, 20)}))
